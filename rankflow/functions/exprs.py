@@ -150,5 +150,13 @@ def nan_to_null(c) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def round6(c, scale: int = 6) -> Column:
-    return F.round(col(c).cast("double"), scale)
+def sql_round(c, scale: int = 6) -> Column:
+    """Round as ``round(x * 10^scale) / 10^scale`` (half away from zero on the
+    scaled product). Spark's ``round`` works on the shortest decimal form of
+    the double instead, which differs at exact halves after a division; this
+    form gives bit-identical results to SQL engines that scale first."""
+    f = float(10 ** scale)
+    return F.round(col(c).cast("double") * F.lit(f), 0) / F.lit(f)
+
+
+round6 = sql_round

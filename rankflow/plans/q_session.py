@@ -11,12 +11,13 @@ from ..operators import session as S
 from ..sources.views import events_view, options_view
 from .oracle import with_events, with_options
 from .registry import query
+from ..functions.exprs import sql_round
 
 
 def rounded(df: DataFrame, scale: int = 6) -> DataFrame:
     """Round every double column (float sums differ in the last bits between
     engines; the oracle rounds the same way)."""
-    return df.select(*[F.round(F.col(f.name), scale).alias(f.name) if isinstance(f.dataType, DoubleType)
+    return df.select(*[sql_round(F.col(f.name), scale).alias(f.name) if isinstance(f.dataType, DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -125,7 +126,7 @@ FROM evn"""))
 def q_pct_rank(spark, sf_dir):
     """H2: percentile rank (average rank / non-null count)."""
     ev = events_with_nulls(spark, sf_dir)
-    return ev.select("Id", "ranker_id", "v", F.round(R.pct_rank("v"), 6).alias("pct_rank"))
+    return ev.select("Id", "ranker_id", "v", sql_round(R.pct_rank("v"), 6).alias("pct_rank"))
 
 
 @query("dense_rank_desc", with_events(EV_V + """

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import load_table
+from ..functions.exprs import sql_round
 
 MAX_LEGS = 2
 MAX_SEGMENTS = 4
@@ -88,10 +89,10 @@ def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
 
     ep, disc, rf = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_returnflag")
     money = (li.groupBy("l_orderkey").agg(
-        F.round(F.sum(ep * F.col("l_tax")), 4).alias("taxes"),
-        F.round(F.sum(F.when(rf == "R", ep * disc)), 4).alias("miniRules0_monetaryAmount"),
+        sql_round(F.sum(ep * F.col("l_tax")), 4).alias("taxes"),
+        sql_round(F.sum(F.when(rf == "R", ep * disc)), 4).alias("miniRules0_monetaryAmount"),
         F.max(F.when(rf == "R", disc)).alias("miniRules0_percentage"),
-        F.round(F.sum(F.when(rf == "A", ep * disc)), 4).alias("miniRules1_monetaryAmount"),
+        sql_round(F.sum(F.when(rf == "A", ep * disc)), 4).alias("miniRules1_monetaryAmount"),
         F.max(F.when(rf == "A", disc)).alias("miniRules1_percentage"),
     ))
 
