@@ -189,3 +189,24 @@ def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.col("event_id").alias("Id"), F.col("user_id").alias("ranker_id"),
                      "ts", "event_type", F.col("value").alias("score"), "props",
                      (F.col("event_id") == F.col("first_id")).cast("int").alias("selected")))
+
+
+def option_types(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -> dict[str, str]:
+    """Spark type names of the option table (kept static for the oracle)."""
+    t = {"Id": "bigint", "ranker_id": "bigint", "profileId": "bigint", "companyID": "int",
+         "nationality": "string", "isVip": "boolean", "bySelf": "boolean", "isAccess3D": "boolean",
+         "searchRoute": "string", "requestDate": "timestamp_ntz", "totalPrice": "double",
+         "taxes": "double", "corporateTariffCode": "string", "frequentFlyer": "string",
+         "pricingInfo_isAccessTP": "boolean", "pricingInfo_passengerCount": "int"}
+    seg = {"departureFrom_airport_iata": "string", ARRIVAL_ATTR: "string",
+           "marketingCarrier_code": "string", "operatingCarrier_code": "string", "duration": "double",
+           "aircraft_code": "string", "cabinClass": "double", "seatsAvailable": "int",
+           "baggageAllowance_quantity": "int"}
+    for c in leg_columns(max_legs):
+        t[c] = "double" if c.endswith("duration") else "timestamp_ntz"
+    for c in segment_columns(max_legs, max_segments):
+        t[c] = seg[c.split("_", 2)[2]]
+    for c in RULE_COLUMNS:
+        t[c] = "double"
+    t["selected"] = "int"
+    return {c: t[c] for c in option_columns(max_legs, max_segments)}
