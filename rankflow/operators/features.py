@@ -36,7 +36,8 @@ def seg_col(L: int, S: int, attr: str) -> str:
 
 def seg_cols(df: DataFrame, attr: str, legs=LEGS, segments=SEGMENTS) -> list[str]:
     """Existing per-segment columns for ``attr`` in (leg, segment) order."""
-    return [seg_col(L, S, attr) for L in legs for S in segments if seg_col(L, S, attr) in df.columns]
+    have = set(df.columns)   # one schema fetch, not one per candidate
+    return [seg_col(L, S, attr) for L in legs for S in segments if seg_col(L, S, attr) in have]
 
 
 def cols_with(df: DataFrame, *parts: str) -> list[str]:
@@ -470,12 +471,37 @@ def family_pipeline(form: str = "full") -> list[Callable[[DataFrame], DataFrame]
             route_extra_features, efficiency_features]
 
 
+class _ColumnCollector:
+    """Stand-in for the input DataFrame while the families of one feature set
+    are planned: families read ``columns`` / ``schema`` and call
+    ``withColumns``; the collector only records the expressions, so the whole
+    set is applied as ONE projection (one analysis, one schema) instead of a
+    new DataFrame per family."""
+
+    def __init__(self, df: DataFrame):
+        self.schema = df.schema
+        self.columns = list(df.columns)
+        self.cols: dict[str, Column] = {}
+
+    def withColumns(self, cols: dict) -> "_ColumnCollector":
+        self.cols.update(cols)
+        return self
+
+    def withColumn(self, name: str, c: Column) -> "_ColumnCollector":
+        self.cols[name] = c
+        return self
+
+
 def engineer_features(df: DataFrame, form: str = "full",
                       extra: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Chain every family of ``form`` (plus P3u user-added functions)
-    with ``DataFrame.transform``. Row-wise only: no shuffle. Session
-    aggregates (``operators.session.add_session_features``), price tiers and
-    encoders are separate because they are per-session or fitted."""
-    for fn in family_pipeline(form) + list(extra or []):
-        df = df.transform(fn)
-    return df
+    """Every family of ``form`` in one projection (plus P3u user-added
+    functions, applied afterwards with ``DataFrame.transform``). Row-wise
+    only: no shuffle. Session aggregates (``operators.session``), price tiers
+    and encoders are separate because they are per-session or fitted."""
+    collector = _ColumnCollector(df)
+    for fn in family_pipeline(form):
+        fn(collector)
+    out = df.withColumns(collector.cols) if collector.cols else df
+    for fn in extra or []:
+        out = out.transform(fn)
+    return out

@@ -199,3 +199,21 @@ def q_scalar(spark, sf_dir):
         X.clip_lower(F.col("legs1_duration") - 20).alias("clipped"),
         X.flag(F.col("searchRoute").contains("/")).alias("has_slash"),
         F.char_length("searchRoute").alias("route_len")))
+
+
+def _per_passenger(pdf):
+    """A user's row function (pandas): price per passenger, upper-case route."""
+    import pandas as pd
+    return pd.DataFrame({"Id": pdf["Id"],
+                         "price_per_passenger": pdf["totalPrice"] / pdf["pricingInfo_passengerCount"],
+                         "route_upper": pdf["searchRoute"].str.upper()})
+
+
+@query("user_rows_fn", with_options("""
+SELECT Id, totalPrice / pricingInfo_passengerCount AS price_per_passenger, upper(searchRoute) AS route_upper
+FROM options"""))
+def q_user_rows_fn(spark, sf_dir):
+    """P2u: a pandas row function applied with mapInPandas (Arrow batches)."""
+    from ..operators.udf import apply_rows
+    o = options_view(spark, sf_dir).select("Id", "totalPrice", "pricingInfo_passengerCount", "searchRoute")
+    return apply_rows(o, _per_passenger, "Id long, price_per_passenger double, route_upper string")
