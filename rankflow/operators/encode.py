@@ -92,12 +92,12 @@ class LabelEncoder:
         dictionary = (idx.join(F.broadcast(start), "feature")
                          .select("feature", "value", (F.col("_idx") - F.col("_start")).cast("int").alias("code")))
         dictionary = dictionary.checkpoint(eager=True)
-        meta = {r["feature"]: r["_n"] for r in start.collect()}  # one row per encoded column
-        sizes = {c: int(meta.get(c, 0)) for c in self.columns}
+        meta = {r["feature"]: r for r in dictionary.groupBy("feature").agg(       # one row per column
+            F.count(F.lit(1)).alias("n"),
+            F.max(F.when(F.col("value") == MISSING, F.col("code"))).alias("miss")).collect()}
+        sizes = {c: int(meta[c]["n"]) if c in meta else 0 for c in self.columns}
         if self.with_missing:
-            miss = {r["feature"]: r["code"] for r in
-                    dictionary.filter(F.col("value") == MISSING).collect()}  # one row per column
-            missing_codes = {c: int(miss[c]) for c in self.columns}
+            missing_codes = {c: int(meta[c]["miss"]) for c in self.columns}
         else:
             missing_codes = {c: -1 for c in self.columns}
         return LabelEncoderModel(self.columns, dictionary, missing_codes, sizes, self.suffix,

@@ -49,7 +49,7 @@ FROM od o JOIN enc e ON o.Id = e.Id"""))
 @query("clean_select", _simple_sql())
 def q_clean_select(spark, sf_dir):
     """C1-C4 + C3: the compact 22-feature table (encoders fitted on train)."""
-    o = options_view(spark, sf_dir)
+    o = options_view(spark, sf_dir, materialize=True)
     train, _ = group_split(o, label=None)
     model = C.fit_simple_encoder(C.simple_features(train))
     return rounded(C.select_features(model.transform(C.simple_features(o))))
@@ -64,7 +64,7 @@ m AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in IMPUTE_COLS
 SELECT Id, {", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in IMPUTE_COLS)} FROM od, m"""))
 def q_median_impute(spark, sf_dir):
     """Nulls filled with medians fitted on the train split."""
-    o = options_view(spark, sf_dir)
+    o = options_view(spark, sf_dir, materialize=True)
     train, _ = group_split(o, label=None)
     model = C.MedianImputer(IMPUTE_COLS).fit(train)
     return rounded(model.transform(o.select("Id", *IMPUTE_COLS))

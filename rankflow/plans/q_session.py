@@ -250,3 +250,37 @@ def q_semi_join(spark, sf_dir):
     o = options_view(spark, sf_dir)
     big = S.session_sizes(o).filter(F.col("size") > 10)
     return S.semi_join(o.select("Id", "ranker_id"), big)
+
+
+@query("unseen_categories", with_options("""
+, tr AS (SELECT * FROM options WHERE CAST(('0x' || substr(md5('42_' || CAST(ranker_id AS VARCHAR)), 1, 8)) AS BIGINT)
+                                     / CAST(4294967296 AS DOUBLE) < 0.7),
+te AS (SELECT * FROM options WHERE CAST(('0x' || substr(md5('42_' || CAST(ranker_id AS VARCHAR)), 1, 8)) AS BIGINT)
+                                     / CAST(4294967296 AS DOUBLE) >= 0.7)
+SELECT te.Id, te.legs1_segments3_aircraft_code FROM te
+WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.legs1_segments3_aircraft_code = te.legs1_segments3_aircraft_code)"""))
+def q_unseen_categories(spark, sf_dir):
+    """test rows whose category never occurs in training (``~isin``;
+    a missing value is never in the set, so it is kept)."""
+    from ..operators.split import group_split
+    o = options_view(spark, sf_dir).select("Id", "ranker_id", "legs1_segments3_aircraft_code")
+    train, test = group_split(o, label=None)
+    c = "legs1_segments3_aircraft_code"
+    return S.anti_join(test, train.select(c), c).select("Id", c)
+
+
+@query("avg_rank_skew_safe", with_events(EV_V + """
+SELECT Id, ranker_id, v,
+  CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY ranker_id ORDER BY v ASC NULLS LAST)
+       + (count(*) OVER (PARTITION BY ranker_id, v) - 1) / 2.0 END AS avg_rank,
+  round(CASE WHEN v IS NOT NULL THEN (rank() OVER (PARTITION BY ranker_id ORDER BY v ASC NULLS LAST)
+       + (count(*) OVER (PARTITION BY ranker_id, v) - 1) / 2.0) / count(v) OVER (PARTITION BY ranker_id) END, 6)
+  AS pct_rank
+FROM evn"""))
+def q_avg_rank_skew_safe(spark, sf_dir):
+    """H1 + H2 without a session window: counts per (session, value), range
+    partitioned so a hot session spreads over tasks, offsets, join back."""
+    from ..functions.skew import add_avg_rank_skew_safe
+    ev = events_with_nulls(spark, sf_dir).select("Id", "ranker_id", "v")
+    out = add_avg_rank_skew_safe(ev, "v", name="avg_rank", pct_name="pct_rank")
+    return out.select("Id", "ranker_id", "v", "avg_rank", sql_round(F.col("pct_rank"), 6).alias("pct_rank"))

@@ -122,7 +122,7 @@ def _missing_sql() -> str:
 @query("profile_missing", _missing_sql())
 def q_profile_missing(spark, sf_dir):
     """Missing values, type and distinct count of every column."""
-    return rounded(N.profile_missing(options_view(spark, sf_dir), exact=True))
+    return rounded(N.profile_missing(options_view(spark, sf_dir, materialize=True), exact=True))
 
 
 def _corr_cols() -> list[str]:

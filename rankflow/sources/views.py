@@ -79,8 +79,12 @@ def option_columns(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -
 
 
 def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
-                 max_segments: int = MAX_SEGMENTS) -> DataFrame:
-    """The wide option table, one row per order (= option)."""
+                 max_segments: int = MAX_SEGMENTS, materialize: bool = False) -> DataFrame:
+    """The wide option table, one row per order (= option). ``materialize``
+    checkpoints it once for callers that run several jobs over it."""
+    if materialize:
+        from ..session import materialize as _m
+        return _m(options_view(spark, sf_dir, max_legs, max_segments))
     t = lambda n: load_table(spark, sf_dir, n)
     nslots = max_legs * max_segments
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -108,19 +112,12 @@ def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
     seg = (top.join(part, top.l_partkey == part.p_partkey, "left")
               .join(supn, top.l_suppkey == supn.s_suppkey, "left"))
 
-    pos = F.col("pos")
-    aggs = []
-    for L in range(max_legs):
-        for S in range(max_segments):
-            k = L * max_segments + S
-            p = f"legs{L}_segments{S}_"
-            aggs += [F.max(F.when(pos == k, fn())).alias(p + name) for name, fn, _ in SEGMENT_ATTRS]
-            aggs.append(F.max(F.when(pos == k, F.lit(1))).alias(f"_has_{L}_{S}"))
-        inleg = (pos >= L * max_segments) & (pos < (L + 1) * max_segments)
-        aggs += [F.min(F.when(inleg, F.col("l_shipdate"))).alias(f"legs{L}_departureAt"),
-                 F.max(F.when(inleg, F.col("l_shipdate"))).alias(f"legs{L}_arrivalAt"),
-                 F.sum(F.when(inleg, F.col("l_quantity"))).alias(f"_dursum_{L}")]
-    wide = seg.groupBy("l_orderkey").agg(*aggs)
+    # Pivot: at most nslots lines per order remain, so one bounded array per
+    # order (sorted by position) replaces dozens of conditional aggregates;
+    # slot k is element k. Same key as the window: no extra exchange.
+    line = F.struct(F.col("pos"), F.col("l_shipdate"), F.col("l_quantity"),
+                    *[fn().alias(name) for name, fn, _ in SEGMENT_ATTRS])
+    wide = seg.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("_segs"))
 
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                            "o_orderdate", "o_orderpriority")
@@ -160,17 +157,22 @@ def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
         "pricingInfo_isAccessTP": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"),
         "pricingInfo_passengerCount": (1 + ok % 3).cast("int"),
     }
+    slot = lambda L, S: F.get(F.col("_segs"), F.lit(L * max_segments + S))
     for L in range(max_legs):
-        sel[f"legs{L}_departureAt"] = F.col(f"legs{L}_departureAt")
-        sel[f"legs{L}_arrivalAt"] = F.col(f"legs{L}_arrivalAt")
-        sel[f"legs{L}_duration"] = (F.col(f"_dursum_{L}") + ok % 6).cast("double")
+        ships = [slot(L, S).getField("l_shipdate") for S in range(max_segments)]
+        qty = [slot(L, S).getField("l_quantity") for S in range(max_segments)]
+        sel[f"legs{L}_departureAt"] = F.least(*ships)
+        sel[f"legs{L}_arrivalAt"] = F.greatest(*ships)
+        dursum = sum((F.coalesce(q, F.lit(0.0)) for q in qty[1:]), F.coalesce(qty[0], F.lit(0.0)))
+        sel[f"legs{L}_duration"] = F.when(slot(L, 0).isNotNull(), dursum + ok % 6).cast("double")
     for L in range(max_legs):
         for S in range(max_segments):
             p = f"legs{L}_segments{S}_"
-            sel[p + SEGMENT_ATTRS[0][0]] = F.col(p + SEGMENT_ATTRS[0][0])
-            sel[p + ARRIVAL_ATTR] = F.when(F.col(f"_has_{L}_{S}") == 1, F.col("n_name"))
+            s_ = slot(L, S)
+            sel[p + SEGMENT_ATTRS[0][0]] = s_.getField(SEGMENT_ATTRS[0][0])
+            sel[p + ARRIVAL_ATTR] = F.when(s_.isNotNull(), F.col("n_name"))
             for name, _, _ in SEGMENT_ATTRS[1:]:
-                sel[p + name] = F.col(p + name)
+                sel[p + name] = s_.getField(name)
     for c in RULE_COLUMNS:
         sel[c] = F.col(c)
     sel["selected"] = (ok == F.col("first_orderkey")).cast("int")

@@ -151,3 +151,19 @@ def test_mini_rules_last_wins(spark):
     from rankflow.sources.documents import mini_rule_columns
     r = df.select(*[v.alias(k) for k, v in mini_rule_columns(F.col("r")).items()]).first()
     assert r["miniRules0_monetaryAmount"] == 3.0 and r["miniRules1_monetaryAmount"] == 2.0
+
+
+def test_skew_safe_rank_equals_window_rank(spark):
+    from rankflow.functions.skew import add_avg_rank_skew_safe
+    # one hot session (most rows, many ties, a null) next to small ones
+    rows = [(i, 1, float(i % 37) if i % 50 else None) for i in range(3000)]
+    rows += [(10000 + i, 2 + i % 5, float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "Id int, ranker_id int, v double")
+    a = {r["Id"]: (r["a"], r["p"]) for r in
+         df.select("Id", R.avg_rank("v").alias("a"), R.pct_rank("v").alias("p")).collect()}
+    b = {r["Id"]: (r["a"], r["p"]) for r in
+         add_avg_rank_skew_safe(df, "v", name="a", pct_name="p").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == b[k][0]
+        assert (a[k][1] is None and b[k][1] is None) or abs(a[k][1] - b[k][1]) < 1e-12

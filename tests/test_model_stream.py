@@ -64,3 +64,19 @@ def test_streaming_ingest(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["Id"] for r in out.collect()) == ["R0_0_0", "R1_0_0", "R2_0_0"]
     assert "price_log" in out.columns
+
+
+def test_listwise_boosting_learns_and_stops(spark):
+    o = _cheapest_label(spark)
+    train, test = group_split(o, label=None)
+    tr, te, _ = C.simple_feature_table(train, test)
+    te = te.join(test.select("Id", "selected"), "Id")
+    prep = O.MatrixPrep().fit(tr)
+    xtr, xte = prep.transform(tr), prep.transform(te)
+    f = hash_folds(xtr, 5)
+    m = O.ListwiseBoostRanker(rounds=6, checkpoint_every=3, patience=2, maxDepth=3).fit(
+        f.filter("fold != 0").drop("fold"), f.filter("fold = 0").drop("fold"))
+    assert 1 <= m.best_round <= 6
+    rnd = M.hitrate_sessions(xte.withColumn("score", F.rand(7)), "score", min_group_size=10).first()["hitrate"]
+    got = O.evaluate(m.transform(xte)).first()["hitrate_sessions"]
+    assert got > rnd + 0.2
