@@ -13,8 +13,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_CACHE: dict = {}
+
+
+def _cached(key, make):
+    """Column objects are unresolved, immutable references; building each
+    one is a JVM round trip from Python, so repeated names / literals reuse
+    one object (per running SparkContext)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (id(sc), key)
+    c = _CACHE.get(k)
+    if c is None:
+        if len(_CACHE) > 20000:
+            _CACHE.clear()
+        c = _CACHE[k] = make()
+    return c
+
+
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        return _cached(("col", c), lambda: F.col(c))
+    return c
+
+
+def lit(v) -> Column:
+    return _cached(("lit", type(v).__name__, v), lambda: F.lit(v))
 
 
 def cols(cs: Iterable) -> list[Column]:
@@ -23,12 +47,12 @@ def cols(cs: Iterable) -> list[Column]:
 
 def flag(cond: Column) -> Column:
     """Boolean -> 0/1 int where null (a NaN comparison in pandas) is 0."""
-    return F.coalesce(cond, F.lit(False)).cast("int")
+    return F.coalesce(cond, lit(False)).cast("int")
 
 
 def ne_nan(a, b) -> Column:
     """pandas ``a != b``: true when either side is missing."""
-    return ~F.coalesce(col(a) == col(b), F.lit(False))
+    return ~F.coalesce(col(a) == col(b), lit(False))
 
 
 def safe_div(n, d, fill: float = 0.0) -> Column:
@@ -51,9 +75,9 @@ def clip_lower(x, lo: float = 0.0) -> Column:
 def row_sum(cs: Iterable) -> Column:
     """``sum(axis=1)``: nulls skipped, all-null -> 0."""
     cs = cols(cs)
-    out = F.coalesce(cs[0], F.lit(0))
+    out = F.coalesce(cs[0], lit(0))
     for c in cs[1:]:
-        out = out + F.coalesce(c, F.lit(0))
+        out = out + F.coalesce(c, lit(0))
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.indexing import attach_row
-from ..functions.exprs import (all_equal_first, any_equals, clip_lower, eps_div, flag,
+from ..functions.exprs import (col, lit, all_equal_first, any_equals, clip_lower, eps_div, flag,
                                floor_days, ne_nan, numeric_or_zero, row_count, row_max,
                                row_mean, row_min, row_nunique, row_sum, safe_div,
                                seconds_between, weekday0)
@@ -48,8 +48,8 @@ def cols_with(df: DataFrame, *parts: str) -> list[str]:
 def as_ts(df: DataFrame, name: str) -> Column:
     """Timestamps pass through; strings are parsed tolerantly (bad -> null)."""
     if isinstance(df.schema[name].dataType, StringType):
-        return F.try_to_timestamp(F.col(name))
-    return F.col(name)
+        return F.try_to_timestamp(col(name))
+    return col(name)
 
 
 def _hour_flags(h: Column, prefix: str) -> dict[str, Column]:
@@ -74,8 +74,8 @@ def request_time_features(df: DataFrame, form: str = "full") -> DataFrame:
         return df
     t = as_ts(df, "requestDate")
     if form == "simple":
-        h = F.coalesce(F.hour(t), F.lit(12))
-        d = F.coalesce(weekday0(t), F.lit(0))
+        h = F.coalesce(F.hour(t), lit(12))
+        d = F.coalesce(weekday0(t), lit(0))
         return df.withColumns({"request_hour": h, "request_day_of_week": d,
                                "is_weekend": flag(d >= 5), "is_business_hours": flag((h >= 9) & (h <= 17))})
     h, d = F.hour(t), weekday0(t)
@@ -119,7 +119,7 @@ def booking_lead_features(df: DataFrame) -> DataFrame:
     days = floor_days(dep, req)
     return df.withColumns({
         "days_to_departure": days,
-        "hours_to_departure": seconds_between(dep, req) / F.lit(3600.0),
+        "hours_to_departure": seconds_between(dep, req) / lit(3600.0),
         "is_last_minute": flag(days <= 1),
         "is_advance_booking": flag(days >= 14),
     })
@@ -135,9 +135,9 @@ def segment_features(df: DataFrame) -> DataFrame:
         for S in SEGMENTS:
             c = seg_col(L, S, "duration")
             if c in df.columns:
-                cols[f"leg{L}_has_segment{S}"] = F.col(c).isNotNull().cast("int")
+                cols[f"leg{L}_has_segment{S}"] = col(c).isNotNull().cast("int")
                 present.append(c)
-        per_leg[L] = row_count(present) if present else F.lit(0)
+        per_leg[L] = row_count(present) if present else lit(0)
         cols[f"total_segments_leg{L}"] = per_leg[L]
     total = per_leg[0] + per_leg[1]
     cols.update({
@@ -162,7 +162,7 @@ def layover_features(df: DataFrame) -> DataFrame:
         segs = seg_cols(df, "duration", legs=(L,))
         if d not in df.columns or not segs:
             continue
-        lay = clip_lower(F.col(d).cast("double") - row_sum(segs))
+        lay = clip_lower(col(d).cast("double") - row_sum(segs))
         cols[f"leg{L}_layover_time"] = lay
         cols[f"leg{L}_short_layover"] = flag(lay < 1)
         cols[f"leg{L}_medium_layover"] = flag((lay >= 1) & (lay < 4))
@@ -175,10 +175,10 @@ def search_route_features(df: DataFrame, form: str = "full") -> DataFrame:
     (null stays null in the full form, 0 in the simple form)."""
     if "searchRoute" not in df.columns:
         return df
-    r = F.col("searchRoute")
+    r = col("searchRoute")
     slash = flag(r.contains("/"))
     if form == "simple":
-        return df.withColumns({"route_length": F.char_length(F.coalesce(r, F.lit(""))),
+        return df.withColumns({"route_length": F.char_length(F.coalesce(r, lit(""))),
                                "is_round_trip": slash})
     return df.withColumns({"route_contains_slash": slash, "is_round_trip_search": slash,
                            "route_length": F.char_length(r)})
@@ -190,27 +190,27 @@ def price_features(df: DataFrame, form: str = "full") -> DataFrame:
     """Price per hour, tax ratio, base price, high-tax flag, log price."""
     if "totalPrice" not in df.columns:
         return df
-    p = F.col("totalPrice")
+    p = col("totalPrice")
     cols = {}
     if "legs0_duration" in df.columns:
-        dur = F.coalesce(F.col("legs0_duration"), F.lit(0.0))
+        dur = F.coalesce(col("legs0_duration"), lit(0.0))
         if "legs1_duration" in df.columns:
-            dur = dur + F.coalesce(F.col("legs1_duration"), F.lit(0.0))
+            dur = dur + F.coalesce(col("legs1_duration"), lit(0.0))
         cols["price_per_hour"] = safe_div(p, dur) if form == "full" else eps_div(p, dur)
     if "taxes" in df.columns:
-        tx = F.col("taxes")
+        tx = col("taxes")
         if form == "full":
             ratio = safe_div(tx, p)
         elif form == "opt":
             ratio = eps_div(tx, p)
         else:
-            ratio = eps_div(F.coalesce(tx, F.lit(0.0)), F.coalesce(p, F.lit(1.0)))
+            ratio = eps_div(F.coalesce(tx, lit(0.0)), F.coalesce(p, lit(1.0)))
         cols["tax_ratio"] = ratio
         if form == "full":
-            cols["base_price"] = p - F.coalesce(tx, F.lit(0.0))
+            cols["base_price"] = p - F.coalesce(tx, lit(0.0))
             cols["has_high_taxes"] = flag(ratio > 0.2)
     # log1p(x) == ln(1 + x) to within an ulp for prices; ln keeps both engines identical
-    cols["price_log"] = F.ln(F.lit(1.0) + F.coalesce(p, F.lit(0.0)))
+    cols["price_log"] = F.ln(lit(1.0) + F.coalesce(p, lit(0.0)))
     return df.withColumns(cols)
 
 
@@ -226,7 +226,7 @@ def penalty_features(df: DataFrame) -> DataFrame:
             cols[f"total_{name}_penalty"] = tot
             cols[f"has_{name}_penalty"] = flag(tot > 0)
             if "totalPrice" in df.columns:
-                cols[f"{name}_penalty_ratio"] = eps_div(tot, F.col("totalPrice"))
+                cols[f"{name}_penalty_ratio"] = eps_div(tot, col("totalPrice"))
         if pct:
             cols[f"total_{name}_penalty_pct"] = row_sum(pct).cast("double")
     return df.withColumns(cols) if cols else df
@@ -242,28 +242,28 @@ class PriceTiers:
         self.thresholds: tuple[float, float, float] | None = None
 
     def fit(self, df: DataFrame) -> "PriceTiers":
-        row = df.agg(F.percentile(F.col(self.column), list(self.q)).alias("q")).first()
+        row = df.agg(F.percentile(col(self.column), list(self.q)).alias("q")).first()
         self.thresholds = tuple(row["q"]) if row["q"] is not None else (None, None, None)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         lo, hi, top = self.thresholds
-        p = F.col(self.column)
+        p = col(self.column)
         return df.withColumns({
-            "is_budget_flight": flag(p < F.lit(lo)),
-            "is_premium_flight": flag(p > F.lit(hi)),
-            "is_luxury_flight": flag(p > F.lit(top)),
+            "is_budget_flight": flag(p < lit(lo)),
+            "is_premium_flight": flag(p > lit(hi)),
+            "is_luxury_flight": flag(p > lit(top)),
         })
 
     @staticmethod
     def transform_with(df: DataFrame, thresholds: DataFrame, column: str = "totalPrice") -> DataFrame:
         """Same transform against a one-row thresholds table (q25, q75, q90)
         kept on the cluster, for pipelines that never bring values back."""
-        p = F.col(column)
+        p = col(column)
         return (attach_row(df, thresholds)
-                  .withColumns({"is_budget_flight": flag(p < F.col("q25")),
-                                "is_premium_flight": flag(p > F.col("q75")),
-                                "is_luxury_flight": flag(p > F.col("q90"))})
+                  .withColumns({"is_budget_flight": flag(p < col("q25")),
+                                "is_premium_flight": flag(p > col("q75")),
+                                "is_luxury_flight": flag(p > col("q90"))})
                   .drop("q25", "q75", "q90"))
 
 
@@ -281,8 +281,8 @@ def carrier_features(df: DataFrame, form: str = "full") -> DataFrame:
     if form == "simple":
         cc = [c for c in df.columns if "Carrier_code" in c]
         return df.withColumns({"unique_carriers": row_nunique(cc, count_missing=True),
-                               "primary_carrier": F.coalesce(F.col(cc[0]).cast("string"), F.lit("missing"))})
-    cols = {"main_carrier": F.col(mk[0])}
+                               "primary_carrier": F.coalesce(col(cc[0]).cast("string"), lit("missing"))})
+    cols = {"main_carrier": col(mk[0])}
     if len(mk) > 1:
         if form == "opt":
             cols["carrier_consistency"] = all_equal_first(mk)
@@ -298,7 +298,7 @@ def ff_match_features(df: DataFrame) -> DataFrame:
     mk = seg_cols(df, "marketingCarrier_code")
     if not mk or "frequentFlyer" not in df.columns:
         return df
-    return df.withColumn("ff_carrier_match", any_equals(mk, F.col("frequentFlyer")))
+    return df.withColumn("ff_carrier_match", any_equals(mk, col("frequentFlyer")))
 
 
 def codeshare_features(df: DataFrame) -> DataFrame:
@@ -328,14 +328,14 @@ def cabin_features(df: DataFrame) -> DataFrame:
             "has_economy": any_equals(cc, 1.0), "has_comfort": any_equals(cc, 2.0),
             "has_business": any_equals(cc, 3.0), "has_first": any_equals(cc, 4.0),
             "is_all_economy": flag(best == 1.0), "is_all_business_or_higher": flag(worst >= 3.0),
-            "has_mixed_classes": F.lit(1) - cons}
+            "has_mixed_classes": lit(1) - cons}
     for L in LEGS:
         for S in SEGMENTS:
             c = seg_col(L, S, "cabinClass")
             if c in df.columns:
-                cols[f"leg{L}_seg{S}_is_economy"] = flag(F.col(c) == 1.0)
-                cols[f"leg{L}_seg{S}_is_business"] = flag(F.col(c) == 3.0)
-                cols[f"leg{L}_seg{S}_is_first"] = flag(F.col(c) == 4.0)
+                cols[f"leg{L}_seg{S}_is_economy"] = flag(col(c) == 1.0)
+                cols[f"leg{L}_seg{S}_is_business"] = flag(col(c) == 3.0)
+                cols[f"leg{L}_seg{S}_is_first"] = flag(col(c) == 4.0)
     return df.withColumns(cols)
 
 
@@ -371,17 +371,17 @@ USER_FLAGS = ("isVip", "bySelf", "isAccess3D")
 
 def user_features(df: DataFrame) -> DataFrame:
     """User flags as 0/1 ints (missing -> 0) and VIP combinations."""
-    cols = {c: flag(F.col(c).cast("boolean")) for c in USER_FLAGS if c in df.columns}
+    cols = {c: flag(col(c).cast("boolean")) for c in USER_FLAGS if c in df.columns}
     if "isVip" in df.columns and "bySelf" in df.columns:
-        vip, own = F.col("isVip").cast("boolean"), F.col("bySelf").cast("boolean")
+        vip, own = col("isVip").cast("boolean"), col("bySelf").cast("boolean")
         cols["vip_independent"] = flag(vip & own)
-        cols["vip_managed"] = flag(vip & ~F.coalesce(own, F.lit(False)))
+        cols["vip_managed"] = flag(vip & ~F.coalesce(own, lit(False)))
     return df.withColumns(cols) if cols else df
 
 
 def flag_features(df: DataFrame, columns=("isVip", "bySelf", "isAccess3D", "pricingInfo_isAccessTP")) -> DataFrame:
     """C3 (simple form): ``<col>_flag`` = boolean filled with false, as int."""
-    cols = {f"{c}_flag": flag(F.col(c).cast("boolean")) for c in columns if c in df.columns}
+    cols = {f"{c}_flag": flag(col(c).cast("boolean")) for c in columns if c in df.columns}
     return df.withColumns(cols) if cols else df
 
 
@@ -389,11 +389,11 @@ def policy_features(df: DataFrame) -> DataFrame:
     """Travel-policy compliance, corporate tariff, passenger count."""
     cols = {}
     if "pricingInfo_isAccessTP" in df.columns:
-        cols["policy_compliant"] = flag(F.col("pricingInfo_isAccessTP").cast("boolean"))
+        cols["policy_compliant"] = flag(col("pricingInfo_isAccessTP").cast("boolean"))
     if "corporateTariffCode" in df.columns:
-        cols["has_corporate_tariff"] = F.col("corporateTariffCode").isNotNull().cast("int")
+        cols["has_corporate_tariff"] = col("corporateTariffCode").isNotNull().cast("int")
     if "pricingInfo_passengerCount" in df.columns:
-        n = F.col("pricingInfo_passengerCount")
+        n = col("pricingInfo_passengerCount")
         cols["is_single_passenger"] = flag(n == 1)
         cols["is_group_booking"] = flag(n > 1)
     return df.withColumns(cols) if cols else df
@@ -420,7 +420,7 @@ def efficiency_features(df: DataFrame) -> DataFrame:
     """Price per unit of first-leg duration."""
     if "totalPrice" not in df.columns or "legs0_duration" not in df.columns:
         return df
-    return df.withColumn("duration_efficiency", eps_div(F.col("totalPrice"), F.col("legs0_duration")))
+    return df.withColumn("duration_efficiency", eps_div(col("totalPrice"), col("legs0_duration")))
 
 
 def domestic_features(df: DataFrame, airport_country: DataFrame | None,
@@ -432,20 +432,20 @@ def domestic_features(df: DataFrame, airport_country: DataFrame | None,
     dep = seg_col(0, 0, "departureFrom_airport_iata")
     arrs = seg_cols(df, "arrivalTo_airport_iata", legs=(0,))
     if airport_country is None or "nationality" not in df.columns or dep not in df.columns or not arrs:
-        return df.withColumn("domestic_flight", F.lit(0))
-    last_arr = F.coalesce(*[F.col(c) for c in reversed(arrs)])
-    dim = airport_country.select(F.col("iata").alias("_iata"), F.col("country").alias("_country"))
+        return df.withColumn("domestic_flight", lit(0))
+    last_arr = F.coalesce(*[col(c) for c in reversed(arrs)])
+    dim = airport_country.select(col("iata").alias("_iata"), col("country").alias("_country"))
     small = dim.limit(max_airports + 1).count() <= max_airports
-    d1 = dim.select(F.col("_iata").alias("_dep_iata"), F.col("_country").alias("_dep_country"))
-    d2 = dim.select(F.col("_iata").alias("_arr_iata"), F.col("_country").alias("_arr_country"))
+    d1 = dim.select(col("_iata").alias("_dep_iata"), col("_country").alias("_dep_country"))
+    d2 = dim.select(col("_iata").alias("_arr_iata"), col("_country").alias("_arr_country"))
     if small:
         d1, d2 = F.broadcast(d1), F.broadcast(d2)
     out = (df.withColumn("_last_arr", last_arr)
-             .join(d1, F.col(dep) == F.col("_dep_iata"), "left")
-             .join(d2, F.col("_last_arr") == F.col("_arr_iata"), "left"))
-    nat = F.col("nationality")
+             .join(d1, col(dep) == col("_dep_iata"), "left")
+             .join(d2, col("_last_arr") == col("_arr_iata"), "left"))
+    nat = col("nationality")
     return (out.withColumn("domestic_flight",
-                           flag((F.col("_dep_country") == nat) & (F.col("_arr_country") == nat)))
+                           flag((col("_dep_country") == nat) & (col("_arr_country") == nat)))
                .drop("_last_arr", "_dep_iata", "_dep_country", "_arr_iata", "_arr_country"))
 
 

@@ -136,47 +136,42 @@ def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
              .join(cn, o.o_custkey == cn.c_custkey, "left")
              .join(first, o.o_custkey == first.f_custkey, "left"))
 
-    ok = F.col("o_orderkey")
-    sel = {
-        "Id": ok,
-        "ranker_id": F.col("o_custkey"),
-        "profileId": F.col("o_custkey"),
-        "companyID": F.col("c_nationkey"),
-        "nationality": F.col("n_name"),
-        "isVip": F.col("c_acctbal") > 8000,
-        "bySelf": ok % 10 < 7,
-        "isAccess3D": F.nullif(F.col("o_orderstatus"), F.lit("P")) == "F",
-        "searchRoute": F.concat(F.col("n_name"),
-                                F.when(ok % 2 == 0, F.concat(F.lit("/"), F.col("r_name")))
-                                .otherwise(F.lit(""))),
-        "requestDate": F.col("o_orderdate"),
-        "totalPrice": F.col("o_totalprice"),
-        "taxes": F.col("taxes"),
-        "corporateTariffCode": F.nullif(F.col("c_mktsegment"), F.lit("MACHINERY")),
-        "frequentFlyer": F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")),
-        "pricingInfo_isAccessTP": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"),
-        "pricingInfo_passengerCount": (1 + ok % 3).cast("int"),
-    }
-    slot = lambda L, S: F.get(F.col("_segs"), F.lit(L * max_segments + S))
+    # One selectExpr: the ~110 output expressions are parsed on the JVM in a
+    # single call instead of being assembled node by node from Python.
+    return base.selectExpr(*option_select_exprs(max_legs, max_segments))
+
+
+def option_select_exprs(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -> list[str]:
+    """Spark SQL expressions of the option table over the joined base."""
+    sel = [
+        "o_orderkey AS Id", "o_custkey AS ranker_id", "o_custkey AS profileId",
+        "c_nationkey AS companyID", "n_name AS nationality",
+        "c_acctbal > 8000 AS isVip", "o_orderkey % 10 < 7 AS bySelf",
+        "nullif(o_orderstatus, 'P') = 'F' AS isAccess3D",
+        "concat(n_name, CASE WHEN o_orderkey % 2 = 0 THEN concat('/', r_name) ELSE '' END) AS searchRoute",
+        "o_orderdate AS requestDate", "o_totalprice AS totalPrice", "taxes",
+        "nullif(c_mktsegment, 'MACHINERY') AS corporateTariffCode",
+        "concat('Brand#', CAST(o_custkey % 25 + 1 AS STRING)) AS frequentFlyer",
+        "o_orderpriority IN ('1-URGENT', '2-HIGH') AS pricingInfo_isAccessTP",
+        "CAST(1 + o_orderkey % 3 AS INT) AS pricingInfo_passengerCount",
+    ]
+    slot = lambda L, S: f"get(_segs, {L * max_segments + S})"
     for L in range(max_legs):
-        ships = [slot(L, S).getField("l_shipdate") for S in range(max_segments)]
-        qty = [slot(L, S).getField("l_quantity") for S in range(max_segments)]
-        sel[f"legs{L}_departureAt"] = F.least(*ships)
-        sel[f"legs{L}_arrivalAt"] = F.greatest(*ships)
-        dursum = sum((F.coalesce(q, F.lit(0.0)) for q in qty[1:]), F.coalesce(qty[0], F.lit(0.0)))
-        sel[f"legs{L}_duration"] = F.when(slot(L, 0).isNotNull(), dursum + ok % 6).cast("double")
+        ships = ", ".join(f"{slot(L, S)}.l_shipdate" for S in range(max_segments))
+        qty = " + ".join(f"coalesce({slot(L, S)}.l_quantity, 0.0)" for S in range(max_segments))
+        sel += [f"least({ships}) AS legs{L}_departureAt", f"greatest({ships}) AS legs{L}_arrivalAt",
+                f"CAST(CASE WHEN {slot(L, 0)} IS NOT NULL THEN {qty} + o_orderkey % 6 END AS DOUBLE)"
+                f" AS legs{L}_duration"]
     for L in range(max_legs):
         for S in range(max_segments):
-            p = f"legs{L}_segments{S}_"
-            s_ = slot(L, S)
-            sel[p + SEGMENT_ATTRS[0][0]] = s_.getField(SEGMENT_ATTRS[0][0])
-            sel[p + ARRIVAL_ATTR] = F.when(s_.isNotNull(), F.col("n_name"))
-            for name, _, _ in SEGMENT_ATTRS[1:]:
-                sel[p + name] = s_.getField(name)
-    for c in RULE_COLUMNS:
-        sel[c] = F.col(c)
-    sel["selected"] = (ok == F.col("first_orderkey")).cast("int")
-    return base.select(*[v.alias(k) for k, v in sel.items()])
+            p, s_ = f"legs{L}_segments{S}_", slot(L, S)
+            sel.append(f"{s_}.{SEGMENT_ATTRS[0][0]} AS {p}{SEGMENT_ATTRS[0][0]}")
+            sel.append(f"CASE WHEN {s_} IS NOT NULL THEN n_name END AS {p}{ARRIVAL_ATTR}")
+            sel += [f"{s_}.{name} AS {p}{name}" for name, _, _ in SEGMENT_ATTRS[1:]]
+    sel += RULE_COLUMNS
+    sel.append("CAST(o_orderkey = first_orderkey AS INT) AS selected")
+    return sel
+
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
