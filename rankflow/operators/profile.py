@@ -32,57 +32,52 @@ def profile_dataset(df: DataFrame, group: str = "ranker_id", user: str = "profil
 def profile_missing(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column missing count / pct, type and distinct count.
 
-    Missing counts are one aggregate. Distinct counts: ``exact=False`` uses
-    HyperLogLog in the same pass; ``exact=True`` stacks ``(column, value)``
-    pairs and de-duplicates them with a partial aggregation (one shuffle of
-    distinct pairs) instead of one distinct aggregate per column, which
-    would expand every row once per column."""
+    Values are stacked as ``(column, value-as-text)`` rows, so every count is
+    a narrow aggregate per column (partial aggregation leaves one row per
+    column and task) instead of hundreds of aggregate expressions in one
+    operator. Exact distinct counts de-duplicate the pairs once;
+    ``exact=False`` uses HyperLogLog per column instead."""
     cols = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)]
-    if not exact:
-        aggs += [F.approx_count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("missing_count"),
-                     (F.col(f"_m{i}") * 100.0 / F.col("_rows")).alias("missing_pct"),
-                     F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                     (F.col(f"_d{i}") if not exact else F.lit(None).cast("long")).alias("unique_count"))
-            for i, c in enumerate(cols)]
-    out = one.select(F.inline(F.array(*rows)))
-    if not exact:
-        return out
+    types = {c: df.schema[c].dataType.simpleString() for c in cols}
     pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
                                          for c in cols])))
-    dist = (pairs.filter(F.col("v").isNotNull()).distinct()
-                 .groupBy("column").agg(F.count(F.lit(1)).alias("_u")))
-    return (out.drop("unique_count").join(F.broadcast(dist), "column", "left")
-               .select("column", "missing_count", "missing_pct", "dtype",
-                       F.coalesce(F.col("_u"), F.lit(0)).alias("unique_count")))
+    v = F.col("v")
+    base = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("_rows"),
+                                       F.count_if(v.isNull()).alias("missing_count"),
+                                       *([] if exact else [F.approx_count_distinct(v).alias("unique_count")]))
+    if exact:
+        uniq = (pairs.filter(v.isNotNull()).distinct()
+                     .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))
+        base = base.join(uniq, "column", "left").withColumn(
+            "unique_count", F.coalesce(F.col("unique_count"), F.lit(0)))
+    dtype = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
+    return base.select("column", "missing_count",
+                       (F.col("missing_count") * 100.0 / F.col("_rows")).alias("missing_pct"),
+                       dtype[F.col("column")].alias("dtype"), F.col("unique_count").cast("long").alias("unique_count"))
 
 
 def profile_correlation(df: DataFrame, label: str = "selected", min_non_null: int = 100,
                         columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every numeric column with the label over rows where
     both are set (pairwise complete), for columns with more than
-    ``min_non_null`` values. Constant columns give null r and abs 0 (no
+    ``min_non_null`` values. ``(feature, x, y)`` rows are aggregated per
+    feature (narrow aggregate). Constant columns give null r and abs 0 (no
     divide-by-zero under ANSI)."""
     cols = columns or [f.name for f in df.schema.fields
                        if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)
                        and f.name != label]
     y = F.col(label).cast("double")
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        aggs += [F.count(x).alias(f"_n{i}"),
-                 F.covar_pop(F.when(both, x), F.when(both, y)).alias(f"_c{i}"),
-                 F.var_pop(F.when(both, x)).alias(f"_vx{i}"),
-                 F.var_pop(F.when(both, y)).alias(f"_vy{i}")]
-    one = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
-        den = F.sqrt(F.col(f"_vx{i}") * F.col(f"_vy{i}"))
-        r = F.when(den > 0, F.col(f"_c{i}") / den)
-        rows.append(F.struct(F.lit(c).alias("feature"), F.col(f"_n{i}").alias("non_null"),
-                             r.alias("correlation"), F.coalesce(F.abs(r), F.lit(0.0)).alias("abs_correlation")))
-    return one.select(F.inline(F.array(*rows))).filter(F.col("non_null") > min_non_null)
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"),
+                                                 y.alias("y")) for c in cols])))
+    x, yy = F.col("x"), F.col("y")
+    both = x.isNotNull() & yy.isNotNull()
+    agg = rows.groupBy("feature").agg(
+        F.count(x).alias("non_null"),
+        F.covar_pop(F.when(both, x), F.when(both, yy)).alias("_c"),
+        F.var_pop(F.when(both, x)).alias("_vx"),
+        F.var_pop(F.when(both, yy)).alias("_vy"))
+    den = F.sqrt(F.col("_vx") * F.col("_vy"))
+    r = F.when(den > 0, F.col("_c") / den)
+    return (agg.filter(F.col("non_null") > min_non_null)
+               .select("feature", "non_null", r.alias("correlation"),
+                       F.coalesce(F.abs(r), F.lit(0.0)).alias("abs_correlation")))

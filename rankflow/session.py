@@ -60,9 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``
-    (shared storage on a cluster, so it survives executor loss). Used before
-    a table is read by several jobs (fit, then transform)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: lineage is cut, the data
+    survives executor loss, and later jobs (fit, then transform) scan a
+    columnar file instead of recomputing the plan. Parquet is much faster
+    than RDD checkpoint serialization for wide rows."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
