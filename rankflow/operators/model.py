@@ -232,10 +232,19 @@ def feature_importance(model, feature_cols: list[str]) -> DataFrame:
 
 
 def submission(scored: DataFrame, score_col: str = "score", group: str = "ranker_id",
-               row_id: str = "Id", strict: bool = True) -> DataFrame:
+               row_id: str = "Id", strict: bool = True, skew_safe: bool = False) -> DataFrame:
     """``(Id, ranker_id, selected)`` with ``selected`` an int rank,
     1 = best. ``strict`` (default) gives a permutation per session (ties by
-    Id); ``strict=False`` gives dense ranks (ties share a rank)."""
+    Id); ``strict=False`` gives dense ranks (ties share a rank).
+    ``skew_safe`` computes the same ranks from range-partitioned counts
+    instead of a session window (for very large sessions)."""
+    if skew_safe:
+        from ..functions import skew
+        if strict:
+            out = skew.add_strict_rank_skew_safe(scored, score_col, group, row_id, name="selected")
+        else:
+            out = skew.add_dense_rank_desc_skew_safe(scored, score_col, group, name="selected")
+        return out.select(row_id, group, F.col("selected").cast("int"))
     r = strict_rank(score_col, group, row_id) if strict else dense_rank_desc(score_col, group)
     return scored.select(row_id, group, r.cast("int").alias("selected"))
 
@@ -286,13 +295,17 @@ class ListwiseBoostRanker:
     label: str = "selected"
 
     def _gradient(self, cur: DataFrame) -> DataFrame:
-        w = Window.partitionBy(self.group)
+        """Softmax and label share per session from one partial aggregate
+        joined back (no session window, so a hot session is not one task).
+        Scores stay small (bounded tree outputs times ``step``); they are
+        clipped before ``exp`` so the unshifted softmax cannot overflow."""
         rel = F.coalesce(F.col(self.label).cast("double"), F.lit(0.0))
-        e = F.exp(F.col("_s") - F.max("_s").over(w))
-        p = e / F.sum(e).over(w)
-        tot = F.sum(rel).over(w)
-        t = F.when(tot > 0, rel / tot)
-        return cur.withColumn("_target", F.when(t.isNotNull(), t - p).otherwise(F.lit(0.0)))
+        e = F.exp(F.least(F.greatest(F.col("_s"), F.lit(-300.0)), F.lit(300.0)))
+        sums = cur.groupBy(self.group).agg(F.sum(e).alias("_z"), F.sum(rel).alias("_tot"))
+        j = cur.join(sums, self.group, "left")
+        p = e / F.col("_z")
+        t = F.when(F.col("_tot") > 0, rel / F.col("_tot"))
+        return j.withColumn("_target", F.when(t.isNotNull(), t - p).otherwise(F.lit(0.0))).drop("_z", "_tot")
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> ListwiseBoostModel:
         from pyspark.ml.regression import DecisionTreeRegressor

@@ -179,3 +179,32 @@ def anti_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     in the set, so it is kept, as in pandas."""
     k = keys.select(F.col(key).alias("_k")).filter(F.col("_k").isNotNull())
     return df.join(k, df[key] == k["_k"], "left_anti")
+
+
+def add_session_features_skew_safe(df: DataFrame, group: str = GROUP, price: str = "totalPrice",
+                                   duration: str = "legs0_duration", row_id: str = "Id") -> DataFrame:
+    """The same columns as ``add_session_features`` without any window over
+    a whole session. Everything is computed on the narrow frame
+    ``(row_id, group, price, duration)``: statistics and sizes are partial
+    aggregates, ranks come from range-partitioned value counts
+    (``functions.skew``). The result is joined back to the wide rows on the
+    row id, a key with no hot values, so a session holding a large share of
+    all rows is never processed by one task. Costs more shuffles than the
+    window form; use it when ``profile_dataset`` shows a very large session."""
+    from ..functions.skew import add_avg_rank_skew_safe
+    narrow = df.select(row_id, group, price, duration)
+    stats = session_stats(narrow, group, price, duration)
+    sizes = narrow.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    r = add_avg_rank_skew_safe(narrow, price, group, name="price_rank_in_session")
+    r = add_avg_rank_skew_safe(r, duration, group, name="duration_rank_in_session")
+    r = r.join(stats, group, "left").join(sizes, group, "left")
+    mean = F.col(f"session_{price}_mean")
+    pr = F.col("price_rank_in_session")
+    feats = r.select(
+        row_id, *[F.col(c) for c in stats.columns if c != group],
+        pr, F.col("duration_rank_in_session"),
+        (F.col(price) - mean).alias("price_vs_session_avg"),
+        safe_div(F.col(price), mean).alias("price_ratio_vs_session_avg"),
+        F.coalesce(pr == 1, F.lit(False)).cast("int").alias("is_cheapest_in_session"),
+        F.coalesce(pr == F.col("_n"), F.lit(False)).cast("int").alias("is_most_expensive_in_session"))
+    return df.join(feats, row_id, "left")

@@ -103,3 +103,12 @@ def q_feat_all(spark, sf_dir):
     chain and one Exchange on the session key."""
     o = options_view(spark, sf_dir)
     return rounded(S.add_session_features(E.engineer_features(o, "full")))
+
+
+@query("feat_session_skew_safe", with_options(f"SELECT Id,\n  {Q.render(Q.session_items())}\nFROM options"))
+def q_feat_session_skew_safe(spark, sf_dir):
+    """G1 + H1 + H4-H6 without session windows (narrow aggregates, count-based
+    ranks, join back on Id): same values as ``feat_session``."""
+    names = [n for n, _, _ in Q.session_items()]
+    o = options_view(spark, sf_dir, materialize=True)
+    return rounded(S.add_session_features_skew_safe(o).select("Id", *names))

@@ -284,3 +284,27 @@ def q_avg_rank_skew_safe(spark, sf_dir):
     ev = events_with_nulls(spark, sf_dir).select("Id", "ranker_id", "v")
     out = add_avg_rank_skew_safe(ev, "v", name="avg_rank", pct_name="pct_rank")
     return out.select("Id", "ranker_id", "v", "avg_rank", sql_round(F.col("pct_rank"), 6).alias("pct_rank"))
+
+
+@query("strict_rank_skew_safe", with_events(EV_V + """
+SELECT Id, ranker_id, v,
+  CAST(row_number() OVER (PARTITION BY ranker_id ORDER BY v DESC NULLS LAST, Id) AS INTEGER) AS strict_rank
+FROM evn"""))
+def q_strict_rank_skew_safe(spark, sf_dir):
+    """H7 without a session window: position of the unique key
+    (missing, -v, Id) from range-partitioned counts."""
+    from ..functions.skew import add_strict_rank_skew_safe
+    ev = events_with_nulls(spark, sf_dir).select("Id", "ranker_id", "v")
+    return add_strict_rank_skew_safe(ev, "v")
+
+
+@query("dense_rank_skew_safe", with_events(EV_V + """
+SELECT Id, ranker_id, v,
+  CASE WHEN v IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY ranker_id ORDER BY v DESC NULLS LAST) AS INTEGER) END
+  AS dense_rank
+FROM evn"""))
+def q_dense_rank_skew_safe(spark, sf_dir):
+    """H3 without a session window: distinct values above, from counts."""
+    from ..functions.skew import add_dense_rank_desc_skew_safe
+    ev = events_with_nulls(spark, sf_dir).select("Id", "ranker_id", "v")
+    return add_dense_rank_desc_skew_safe(ev, "v")

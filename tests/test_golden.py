@@ -167,3 +167,30 @@ def test_skew_safe_rank_equals_window_rank(spark):
     for k in a:
         assert a[k][0] == b[k][0]
         assert (a[k][1] is None and b[k][1] is None) or abs(a[k][1] - b[k][1]) < 1e-12
+
+
+def test_skew_safe_session_family_equals_window_form(spark):
+    rows = [(i, 1, float(i % 53) if i % 40 else None, float(i % 7)) for i in range(2000)]
+    rows += [(5000 + i, 2 + i % 4, float(i % 5), None) for i in range(30)] + [(9000, 99, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "Id int, ranker_id int, totalPrice double, legs0_duration double")
+    a = {r["Id"]: r for r in S.add_session_features(df).collect()}
+    b = {r["Id"]: r for r in S.add_session_features_skew_safe(df).collect()}
+    assert a.keys() == b.keys()
+    cols = [c for c in S.add_session_features(df).columns if c not in df.columns]
+    for k in a:
+        for c in cols:
+            x, y = a[k][c], b[k][c]
+            assert (x is None and y is None) or x == pytest.approx(y, rel=1e-12, abs=1e-9), (k, c, x, y)
+
+
+def test_skew_safe_strict_and_dense_ranks(spark):
+    from rankflow.functions.skew import add_dense_rank_desc_skew_safe, add_strict_rank_skew_safe
+    rows = [(i, 1, float(i % 37) if i % 50 else None) for i in range(3000)]
+    rows += [(10000 + i, 2 + i % 5, float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "Id int, ranker_id int, v double")
+    a = {r["Id"]: (r["s"], r["d"]) for r in
+         df.select("Id", R.strict_rank("v").alias("s"), R.dense_rank_desc("v").alias("d")).collect()}
+    b1 = {r["Id"]: r["s"] for r in add_strict_rank_skew_safe(df, "v", name="s").collect()}
+    b2 = {r["Id"]: r["d"] for r in add_dense_rank_desc_skew_safe(df, "v", name="d").collect()}
+    assert {k: v[0] for k, v in a.items()} == b1
+    assert {k: v[1] for k, v in a.items()} == b2

@@ -74,3 +74,10 @@ def test_freq_encoder_unseen_is_zero(spark):
     m = J.FrequencyEncoder(["c"]).fit(df)
     out = {r["c_freq"] for r in m.transform(spark.createDataFrame([("a",), ("z",), (None,)], "c string")).collect()}
     assert out == {2, 0}
+
+
+def test_submission_skew_safe_equals_window(spark):
+    ev = events_view(spark, SF_TINY)
+    a = {r["Id"]: r["selected"] for r in O.submission(ev, "score").collect()}
+    b = {r["Id"]: r["selected"] for r in O.submission(ev, "score", skew_safe=True).collect()}
+    assert a == b
