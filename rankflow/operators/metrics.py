@@ -144,20 +144,36 @@ def baseline_ranks(df: DataFrame, group: str = "ranker_id", row_id: str = "Id",
 
 
 def baseline_hitrates(df: DataFrame, label: str = "selected", group: str = "ranker_id",
-                      k: int = 3, large: int = LARGE_SESSION) -> DataFrame:
-    """HitRate@k of each heuristic baseline, over all and over large sessions.
-    All three ranks and the session size come from one window pass."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = baseline_ranks(df, group).withColumn("_n", n).filter(F.col(label) == 1)
+                      k: int = 3, large: int = LARGE_SESSION, row_id: str = "Id",
+                      price: str = "totalPrice", duration: str = "legs0_duration",
+                      seed: int = 42) -> DataFrame:
+    """HitRate@k (row form) of each heuristic baseline, over all and over
+    large sessions. A positive is a hit when it is among its session's k
+    best rows, so only the top k rows per session and baseline are needed:
+    ``row_number() <= k`` is planned as a partial WindowGroupLimit before the
+    shuffle, and sizes / positives are partial aggregates. No session is ever
+    sorted whole, so a hot session costs no more than a small one."""
+    pos = F.coalesce(F.col(label), F.lit(0)) == 1
+    per = (df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count_if(pos).alias("_p")))
+    orders = {
+        "price": [F.col(price).asc_nulls_last(), F.col(row_id)],
+        "duration": [F.col(duration).asc_nulls_last(), F.col(row_id)],
+        "random": [F.md5(F.concat(F.lit(f"{seed}_"), F.col(row_id).cast("string"))), F.col(row_id)],
+    }
+    for name, order in orders.items():
+        rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        hits = (df.select(group, label, rn.alias("_r")).filter(F.col("_r") <= k)
+                  .filter(pos).groupBy(group).agg(F.count(F.lit(1)).alias(f"_h_{name}")))
+        per = per.join(hits, group, "left")
     aggs, parts = [], []
-    for name in ("price", "duration", "random"):
-        r = F.col(f"rank_{name}")
+    for name in orders:
+        h = F.coalesce(F.col(f"_h_{name}"), F.lit(0))
         for subset, cond in (("all", F.lit(True)), ("large", F.col("_n") > large)):
-            aggs += [F.count_if(cond).alias(f"{name}_{subset}_p"),
-                     F.count_if(cond & (r <= k)).alias(f"{name}_{subset}_h")]
+            aggs += [F.sum(F.when(cond, F.col("_p")).otherwise(0)).cast("long").alias(f"{name}_{subset}_p"),
+                     F.sum(F.when(cond, h).otherwise(0)).cast("long").alias(f"{name}_{subset}_h")]
             parts.append(f"'{name}', '{subset}', {name}_{subset}_p, {name}_{subset}_h")
-    one = ranked.agg(*aggs)
+    one = per.agg(*aggs)
     long = one.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (baseline, subset, positives, hits)")
     return long.select("baseline", "subset", "positives", "hits",
                        sql_round(F.when(F.col("positives") > 0, F.col("hits") / F.col("positives"))
-                               .otherwise(F.lit(0.0)), 6).alias("hitrate"))
+                                 .otherwise(F.lit(0.0)), 6).alias("hitrate"))

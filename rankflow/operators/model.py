@@ -240,11 +240,12 @@ def submission(scored: DataFrame, score_col: str = "score", group: str = "ranker
     instead of a session window (for very large sessions)."""
     if skew_safe:
         from ..functions import skew
+        base = scored.select(row_id, group, score_col)
         if strict:
-            out = skew.add_strict_rank_skew_safe(scored, score_col, group, row_id, name="selected")
+            out = skew.add_strict_rank_skew_safe(base, score_col, group, row_id, name="_rank")
         else:
-            out = skew.add_dense_rank_desc_skew_safe(scored, score_col, group, name="selected")
-        return out.select(row_id, group, F.col("selected").cast("int"))
+            out = skew.add_dense_rank_desc_skew_safe(base, score_col, group, name="_rank")
+        return out.select(row_id, group, F.col("_rank").cast("int").alias("selected"))
     r = strict_rank(score_col, group, row_id) if strict else dense_rank_desc(score_col, group)
     return scored.select(row_id, group, r.cast("int").alias("selected"))
 
