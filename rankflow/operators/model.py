@@ -250,13 +250,6 @@ def submission(scored: DataFrame, score_col: str = "score", group: str = "ranker
     return scored.select(row_id, group, r.cast("int").alias("selected"))
 
 
-@dataclass
-class TrainResult:
-    metrics: DataFrame
-    model: object = None
-    feature_cols: list = field(default_factory=list)
-
-
 # ---------------------------------------------------------------- O2 boosting loop
 
 @dataclass

@@ -10,7 +10,7 @@ from ..operators.split import group_split
 from ..sources.views import events_view, options_view
 from . import feature_sql as Q
 from .oracle import with_events, with_options
-from .q_encode import CTE_TR, LABEL_COLS, _dict_sql, _encode_sql, _fix_integral
+from .q_encode import CTE_TR, LABEL_COLS, _dict_sql, _encode_sql
 from .q_session import rounded
 from .registry import query
 
@@ -39,11 +39,11 @@ def _simple_sql() -> str:
         ("pricingInfo_isAccessTP_flag", Q.flag("pricingInfo_isAccessTP")),
     ] + [(f"{c}_encoded", f"e.{c}_encoded") for c in LABEL_COLS]
     sel = ", ".join(f"coalesce(TRY_CAST({e} AS DOUBLE), 0.0) AS {n}" for n, e in feats)
-    return with_options(_fix_integral(f"""{CTE_TR}
+    return with_options(f"""{CTE_TR}
 dict AS ({_dict_sql(LABEL_COLS)}),
 enc AS ({_encode_sql(LABEL_COLS, "_encoded")})
 SELECT o.Id, o.ranker_id, o.selected, {sel}
-FROM od o JOIN enc e ON o.Id = e.Id"""))
+FROM od o JOIN enc e ON o.Id = e.Id""")
 
 
 @query("clean_select", _simple_sql())

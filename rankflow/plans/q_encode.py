@@ -26,7 +26,9 @@ def _with_primary(o):
 
 
 def _key(c, missing=True):
-    k = f"CAST({c} AS VARCHAR)" if c in INTEGRAL else c
+    """SQL key text of a category column (integral columns as decimal text);
+    ``c`` may be qualified (``x.profileId``)."""
+    k = f"CAST({c} AS VARCHAR)" if c.split(".")[-1] in INTEGRAL else c
     return f"coalesce({k}, 'missing')" if missing else k
 
 
@@ -58,17 +60,9 @@ od AS (SELECT *, {PRIMARY} FROM options),
 tr AS (SELECT * FROM od WHERE {HASH_TRAIN}),"""
 
 
-def _fix_integral(sql):
-    # _key on 'x.profileId' must cast the qualified name too
-    for c in INTEGRAL:
-        sql = sql.replace(f"coalesce(x.{c}, 'missing')", f"coalesce(CAST(x.{c} AS VARCHAR), 'missing')")
-        sql = sql.replace(f"d.value = x.{c}", f"d.value = CAST(x.{c} AS VARCHAR)")
-    return sql
-
-
-LABEL_SQL = with_options(_fix_integral(f"""{CTE_TR}
+LABEL_SQL = with_options(f"""{CTE_TR}
 dict AS ({_dict_sql(LABEL_COLS)})
-{_encode_sql(LABEL_COLS, "_encoded")}"""))
+{_encode_sql(LABEL_COLS, "_encoded")}""")
 
 
 @query("label_encode", LABEL_SQL)
