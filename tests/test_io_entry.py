@@ -81,3 +81,32 @@ def test_oracle_agrees_at_tiny_scale(spark, key):
     b = sorted(tuple(r[i] for i in idx) for r in rel.fetchall())
     norm = lambda rows: [tuple(list(x) if isinstance(x, (list, tuple)) else x for x in r) for r in rows]
     assert norm(a) == norm(b)
+
+
+def test_price_tiers_fitted_and_cluster_side_agree(spark):
+    from rankflow.operators.features import PriceTiers
+    o = options_view(spark, SF_TINY).select("Id", "totalPrice")
+    t = PriceTiers().fit(o)
+    a = {r["Id"]: (r["is_budget_flight"], r["is_luxury_flight"]) for r in t.transform(o).collect()}
+    th = o.agg(F.percentile("totalPrice", 0.25).alias("q25"), F.percentile("totalPrice", 0.75).alias("q75"),
+               F.percentile("totalPrice", 0.9).alias("q90"))
+    b = {r["Id"]: (r["is_budget_flight"], r["is_luxury_flight"]) for r in
+         PriceTiers.transform_with(o, th).collect()}
+    assert a == b
+    assert sum(v[0] for v in a.values()) == pytest.approx(0.25 * len(a), abs=2)
+
+
+def test_downsize_report_and_apply(spark):
+    df = spark.createDataFrame([(1, 100000, 1.5), (2, -5, 2.5)], "a long, b long, c double")
+    rep = {r["column"]: r["new_type"] for r in C.downsize_report(df).collect()}
+    assert rep == {"a": "tinyint", "b": "int", "c": "float"}
+    out = C.apply_downsize(df, C.downsize_report(df).collect())
+    assert dict(out.dtypes) == {"a": "tinyint", "b": "int", "c": "float"}
+
+
+def test_read_sessions_file_cap(spark, tmp_path):
+    from rankflow.sources import documents as D
+    for i in range(5):
+        (tmp_path / f"s{i}.json").write_text('{"ranker_id": "s%d"}' % i)
+    got = [r["file_name"] for r in D.read_sessions(spark, str(tmp_path), max_files=2).collect()]
+    assert sorted(got) == ["s0.json", "s1.json"]

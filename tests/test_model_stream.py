@@ -80,3 +80,20 @@ def test_listwise_boosting_learns_and_stops(spark):
     rnd = M.hitrate_sessions(xte.withColumn("score", F.rand(7)), "score", min_group_size=10).first()["hitrate"]
     got = O.evaluate(m.transform(xte)).first()["hitrate_sessions"]
     assert got > rnd + 0.2
+
+
+def test_streaming_restart_is_exactly_once(spark, tmp_path):
+    from rankflow.streaming.ingest import start_ingest
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    src.mkdir()
+
+    def put(i):
+        d = {"ranker_id": f"R{i}", "data": {"$values": [{"legs": [], "pricings": [{"totalPrice": 1.0 * i}]}]}}
+        (src / f"R{i}.json").write_text(json.dumps(d))
+    for i in range(2):
+        put(i)
+    start_ingest(spark, str(src), out, ck).awaitTermination(120)
+    put(2)                                      # a new file arrives; the job restarts from its checkpoint
+    start_ingest(spark, str(src), out, ck).awaitTermination(120)
+    ids = sorted(r["Id"] for r in spark.read.parquet(out).collect())
+    assert ids == ["R0_0_0", "R1_0_0", "R2_0_0"]
