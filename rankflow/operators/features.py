@@ -492,16 +492,32 @@ class _ColumnCollector:
         return self
 
 
+_FAMILY_CACHE: dict = {}
+
+
 def engineer_features(df: DataFrame, form: str = "full",
                       extra: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Every family of ``form`` in one projection (plus P3u user-added
     functions, applied afterwards with ``DataFrame.transform``). Row-wise
     only: no shuffle. Session aggregates (``operators.session``), price tiers
-    and encoders are separate because they are per-session or fitted."""
+    and encoders are separate because they are per-session or fitted.
+
+    The expressions depend only on the input schema and are unresolved
+    (by column name), so the set built for one schema is reused for the next
+    DataFrame with the same schema instead of being rebuilt from Python."""
+    from pyspark import SparkContext
     collector = _ColumnCollector(df)
-    for fn in family_pipeline(form):
-        fn(collector)
-    out = df.withColumns(collector.cols) if collector.cols else df
+    key = (id(SparkContext._active_spark_context), form,
+           tuple((f.name, f.dataType.simpleString()) for f in collector.schema.fields))
+    cols = _FAMILY_CACHE.get(key)
+    if cols is None:
+        for fn in family_pipeline(form):
+            fn(collector)
+        cols = collector.cols
+        if len(_FAMILY_CACHE) > 64:
+            _FAMILY_CACHE.clear()
+        _FAMILY_CACHE[key] = cols
+    out = df.withColumns(cols) if cols else df
     for fn in extra or []:
         out = out.transform(fn)
     return out

@@ -158,10 +158,15 @@ def stats_left_join(df: DataFrame, stats: DataFrame, key: str = GROUP) -> DataFr
 
 
 def dictionary_lookup(df: DataFrame, dictionary: DataFrame, key: str, value: str,
-                      out: str, default=None, broadcast: bool = True) -> DataFrame:
-    """``Series.map(dict).fillna(default)``. The dictionary is a fitted,
-    size-checked table (one row per key), so it is broadcast."""
+                      out: str, default=None, broadcast: bool | None = None,
+                      broadcast_limit: int = 2_000_000) -> DataFrame:
+    """``Series.map(dict).fillna(default)``. The dictionary (one row per
+    key) is broadcast when ``broadcast`` is true, or, by default, when a
+    bounded count shows at most ``broadcast_limit`` keys; otherwise the
+    planner's shuffle join is used."""
     d = dictionary.select(F.col(key).alias("_k"), F.col(value).alias(out))
+    if broadcast is None:
+        broadcast = d.limit(broadcast_limit + 1).count() <= broadcast_limit
     d = F.broadcast(d) if broadcast else d
     j = df.join(d, df[key] == d["_k"], "left").drop("_k")
     if default is not None:

@@ -78,13 +78,28 @@ def option_columns(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -
         + RULE_COLUMNS + ["selected"]
 
 
+_VIEW_PLANS: dict = {}
+
+
 def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
                  max_segments: int = MAX_SEGMENTS, materialize: bool = False) -> DataFrame:
     """The wide option table, one row per order (= option). ``materialize``
-    checkpoints it once for callers that run several jobs over it."""
+    writes it once for callers that run several jobs over it.
+
+    The logical plan (not data) is memoised per session and input folder:
+    DataFrames are immutable, every action still scans the tables and
+    computes everything; only the Python-side plan construction is saved."""
     if materialize:
         from ..session import materialize as _m
-        return _m(options_view(spark, sf_dir, max_legs, max_segments))
+        return _m(options_view(spark, sf_dir, max_legs, max_segments), "options")
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), max_legs, max_segments)
+    plan = _VIEW_PLANS.get(key)
+    if plan is None:
+        plan = _VIEW_PLANS[key] = _build_options_view(spark, sf_dir, max_legs, max_segments)
+    return plan
+
+
+def _build_options_view(spark: SparkSession, sf_dir: str, max_legs: int, max_segments: int) -> DataFrame:
     t = lambda n: load_table(spark, sf_dir, n)
     nslots = max_legs * max_segments
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
