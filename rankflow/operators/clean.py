@@ -107,8 +107,9 @@ class MedianImputerModel:
 
 class MedianImputer:
     """Fill nulls of numeric columns with the exact (interpolated)
-    training median. Fit is one aggregate for all columns; only columns
-    that have nulls in training are filled, as in the reference."""
+    training median. Fit is two aggregates: null counts of all columns, then
+    medians of the columns that have nulls (only those are filled, as in
+    the reference)."""
 
     def __init__(self, columns: list[str] | None = None):
         self.columns = columns
@@ -116,10 +117,14 @@ class MedianImputer:
     def fit(self, df: DataFrame) -> MedianImputerModel:
         cols = self.columns or numeric_columns(df)
         cols = [c for c in cols if not isinstance(df.schema[c].dataType, BooleanType)]
-        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols],
-                     *[F.median(F.col(c)).alias(f"m_{c}") for c in cols]).first()
-        med = {c: (float(row[f"m_{c}"]) if row[f"m_{c}"] is not None else None)
-               for c in cols if row[f"n_{c}"] > 0}
+        # pass 1: which columns have nulls (cheap counts); pass 2: exact
+        # medians of those columns only
+        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        gaps = [c for i, c in enumerate(cols) if counts[f"n{i}"] > 0]
+        if not gaps:
+            return MedianImputerModel({})
+        row = df.agg(*[F.median(F.col(c)).alias(f"m{i}") for i, c in enumerate(gaps)]).first()
+        med = {c: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else None) for i, c in enumerate(gaps)}
         return MedianImputerModel(med)
 
 

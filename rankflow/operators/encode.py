@@ -50,23 +50,69 @@ def _lookup(df: DataFrame, dictionary: DataFrame, rows: int, feature: str, key:
     return df.join(d, key == F.col(f"_k_{out}"), "left").drop(f"_k_{out}")
 
 
+INLINE_LIMIT = 20_000       # entries per column embedded as a map literal
+INLINE_TOTAL = 200_000      # entries over all columns of one model
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        return f"{v!r}D" if v == v and v not in (float("inf"), float("-inf")) else f"double('{v}')"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _inline_maps(dictionary: DataFrame, sizes: dict, value_col: str) -> dict:
+    """Collect the dictionaries of columns small enough to embed (the sizes
+    were counted at fit time, so the collect is bounded by INLINE_TOTAL)."""
+    small, total = [], 0
+    for c, n in sorted(sizes.items(), key=lambda kv: kv[1]):
+        if n <= INLINE_LIMIT and total + n <= INLINE_TOTAL:
+            small.append(c)
+            total += n
+    maps = {c: [] for c in small}
+    if small:
+        for r in dictionary.filter(F.col("feature").isin(small)).select("feature", "value", value_col).collect():
+            maps[r["feature"]].append((r["value"], r[value_col]))
+    return maps
+
+
+def _map_lookup(pairs: list, key: Column) -> Column:
+    """``try_element_at(map(k1, v1, ...), key)`` built as one SQL expression."""
+    if not pairs:
+        return F.lit(None)
+    body = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in pairs)
+    return F.when(key.isNotNull(), F.try_element_at(F.expr(f"map({body})"), key))
+
+
 class LabelEncoderModel:
     def __init__(self, columns, dictionary, missing_codes, sizes, suffix, broadcast_limit,
                  with_missing):
         self.columns, self.dictionary = columns, dictionary
         self.missing_codes, self.sizes = missing_codes, sizes
         self.suffix, self.broadcast_limit, self.with_missing = suffix, broadcast_limit, with_missing
+        self.maps = _inline_maps(dictionary, sizes, "code")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Unseen and null values take the code of 'missing' (J1) or -1."""
+        """Unseen and null values take the code of 'missing' (J1) or -1.
+        Small dictionaries are map lookups in one projection; large ones are
+        joined (broadcast under ``broadcast_limit``)."""
+        inline = {}
         for c in self.columns:
-            out = f"{c}{self.suffix}" if self.suffix else f"_{c}_code"
+            out = f"{c}{self.suffix}" if self.suffix else c
             key = F.coalesce(key_string(df, c), F.lit(MISSING)) if self.with_missing else key_string(df, c)
-            df = _lookup(df, self.dictionary, self.sizes[c], c, key, "code", out, self.broadcast_limit)
-            df = df.withColumn(out, F.coalesce(F.col(out), F.lit(self.missing_codes[c])).cast("int"))
-            if not self.suffix:
-                df = df.withColumn(c, F.col(out)).drop(out)
-        return df
+            if c in self.maps:
+                inline[out] = F.coalesce(_map_lookup(self.maps[c], key),
+                                         F.lit(self.missing_codes[c])).cast("int")
+                continue
+            tmp = f"_{c}_code"
+            df = _lookup(df, self.dictionary, self.sizes[c], c, key, "code", tmp, self.broadcast_limit)
+            df = df.withColumn(out, F.coalesce(F.col(tmp), F.lit(self.missing_codes[c])).cast("int")).drop(tmp)
+        return df.withColumns(inline) if inline else df
 
 
 class LabelEncoder:
@@ -108,16 +154,21 @@ class FrequencyEncoderModel:
     def __init__(self, columns, dictionary, sizes, drop_source, broadcast_limit):
         self.columns, self.dictionary, self.sizes = columns, dictionary, sizes
         self.drop_source, self.broadcast_limit = drop_source, broadcast_limit
+        self.maps = _inline_maps(dictionary, sizes, "count")
 
     def transform(self, df: DataFrame) -> DataFrame:
+        inline = {}
         for c in self.columns:
             out = f"{c}_freq"
+            if c in self.maps:
+                inline[out] = F.coalesce(_map_lookup(self.maps[c], key_string(df, c)), F.lit(0)).cast("long")
+                continue
             df = _lookup(df, self.dictionary, self.sizes[c], c, key_string(df, c), "count", out,
                          self.broadcast_limit)
             df = df.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
-            if self.drop_source:
-                df = df.drop(c)
-        return df
+        if inline:
+            df = df.withColumns(inline)
+        return df.drop(*self.columns) if self.drop_source else df
 
 
 class FrequencyEncoder:
@@ -172,15 +223,21 @@ class TargetEncoderModel:
     def __init__(self, columns, dictionary, sizes, global_mean, broadcast_limit):
         self.columns, self.dictionary, self.sizes = columns, dictionary, sizes
         self.global_mean, self.broadcast_limit = global_mean, broadcast_limit
+        self.maps = _inline_maps(dictionary, sizes, "enc") if dictionary is not None else {}
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Null and unseen categories take the training global mean."""
+        inline = {}
         for c in self.columns:
             out = f"{c}_target_encoded"
+            if c in self.maps:
+                inline[out] = F.coalesce(_map_lookup(self.maps[c], key_string(df, c)).cast("double"),
+                                         F.lit(self.global_mean))
+                continue
             df = _lookup(df, self.dictionary, self.sizes[c], c, key_string(df, c), "enc", out,
                          self.broadcast_limit)
             df = df.withColumn(out, F.coalesce(F.col(out), F.lit(self.global_mean)))
-        return df
+        return df.withColumns(inline) if inline else df
 
 
 class TargetEncoder:

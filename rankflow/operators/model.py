@@ -72,7 +72,10 @@ class MatrixPrep:
     def __init__(self, exclude=EXCLUDE, threshold: int = 1000):
         self.exclude, self.threshold = tuple(exclude), threshold
 
-    def fit(self, train: DataFrame) -> MatrixPrepModel:
+    def fit(self, train: DataFrame, materialize_input: bool = True) -> MatrixPrepModel:
+        if materialize_input:            # the fits below run several jobs over it
+            from ..session import materialize
+            train = materialize(train, "prep-input")
         strings = [f.name for f in train.schema.fields
                    if isinstance(f.dataType, StringType) and f.name not in self.exclude]
         enc = CardinalityEncoder(strings, threshold=self.threshold).fit(train) if strings else None

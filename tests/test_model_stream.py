@@ -97,3 +97,18 @@ def test_streaming_restart_is_exactly_once(spark, tmp_path):
     start_ingest(spark, str(src), out, ck).awaitTermination(120)
     ids = sorted(r["Id"] for r in spark.read.parquet(out).collect())
     assert ids == ["R0_0_0", "R1_0_0", "R2_0_0"]
+
+
+def test_run_solution_end_to_end(spark, tmp_path):
+    from rankflow.plans.solution import run_solution
+    from rankflow.sources.views import options_view
+    from .conftest import SF_TINY
+    o = options_view(spark, SF_TINY)
+    train, test = group_split(o)
+    res = run_solution(train, test, out_dir=str(tmp_path), folds=2,
+                       gbt_params={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5})
+    chk = res.submission_check.first()
+    assert chk["valid"] and chk["rows_submission"] == test.count()
+    assert res.cv.count() == 2 and res.cv_summary.first()["folds"] == 2
+    assert res.submission_path and spark.read.option("header", True).csv(res.submission_path).count() == test.count()
+    assert res.importance.count() > 50
