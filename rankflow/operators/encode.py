@@ -50,8 +50,8 @@ def _lookup(df: DataFrame, dictionary: DataFrame, rows: int, feature: str, key:
     return df.join(d, key == F.col(f"_k_{out}"), "left").drop(f"_k_{out}")
 
 
-INLINE_LIMIT = 20_000       # entries per column embedded as a map literal
-INLINE_TOTAL = 200_000      # entries over all columns of one model
+INLINE_LIMIT = 1_000        # entries per column embedded as a map literal
+INLINE_TOTAL = 20_000       # entries over all columns of one model
 
 
 def _sql_literal(v) -> str:
