@@ -118,10 +118,17 @@ def prediction_analysis(df: DataFrame, score_col: str = "score", group: str = "r
     return attach_row(stats, sep)
 
 
-def rank_distribution(df: DataFrame, score_col: str = "score", group: str = "ranker_id") -> DataFrame:
-    """How many rows get each dense rank (score descending)."""
-    return (df.select(dense_rank_desc(score_col, group).alias("rank"))
-              .groupBy("rank").agg(F.count(F.lit(1)).alias("n")))
+def rank_distribution(df: DataFrame, score_col: str = "score", group: str = "ranker_id",
+                      skew_safe: bool = False) -> DataFrame:
+    """How many rows get each dense rank (score descending).
+    ``skew_safe`` takes the ranks from range-partitioned counts instead of a
+    session window (for very large sessions)."""
+    if skew_safe:
+        from ..functions.skew import add_dense_rank_desc_skew_safe
+        ranked = add_dense_rank_desc_skew_safe(df.select(group, score_col), score_col, group, name="rank")
+    else:
+        ranked = df.select(dense_rank_desc(score_col, group).alias("rank"))
+    return ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 def grade(score_col: str = "hitrate") -> F.Column:

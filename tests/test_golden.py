@@ -194,3 +194,9 @@ def test_skew_safe_strict_and_dense_ranks(spark):
     b2 = {r["Id"]: r["d"] for r in add_dense_rank_desc_skew_safe(df, "v", name="d").collect()}
     assert {k: v[0] for k, v in a.items()} == b1
     assert {k: v[1] for k, v in a.items()} == b2
+
+
+def test_rank_distribution_forms_agree(spark, hitrate_table):
+    a = sorted(tuple(r) for r in M.rank_distribution(hitrate_table, "score").collect())
+    b = sorted(tuple(r) for r in M.rank_distribution(hitrate_table, "score", skew_safe=True).collect())
+    assert a == b and sum(n for _, n in a) == hitrate_table.count()
