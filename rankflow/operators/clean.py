@@ -87,11 +87,16 @@ def keep_numeric(df: DataFrame, exclude=()) -> DataFrame:
 
 
 def datetimes_to_epoch(df: DataFrame) -> DataFrame:
-    """Timestamp / date columns -> epoch seconds (null stays null)."""
+    """Timestamp / date columns -> epoch seconds (null stays null).
+    Wall-clock values (timestamp_ntz, date) are measured from the naive
+    epoch, so the result does not depend on the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     cols = {}
     for f in df.schema.fields:
-        if isinstance(f.dataType, (TimestampType, TimestampNTZType, DateType)):
-            cols[f.name] = F.unix_seconds(F.col(f.name).cast("timestamp"))
+        if isinstance(f.dataType, TimestampType):
+            cols[f.name] = F.unix_seconds(F.col(f.name))
+        elif isinstance(f.dataType, (TimestampNTZType, DateType)):
+            cols[f.name] = F.timestamp_diff("SECOND", epoch, F.col(f.name).cast("timestamp_ntz"))
     return df.withColumns(cols) if cols else df
 
 
