@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 from ..functions.indexing import global_index
+from ..session import checkpoint
 
 MISSING = "missing"
 BROADCAST_LIMIT = 2_000_000
@@ -137,7 +138,7 @@ class LabelEncoder:
         start = idx.groupBy("feature").agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
         dictionary = (idx.join(F.broadcast(start), "feature")
                          .select("feature", "value", (F.col("_idx") - F.col("_start")).cast("int").alias("code")))
-        dictionary = dictionary.checkpoint(eager=True)
+        dictionary = checkpoint(dictionary)
         meta = {r["feature"]: r for r in dictionary.groupBy("feature").agg(       # one row per column
             F.count(F.lit(1)).alias("n"),
             F.max(F.when(F.col("value") == MISSING, F.col("code"))).alias("miss")).collect()}
@@ -181,7 +182,8 @@ class FrequencyEncoder:
 
     def fit(self, df: DataFrame) -> FrequencyEncoderModel:
         d = (_stack(df, self.columns, fill_missing=False)
-             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))).checkpoint(eager=True)
+             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count")))
+        d = checkpoint(d)
         sizes = {r["feature"]: r["n"] for r in d.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
         return FrequencyEncoderModel(self.columns, d, {c: int(sizes.get(c, 0)) for c in self.columns},
                                      self.drop_source, self.broadcast_limit)
@@ -266,6 +268,6 @@ class TargetEncoder:
                    .agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n")))
         d = stats.select("feature", "value",
                          ((F.col("_s") + F.lit(gm) * F.lit(self.m)) / (F.col("_n") + F.lit(self.m))).alias("enc"))
-        d = d.checkpoint(eager=True)
+        d = checkpoint(d)
         sizes = {r["feature"]: r["n"] for r in d.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
         return TargetEncoderModel(keep, d, {c: int(sizes.get(c, 0)) for c in keep}, gm, self.broadcast_limit)

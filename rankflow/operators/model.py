@@ -33,6 +33,7 @@ from . import metrics as M
 from .clean import MedianImputer, datetimes_to_epoch
 from .encode import CardinalityEncoder
 from .split import fold_frames
+from ..session import checkpoint
 
 EXCLUDE = ("Id", "ranker_id", "selected")
 
@@ -196,7 +197,7 @@ def cross_validate(matrix: DataFrame, k: int = 3, fold_col: str = "fold", fit=No
         if "prediction" in s.columns:
             s = s.withColumnRenamed("prediction", "score")
         row = evaluate(s, "score", label).select(F.lit(f).alias("fold"), "*")
-        row = row.checkpoint(eager=True)   # reliable checkpoint: cuts the fold's lineage
+        row = checkpoint(row)   # reliable checkpoint: cuts the fold's lineage
         rows = row if rows is None else rows.unionByName(row)
     matrix.unpersist()
     return rows
@@ -318,11 +319,11 @@ class ListwiseBoostRanker:
             trees.append(tree)
             cur = tree.transform(cur).withColumn("_s", F.col("_s") + F.lit(self.step) * F.col("_p")).drop("_p")
             if (r + 1) % self.checkpoint_every == 0:
-                cur = cur.checkpoint(eager=True)
+                cur = checkpoint(cur)
             if val is not None:
                 val = tree.transform(val).withColumn("_s", F.col("_s") + F.lit(self.step) * F.col("_p")).drop("_p")
                 if (r + 1) % self.checkpoint_every == 0:
-                    val = val.checkpoint(eager=True)
+                    val = checkpoint(val)
                 ranked = val.withColumn("_rank", strict_rank("_s", self.group, "Id"))
                 nd = M.ndcg_at_k(ranked, "_rank", self.label, self.group, self.k).first()["ndcg"]
                 if nd > best:

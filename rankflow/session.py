@@ -70,3 +70,10 @@ def materialize(df, name: str = "table"):
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def checkpoint(df):
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (set from the
+    session, or a scratch folder only when unset, as in local tests)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
