@@ -200,3 +200,14 @@ def test_rank_distribution_forms_agree(spark, hitrate_table):
     a = sorted(tuple(r) for r in M.rank_distribution(hitrate_table, "score").collect())
     b = sorted(tuple(r) for r in M.rank_distribution(hitrate_table, "score", skew_safe=True).collect())
     assert a == b and sum(n for _, n in a) == hitrate_table.count()
+
+
+def test_epoch_seconds_ignore_session_time_zone(spark):
+    from rankflow.operators.clean import datetimes_to_epoch
+    df = spark.createDataFrame([(dt.datetime(1970, 1, 2, 1, 0, 0),)], "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert datetimes_to_epoch(df).first()["t"] == 86400 + 3600
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
