@@ -29,7 +29,7 @@ def profile_dataset(df: DataFrame, group: str = "ranker_id", user: str = "profil
         "max_session_size", "large_sessions_count", "large_sessions_pct")
 
 
-def profile_missing(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+def profile_missing(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Per column missing count / pct, type and distinct count.
 
     Values are stacked as ``(column, value-as-text)`` rows, so every count is

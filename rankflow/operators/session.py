@@ -53,8 +53,9 @@ def session_sizes(df: DataFrame, group: str = GROUP) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
-def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Distinct non-null values of each column, one pass."""
+def distinct_counts(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
+    """Distinct non-null values of each column, one pass (HyperLogLog by
+    default; ``exact=True`` for exact counts)."""
     fn = F.count_distinct if exact else F.approx_count_distinct
     return df.agg(*[fn(F.col(c)).alias(f"n_{c}") for c in columns])
 

@@ -86,7 +86,8 @@ def q_distinct_counts(spark, sf_dir):
     """Distinct values of several columns in one pass."""
     return S.distinct_counts(options_view(spark, sf_dir),
                              ["ranker_id", "nationality", "corporateTariffCode",
-                              "legs0_segments0_marketingCarrier_code", "legs0_segments0_aircraft_code"])
+                              "legs0_segments0_marketingCarrier_code", "legs0_segments0_aircraft_code"],
+                             exact=True)
 
 
 @query("large_session_share", with_options("""
