@@ -40,19 +40,22 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
     ``sample_chars`` characters of each, ``dict_bytes`` in all. Distinct texts
     count once. Rows without text, letter or language are not learned from."""
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = usable.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("piece"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    # a language's share of hashes is set so that about 8 * sample_docs rows
+    # pass: what reaches one task does not grow with the corpus
+    share = F.create_map(*[x for lang, n in counts.items()
+                           for x in (F.lit(lang), F.lit(min(1.0, 8.0 * sample_docs / n)))])[F.col("lang")]
     w = Window.partitionBy("lang").orderBy("turn", "piece")
-    piece = F.substring(F.col(text_col), 1, sample_chars)
-    rows = (usable.select(F.col(lang_col).alias("lang"), piece.alias("piece"))
-            .withColumn("turn", F.xxhash64("piece"))
-            # top-k per language: each task keeps only its own first rows
-            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 4 * sample_docs)
-            .select("lang", "turn", "piece").distinct()
-            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample_docs)
+    rows = (rows.withColumn("turn", F.xxhash64("piece"))
+            .filter(F.pmod("turn", F.lit(1_000_003)) < share * 1_000_003)
+            .distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample_docs)
             .orderBy("lang", "rn").collect())
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(normalized(r["piece"]))
-    # zstandard finds matches near the end of a dictionary most cheaply; order is irrelevant otherwise
     return {lang: b"\n".join(pieces)[:dict_bytes] for lang, pieces in sorted(texts.items())}
 
 
