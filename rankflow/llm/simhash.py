@@ -62,17 +62,18 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE, carry: list[str] = ()) -> DataFrame:
-    """``id, fp`` (signed 64-bit) and ``row`` (struct of ``carry``)."""
+    """``rid`` (row number), ``id, fp`` (signed 64-bit) and ``row`` (struct of ``carry``)."""
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"),
+                      F.col(text_col).alias("text"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["id", "fp", "row"])
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps), batch.column(3)], names=["rid", "id", "fp", "row"])
 
     kind = src.schema["row"].dataType.simpleString()
-    return src.mapInArrow(run, f"id long, fp long, row {kind}")
+    return src.mapInArrow(run, f"rid long, id long, fp long, row {kind}")
 
 
 def bit_statistics(fps: DataFrame) -> np.ndarray:
@@ -217,17 +218,33 @@ def _through_neighbours(fps: DataFrame, max_bits: int, radius: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
-                    max_bits: int = MAX_BITS, carry: list[str] = ()) -> DataFrame:
-    """``id, fp, component_id, row``, a row per input row. Null and empty texts
-    have fingerprint 0 and are linked like any other; rows without an id are
-    linked but never name a component that has another id (it is null only if
-    no row of it has an id). Repeated rows share their component. An empty
-    table gives no rows; ``row`` is a struct of the columns ``carry``."""
-    marked = parquet_stage(fingerprints(docs, id_col, text_col, words, carry), "simhash-docs")
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """``id, fp, component_id``, a row per input row. Null and empty texts have
+    fingerprint 0 and are linked like any other; rows without an id are linked
+    but never name a component that has another id (it is null only if no row
+    of it has an id). Repeated rows share their component. An empty table gives
+    no rows. Other columns play no part."""
+    marked = parquet_stage(fingerprints(docs, id_col, text_col, words), "simhash-docs")
+    return marked.join(_groups(marked, max_bits), "fp").select("id", "fp", "component_id")
+
+
+def _groups(marked: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, group`` (a fingerprint of the component) and ``component_id``."""
     first = parquet_stage(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
     found = components(link(first, max_bits))
     named = first.join(found, first["fp"] == found["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("group"))
     lows = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(lows, "group").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id", "row")
+    return named.join(lows, "group").select("fp", "group", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, a row
+    without an id only where none has one, the first of repeated rows."""
+    cols = list(docs.columns)
+    marked = parquet_stage(fingerprints(docs, id_col, text_col, words, cols), "simhash-docs")
+    groups = _groups(marked.select("id", "fp"), max_bits)
+    stays = (marked.select("rid", "id", "fp").join(groups, "fp").groupBy("group")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first")).select("first.rid"))
+    return marked.select("rid", "row").join(stays, "rid", "left_semi").select(*[F.col("row")[c].alias(c) for c in cols])
