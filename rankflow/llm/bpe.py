@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TRANSITIONS = 1_000_000   # remembered by one worker; beyond, it starts again
-MAX_CHUNKS = 450_000          # remembered pieces of text of one worker, half of those kept
+MAX_TRANSITIONS = 400_000   # remembered by one worker; beyond, it starts again
+MAX_CHUNKS = 350_000          # remembered pieces of text of one worker
 FLUSH = 1024                  # bytes between two looks for decided tokens in a long piece
 NEVER = 1 << 60
+MARKS = frozenset(".,;:!?")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,7 +219,18 @@ class Encoder:
 
         class AfterBlank(dict):
             def __missing__(self, chunk):
-                self[chunk] = found = Chunks.__missing__(encoder.chunks, " " + chunk)
+                # letters, or letters and a mark, need no pattern
+                if chunk.isalpha():
+                    pieces = (" " + chunk,)
+                elif chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                    pieces = (" " + chunk[:-1], chunk[-1])
+                else:
+                    pieces = encoder.split(" " + chunk)
+                run = encoder.transducer.encode
+                for piece in pieces:
+                    encoder.ids.extend(run(piece.encode("utf-8", "surrogatepass")))
+                encoder.ends.append(len(encoder.ids))
+                self[chunk] = found = len(encoder.ends) - 2
                 return found
 
         self.ids, self.ends = array("i"), array("q", [0])
@@ -227,7 +239,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        if len(self.after) + len(self.chunks) > 2 * MAX_CHUNKS:
+        if len(self.after) + len(self.chunks) > MAX_CHUNKS:
             self.forget()
         if not self.at_blanks or self.wide_space(text):
             chunks = self.split(text)

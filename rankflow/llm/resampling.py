@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import parquet_stage
 
 BUCKETS = 16_384        # hashed n-grams share this many counters
-SMOOTHING = 1.0         # added to every counter
+PRIOR = 1_000.0         # n-grams of the raw model that the target's counts start from
 LENGTH = 64.0           # n-grams that a document's mean log ratio stands for
 BINS = 4_096            # counters of one selection pass
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -76,13 +76,16 @@ def count_ngrams(docs: DataFrame, text_col: str, target: Column, buckets: int =
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """The model: log(target share / raw share) per bucket (``buckets`` numbers)."""
-    raw, good = np.full(buckets, smoothing), np.full(buckets, smoothing)
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
+    """The model: log(target share / raw share) per bucket (``buckets`` numbers).
+    The target's counts start from ``prior`` n-grams dealt as in the raw model,
+    so what the target has not shown is judged mildly, the less it has shown in all."""
+    raw, good = np.ones(buckets), np.zeros(buckets)
     for r in counts.collect():
         raw[r["bucket"]] += r["raw"]
         good[r["bucket"]] += r["target"]
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    return np.log((good + prior * raw) / (good.sum() + prior)) - np.log(raw)
 
 
 def weigh(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
@@ -167,11 +170,11 @@ def select(docs: DataFrame, target: Column, k: int | None = None, id_col: str =
     """``id, log_weight, key, selected``. ``target`` marks the rows whose texts
     are the target; a null mark means no. Without ``k`` as many documents are
     drawn as the corpus is expected to have of the target's kind: the number of
-    rows with a positive log weight. Repeated rows are drawn independently but
+    rows whose log weight is not negative. Repeated rows are drawn independently but
     with the same noise; an empty table gives no rows; without target rows all
-    weights are those of an even model."""
+    weights are 0."""
     model = log_ratios(count_ngrams(docs, text_col, target))
     weighed = parquet_stage(weigh(docs, model, id_col, text_col, seed), "resample-keys")
     if k is None:
-        k = weighed.filter("log_weight > 0").count()
+        k = weighed.filter("log_weight >= 0").count()
     return top_k(weighed, "key", ["id"], k)
