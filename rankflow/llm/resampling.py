@@ -25,6 +25,7 @@ BUCKETS = 16_384        # hashed n-grams share this many counters
 PRIOR = 1_000.0         # n-grams of the raw model that the target's counts start from
 LENGTH = 64.0           # n-grams that a document's mean log ratio stands for
 BINS = 4_096            # counters of one selection pass
+TARGET_DOCS = 20_000    # at most this many labelled documents make the target model
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
@@ -165,6 +166,18 @@ def _first(rows: DataFrame, keys: list[str], tie: list[str], k: int) -> DataFram
         rows.exceptAll(ranked).withColumn("selected", F.lit(False)))
 
 
+def mark_target(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", most: int = TARGET_DOCS,
+                mark: str = "_target") -> DataFrame:
+    """``docs`` with ``mark``: is the row one of the target's documents? These
+    are the ``most`` ids of ``good`` with the smallest hashes (null ids are
+    none); so bounded, they are broadcast, and no text moves."""
+    some = good.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct()
+    some = some.orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn(mark, F.lit(True))
+    cols = [F.col(c) for c in docs.columns if c != mark]
+    return docs.select(*cols).join(F.broadcast(some), F.col(id_col) == F.col("_id"), "left").select(
+        *cols, F.coalesce(mark, F.lit(False)).alias(mark))
+
+
 def select(docs: DataFrame, target: Column, k: int | None = None, id_col: str = "doc_id", text_col: str = "text",
            seed: str = "resample") -> DataFrame:
     """``id, log_weight, key, selected``. ``target`` marks the rows whose texts

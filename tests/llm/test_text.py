@@ -146,6 +146,15 @@ def test_resampling_model_and_selection(spark):
         assert r["log_weight"] == pytest.approx(resampling.LENGTH * ratio[h((good + junk)[r["id"]])].mean())
 
 
+def test_target_marks_are_bounded(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("_target"))
+    good = spark.createDataFrame([(i,) for i in [*range(30), 3, None]], "doc_id long")
+    assert resampling.mark_target(docs, good).filter("_target").count() == 30
+    few = {r["doc_id"] for r in resampling.mark_target(docs, good, most=7).filter("_target").collect()}
+    assert len(few) == 7 and few <= set(range(30))
+    assert resampling.mark_target(docs, good.limit(0)).filter("_target").count() == 0
+
+
 @pytest.mark.parametrize("k", [0, 1, 3, 7, 8, 50])
 def test_top_k_is_exact(spark, k):
     keys = [5.0, 5.0, -1.5, float("-inf"), float("inf"), 5.0, 0.25, None]
