@@ -23,7 +23,7 @@ from .common import parquet_stage, scratch_path
 BLOCK_BYTES = 4 << 20       # text of a block aimed at
 BUCKET_BYTES = 24 << 20     # text per hash bucket: bounds what one bucket sorts
 REQUEST = "blk int, bucket int, keys binary, many binary"
-REPLY = "blk int, bucket int, bits binary"
+REPLY = "blk int, bucket int, bits binary, note binary"
 
 
 @dataclass
@@ -80,9 +80,40 @@ def requests(blk: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pa.T
                      "keys": pa.array([r[1] for r in rows], pa.binary()), "many": pa.array([r[2] for r in rows], pa.binary())})
 
 
+def note(blk: int, index: np.ndarray, mask: np.ndarray) -> pa.Table:
+    """What a block tells its own next pass, sent along with its requests."""
+    return pa.table({"blk": pa.array([blk], pa.int32()), "bucket": pa.array([-1 - blk], pa.int32()),
+                     "keys": pa.array([index.astype(np.int32).tobytes()], pa.binary()),
+                     "many": pa.array([np.packbits(mask).tobytes()], pa.binary())})
+
+
+def answer_index(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each distinct key's bit is in the block's replies, taken in the
+    order of their buckets, each filled up to whole bytes."""
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, start, size = np.unique(bucket[order], return_index=True, return_counts=True)
+    padded = np.cumsum(-(-size // 8) * 8) - (-(-size // 8) * 8)
+    index = np.empty(len(keys), np.int64)
+    index[order] = np.arange(len(keys)) + np.repeat(padded - start, size)
+    return index
+
+
+def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's reply bits in that order, and its note (index, packed mask)."""
+    rows = sorted(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), table.column("note").to_pylist()))
+    bits = b"".join(b for k, b, _ in rows if k >= 0)
+    index, mask = next(((i, m) for k, i, m in rows if k < 0), (b"", b""))
+    return (np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool), np.frombuffer(index, np.int32), np.frombuffer(mask, np.uint8))
+
+
 def replies(requested: DataFrame, lanes: int) -> DataFrame:
-    """For each request a bit per key: does it occur more than once in all?"""
+    """For each request a bit per key: does it occur more than once in all?
+    Notes come back as they are."""
     def resolve(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"),
+                             "bits": table.column("keys"), "note": table.column("many")})
         parts = [np.frombuffer(k, np.uint64).reshape(-1, lanes) for k in table.column("keys").to_pylist()]
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)).astype(bool)
                                for m, p in zip(table.column("many").to_pylist(), parts)])
@@ -90,7 +121,8 @@ def replies(requested: DataFrame, lanes: int) -> DataFrame:
         again |= np.bincount(inverse, many, len(found)) > 0
         bits = np.split(again[inverse], np.cumsum([len(p) for p in parts])[:-1])
         return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"),
-                         "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+                         "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()),
+                         "note": pa.nulls(len(parts), pa.binary())})
 
     return parquet_stage(requested.groupBy("bucket").applyInArrow(resolve, REPLY), "block-replies")
 

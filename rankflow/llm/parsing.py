@@ -200,7 +200,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found, _, many = _Block(table, window).phrases()
         return requests(table.column("blk")[0].as_py(), found, many, buckets)
 
-    first = replies(by_block.applyInArrow(ask_phrases, REQUEST), 1)
+    first = replies(by_block.applyInArrow(ask_phrases, REQUEST), 1).drop("note")
 
     def after_first(table: pa.Table, reply: pa.Table) -> _Block:
         block = _Block(table, window)
@@ -221,7 +221,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     asked = parquet_stage(by_block.cogroup(first.groupBy("blk")).applyInArrow(ask_around, REQUEST + ", loose boolean"), "pfp-around")
     around = parquet_stage(asked.filter("NOT loose").groupBy("bucket").applyInArrow(_resolve_around, ANSWER_AROUND), "pfp-around-replies")
-    loose = replies(asked.filter("loose").drop("loose"), 2)
+    loose = replies(asked.filter("loose").drop("loose"), 2).drop("note")
     answers = (first.withColumn("step", F.lit(1)).unionByName(around.withColumn("step", F.lit(2)))
                .unionByName(loose.withColumn("step", F.lit(3))))
 

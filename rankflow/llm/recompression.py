@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import REQUEST, Rolling, block_table, covered, distinct, mix, replies, requests, texts, unpack
+from .blocks import (REQUEST, Rolling, answer_index, answers, block_table, covered, distinct, mix, note, replies, requests,
+                     texts, unpack)
 
 WINDOW = 35
 ROUNDS = 6
@@ -72,8 +72,8 @@ def recompress(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, longest
     the documents in order), none across documents. At a document's end the
     context reaches beyond it: what is outside takes part in the decision."""
     n = len(names)
-    name, doc, length = mix(names), doc, np.ones(n, np.int64)
-    left, right = np.arange(n), np.arange(1, n + 1)
+    name, doc, length = mix(names), doc.astype(np.int32), np.ones(n, np.int32)
+    left, right = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
     for k in range(rounds):
         if len(name) < 2:
             break
@@ -196,29 +196,33 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def ask_windows(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return requests(0, np.zeros((0, 2), np.uint64), np.zeros(0, bool), buckets)
-        _, (found, _, many) = _Block(table, window).windows(reply, buckets)
-        return requests(table.column("blk")[0].as_py(), found, many, buckets)
+        block, blk = _Block(table, window), table.column("blk")[0].as_py()
+        at, (found, inverse, many) = block.windows(reply, buckets)
+        mask = np.zeros(block.n, bool)
+        mask[at] = True
+        # the last pass finds each candidate's answer by this note alone
+        return pa.concat_tables([requests(blk, found, many, buckets), note(blk, answer_index(found, buckets)[inverse], mask)])
 
     again = replies(by_block.cogroup(names.groupBy("blk")).applyInArrow(ask_windows, REQUEST), 2)
-    answers = names.withColumn("step", F.lit(1)).unionByName(again.withColumn("step", F.lit(2)))
     kind = rows.schema["row"].dataType
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_words", T.LongType()),
                         T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("row", kind)])
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-        block = _Block(table, window)
-        first, second = (reply.filter(pc.equal(reply.column("step"), k)) for k in (1, 2))
-        at, (found, inverse, _) = block.windows(first, buckets)
-        gone = covered(at[unpack(second, found, buckets)[inverse]], window, block.n) if block.n else np.zeros(0, bool)
-        kept, removed = [], []
-        for text, end, size in zip(block.texts, block.ends.tolist(), block.sizes.tolist()):
-            own = gone[end - size:end]
-            n = int(own.sum())
-            words = text.split()
-            kept.append(b" ".join(compress(words, (~own).tolist()) if n else words))
-            removed.append(n)
-        return pa.table({"id": table.column("id"), "n_words": pa.array(block.sizes), "n_removed": pa.array(removed, pa.int64()),
+        split = [t.split() for t in texts(table)]
+        sizes = np.array([len(words) for words in split], np.int64)
+        bits, index, packed = answers(reply)
+        n = int(sizes.sum())
+        at = np.flatnonzero(np.unpackbits(packed, count=n))
+        gone = covered(at[bits[index]], window, n) if n else np.zeros(0, bool)
+        kept, removed, end = [], [], 0
+        for words in split:
+            own = gone[end:end + len(words)]
+            end += len(words)
+            count = int(own.sum())
+            kept.append(b" ".join(compress(words, (~own).tolist()) if count else words))
+            removed.append(count)
+        return pa.table({"id": table.column("id"), "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()),
                          "kept": pa.array(kept, pa.binary()).cast(pa.string()), "row": table.column("row")})
 
-    return rows.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(remove, out)
+    return rows.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(remove, out)
