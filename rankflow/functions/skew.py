@@ -5,7 +5,9 @@ if one session holds a large share of the rows that task becomes the job.
 Here the same ranks are computed from counts:
 
 1. ``(session, value) -> n`` with partial aggregation (ties collapse);
-2. those pairs are range-partitioned on ``(session, value)``, so a hot
+2. those pairs are range-partitioned on ``(session, value)`` and stored with
+   their partition number (boundaries are sampled, so deriving them twice
+   need not agree), so a hot
    session is spread over many partitions, and each partition computes
    running counts per session in its slice;
 3. a small table with one row per (partition, session) gives each slice the
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import range_parts
+
 
 def rank_counts(df: DataFrame, value: str, group: str = "ranker_id",
                 partitions: int | None = None) -> DataFrame:
@@ -33,7 +37,7 @@ def rank_counts(df: DataFrame, value: str, group: str = "ranker_id",
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(value)
     pairs = df.filter(v.isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    parts = pairs.repartitionByRange(n, group, value).withColumn("_pid", F.spark_partition_id())
+    parts = range_parts(pairs, n, group, value)
     before = Window.partitionBy("_pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = parts.select("*", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_rows_local"),
                          F.coalesce(F.count(F.lit(1)).over(before), F.lit(0)).alias("_vals_local"))
@@ -85,8 +89,3 @@ def add_strict_rank_skew_safe(df: DataFrame, score: str, group: str = "ranker_id
                                        F.col(tiebreak).alias("t")))
     r = rank_counts(k, "_key", group).select(group, "_key", F.col("min_rank").cast("int").alias(name))
     return k.join(r, [group, "_key"], "left").drop("_key")
-
-
-def session_counts_join(df: DataFrame, group: str = "ranker_id", name: str = "group_size") -> DataFrame:
-    """``count(*) over session`` as partial aggregation + join."""
-    return df.join(df.groupBy(group).agg(F.count(F.lit(1)).alias(name)), group, "left")

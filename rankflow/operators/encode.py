@@ -1,8 +1,7 @@
 """Categorical encoders (J1-J6): ``fit`` on training rows -> model ->
-``transform`` any rows. Fitted state is a small dictionary DataFrame
-``(feature, value, ...)`` kept on the cluster; it is broadcast into the
-transform only when its row count (known from the fit) is under
-``broadcast_limit``, otherwise Spark plans an ordinary shuffle join.
+``transform`` any rows. Fitted state is a dictionary table
+``(feature, value, ...)`` stored as parquet in the shared folder: the planner
+knows its bytes and picks the join, the same code for every size.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 from ..functions.indexing import global_index
-from ..session import checkpoint
+from ..session import materialize
 
 MISSING = "missing"
-BROADCAST_LIMIT = 2_000_000
 
 
 def key_string(df: DataFrame, c: str) -> Column:
@@ -39,81 +37,26 @@ def _stack(df: DataFrame, columns: list[str], fill_missing: bool) -> DataFrame:
     return out if fill_missing else out.filter(F.col("value").isNotNull())
 
 
-def _maybe_broadcast(d: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(d) if rows <= limit else d
-
-
-def _lookup(df: DataFrame, dictionary: DataFrame, rows: int, feature: str, key: Column,
-            value_col: str, out: str, limit: int) -> DataFrame:
+def _lookup(df: DataFrame, dictionary: DataFrame, feature: str, key: Column, value_col: str, out: str) -> DataFrame:
     d = dictionary.filter(F.col("feature") == feature).select(
         F.col("value").alias(f"_k_{out}"), F.col(value_col).alias(out))
-    d = _maybe_broadcast(d, rows, limit)
     return df.join(d, key == F.col(f"_k_{out}"), "left").drop(f"_k_{out}")
 
 
-INLINE_LIMIT = 1_000        # entries per column embedded as a map literal
-INLINE_TOTAL = 20_000       # entries over all columns of one model
-
-
-def _sql_literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int):
-        return f"{v}L"
-    if isinstance(v, float):
-        return f"{v!r}D" if v == v and v not in (float("inf"), float("-inf")) else f"double('{v}')"
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _inline_maps(dictionary: DataFrame, sizes: dict, value_col: str) -> dict:
-    """Collect the dictionaries of columns small enough to embed (the sizes
-    were counted at fit time, so the collect is bounded by INLINE_TOTAL)."""
-    small, total = [], 0
-    for c, n in sorted(sizes.items(), key=lambda kv: kv[1]):
-        if n <= INLINE_LIMIT and total + n <= INLINE_TOTAL:
-            small.append(c)
-            total += n
-    maps = {c: [] for c in small}
-    if small:
-        for r in dictionary.filter(F.col("feature").isin(small)).select("feature", "value", value_col).collect():
-            maps[r["feature"]].append((r["value"], r[value_col]))
-    return maps
-
-
-def _map_lookup(pairs: list, key: Column) -> Column:
-    """``try_element_at(map(k1, v1, ...), key)`` built as one SQL expression."""
-    if not pairs:
-        return F.lit(None)
-    body = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in pairs)
-    return F.when(key.isNotNull(), F.try_element_at(F.expr(f"map({body})"), key))
-
-
 class LabelEncoderModel:
-    def __init__(self, columns, dictionary, missing_codes, sizes, suffix, broadcast_limit,
-                 with_missing):
-        self.columns, self.dictionary = columns, dictionary
-        self.missing_codes, self.sizes = missing_codes, sizes
-        self.suffix, self.broadcast_limit, self.with_missing = suffix, broadcast_limit, with_missing
-        self.maps = _inline_maps(dictionary, sizes, "code")
+    def __init__(self, columns, dictionary, missing_codes, suffix, with_missing):
+        self.columns, self.dictionary, self.missing_codes = columns, dictionary, missing_codes
+        self.suffix, self.with_missing = suffix, with_missing
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Unseen and null values take the code of 'missing' (J1) or -1.
-        Small dictionaries are map lookups in one projection; large ones are
-        joined (broadcast under ``broadcast_limit``)."""
-        inline = {}
+        """Unseen and null values take the code of 'missing' (J1) or -1."""
         for c in self.columns:
             out = f"{c}{self.suffix}" if self.suffix else c
             key = F.coalesce(key_string(df, c), F.lit(MISSING)) if self.with_missing else key_string(df, c)
-            if c in self.maps:
-                inline[out] = F.coalesce(_map_lookup(self.maps[c], key),
-                                         F.lit(self.missing_codes[c])).cast("int")
-                continue
             tmp = f"_{c}_code"
-            df = _lookup(df, self.dictionary, self.sizes[c], c, key, "code", tmp, self.broadcast_limit)
+            df = _lookup(df, self.dictionary, c, key, "code", tmp)
             df = df.withColumn(out, F.coalesce(F.col(tmp), F.lit(self.missing_codes[c])).cast("int")).drop(tmp)
-        return df.withColumns(inline) if inline else df
+        return df
 
 
 class LabelEncoder:
@@ -122,10 +65,8 @@ class LabelEncoder:
     J4 (``with_missing=False``): category codes, null and unseen -> -1.
     ``suffix=''`` replaces the column in place (the matrix-preparation form)."""
 
-    def __init__(self, columns: list[str], suffix: str = "_encoded", with_missing: bool = True,
-                 broadcast_limit: int = BROADCAST_LIMIT):
-        self.columns, self.suffix = list(columns), suffix
-        self.with_missing, self.broadcast_limit = with_missing, broadcast_limit
+    def __init__(self, columns: list[str], suffix: str = "_encoded", with_missing: bool = True):
+        self.columns, self.suffix, self.with_missing = list(columns), suffix, with_missing
 
     def fit(self, df: DataFrame) -> LabelEncoderModel:
         vals = _stack(df, self.columns, self.with_missing)
@@ -138,37 +79,24 @@ class LabelEncoder:
         start = idx.groupBy("feature").agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
         dictionary = (idx.join(F.broadcast(start), "feature")
                          .select("feature", "value", (F.col("_idx") - F.col("_start")).cast("int").alias("code")))
-        dictionary = checkpoint(dictionary)
-        meta = {r["feature"]: r for r in dictionary.groupBy("feature").agg(       # one row per column
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.when(F.col("value") == MISSING, F.col("code"))).alias("miss")).collect()}
-        sizes = {c: int(meta[c]["n"]) if c in meta else 0 for c in self.columns}
+        dictionary = materialize(dictionary, "label-codes")
         if self.with_missing:
-            missing_codes = {c: int(meta[c]["miss"]) for c in self.columns}
+            meta = dictionary.filter(F.col("value") == MISSING).collect()        # one row per column
+            missing_codes = {r["feature"]: int(r["code"]) for r in meta}
         else:
             missing_codes = {c: -1 for c in self.columns}
-        return LabelEncoderModel(self.columns, dictionary, missing_codes, sizes, self.suffix,
-                                 self.broadcast_limit, self.with_missing)
+        return LabelEncoderModel(self.columns, dictionary, missing_codes, self.suffix, self.with_missing)
 
 
 class FrequencyEncoderModel:
-    def __init__(self, columns, dictionary, sizes, drop_source, broadcast_limit):
-        self.columns, self.dictionary, self.sizes = columns, dictionary, sizes
-        self.drop_source, self.broadcast_limit = drop_source, broadcast_limit
-        self.maps = _inline_maps(dictionary, sizes, "count")
+    def __init__(self, columns, dictionary, drop_source):
+        self.columns, self.dictionary, self.drop_source = columns, dictionary, drop_source
 
     def transform(self, df: DataFrame) -> DataFrame:
-        inline = {}
         for c in self.columns:
             out = f"{c}_freq"
-            if c in self.maps:
-                inline[out] = F.coalesce(_map_lookup(self.maps[c], key_string(df, c)), F.lit(0)).cast("long")
-                continue
-            df = _lookup(df, self.dictionary, self.sizes[c], c, key_string(df, c), "count", out,
-                         self.broadcast_limit)
+            df = _lookup(df, self.dictionary, c, key_string(df, c), "count", out)
             df = df.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
-        if inline:
-            df = df.withColumns(inline)
         return df.drop(*self.columns) if self.drop_source else df
 
 
@@ -176,17 +104,13 @@ class FrequencyEncoder:
     """``<col>_freq`` = training count of the value; null / unseen -> 0;
     the source column is dropped. Counting is a partial aggregation."""
 
-    def __init__(self, columns: list[str], drop_source: bool = True,
-                 broadcast_limit: int = BROADCAST_LIMIT):
-        self.columns, self.drop_source, self.broadcast_limit = list(columns), drop_source, broadcast_limit
+    def __init__(self, columns: list[str], drop_source: bool = True):
+        self.columns, self.drop_source = list(columns), drop_source
 
     def fit(self, df: DataFrame) -> FrequencyEncoderModel:
         d = (_stack(df, self.columns, fill_missing=False)
              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count")))
-        d = checkpoint(d)
-        sizes = {r["feature"]: r["n"] for r in d.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return FrequencyEncoderModel(self.columns, d, {c: int(sizes.get(c, 0)) for c in self.columns},
-                                     self.drop_source, self.broadcast_limit)
+        return FrequencyEncoderModel(self.columns, materialize(d, "value-counts"), self.drop_source)
 
 
 class CardinalityEncoderModel:
@@ -206,7 +130,7 @@ class CardinalityEncoder:
     values get frequency encoding, the rest label codes in place. The
     distinct counts of all columns come from one aggregate."""
 
-    def __init__(self, columns: list[str] | None = None, threshold: int = 1000, exact: bool = False):
+    def __init__(self, columns: list[str] | None = None, threshold: int = 1000, exact: bool = True):
         self.columns, self.threshold, self.exact = columns, threshold, exact
 
     def fit(self, df: DataFrame) -> CardinalityEncoderModel:
@@ -222,24 +146,16 @@ class CardinalityEncoder:
 
 
 class TargetEncoderModel:
-    def __init__(self, columns, dictionary, sizes, global_mean, broadcast_limit):
-        self.columns, self.dictionary, self.sizes = columns, dictionary, sizes
-        self.global_mean, self.broadcast_limit = global_mean, broadcast_limit
-        self.maps = _inline_maps(dictionary, sizes, "enc") if dictionary is not None else {}
+    def __init__(self, columns, dictionary, global_mean):
+        self.columns, self.dictionary, self.global_mean = columns, dictionary, global_mean
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Null and unseen categories take the training global mean."""
-        inline = {}
         for c in self.columns:
             out = f"{c}_target_encoded"
-            if c in self.maps:
-                inline[out] = F.coalesce(_map_lookup(self.maps[c], key_string(df, c)).cast("double"),
-                                         F.lit(self.global_mean))
-                continue
-            df = _lookup(df, self.dictionary, self.sizes[c], c, key_string(df, c), "enc", out,
-                         self.broadcast_limit)
+            df = _lookup(df, self.dictionary, c, key_string(df, c), "enc", out)
             df = df.withColumn(out, F.coalesce(F.col(out), F.lit(self.global_mean)))
-        return df.withColumns(inline) if inline else df
+        return df
 
 
 class TargetEncoder:
@@ -249,25 +165,23 @@ class TargetEncoder:
     in-sample (as the reference does)."""
 
     def __init__(self, columns: list[str], target: str = "selected", smoothing: float = 10.0,
-                 min_distinct: int = 10, broadcast_limit: int = BROADCAST_LIMIT):
+                 min_distinct: int = 10):
         self.columns, self.target, self.m = list(columns), target, float(smoothing)
-        self.min_distinct, self.broadcast_limit = min_distinct, broadcast_limit
+        self.min_distinct = min_distinct
 
     def fit(self, df: DataFrame) -> TargetEncoderModel:
         cols = [c for c in self.columns if c in df.columns]
-        row = df.agg(F.avg(self.target).alias("_gm"),
-                     *[F.count_distinct(key_string(df, c)).alias(c) for c in cols]).first()
+        row = df.agg(F.avg(self.target).alias("_gm")).first()
         gm = float(row["_gm"]) if row["_gm"] is not None else 0.0
-        keep = [c for c in cols if row[c] > self.min_distinct]
-        if not keep:
-            return TargetEncoderModel([], None, {}, gm, self.broadcast_limit)
+        if not cols:
+            return TargetEncoderModel([], None, gm)
         arr = F.array(*[F.struct(F.lit(c).alias("feature"), key_string(df, c).alias("value"),
-                                 F.col(self.target).alias("_y")) for c in keep])
+                                 F.col(self.target).alias("_y")) for c in cols])
         stats = (df.select(F.inline(arr)).filter(F.col("value").isNotNull())
                    .groupBy("feature", "value")
                    .agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n")))
-        d = stats.select("feature", "value",
-                         ((F.col("_s") + F.lit(gm) * F.lit(self.m)) / (F.col("_n") + F.lit(self.m))).alias("enc"))
-        d = checkpoint(d)
+        d = materialize(stats.select("feature", "value", (
+            (F.col("_s") + F.lit(gm) * F.lit(self.m)) / (F.col("_n") + F.lit(self.m))).alias("enc")), "target-means")
+        # the dictionary already has a row per distinct value
         sizes = {r["feature"]: r["n"] for r in d.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return TargetEncoderModel(keep, d, {c: int(sizes.get(c, 0)) for c in keep}, gm, self.broadcast_limit)
+        return TargetEncoderModel([c for c in cols if sizes.get(c, 0) > self.min_distinct], d, gm)

@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.indexing import attach_row
+from ..functions.indexing import attach_row, exact_quantiles
 from ..functions.exprs import (col, lit, all_equal_first, any_equals, clip_lower, eps_div, flag,
                                floor_days, ne_nan, numeric_or_zero, row_count, row_max,
                                row_mean, row_min, row_nunique, row_sum, safe_div,
-                               seconds_between, weekday0)
+                               seconds_between, tolerant_double, weekday0)
 
 LEGS = (0, 1)
 SEGMENTS = (0, 1, 2, 3)
@@ -162,7 +162,7 @@ def layover_features(df: DataFrame) -> DataFrame:
         segs = seg_cols(df, "duration", legs=(L,))
         if d not in df.columns or not segs:
             continue
-        lay = clip_lower(col(d).cast("double") - row_sum(segs))
+        lay = clip_lower(tolerant_double(d) - row_sum([tolerant_double(c) for c in segs]).cast("double"))
         cols[f"leg{L}_layover_time"] = lay
         cols[f"leg{L}_short_layover"] = flag(lay < 1)
         cols[f"leg{L}_medium_layover"] = flag((lay >= 1) & (lay < 4))
@@ -193,9 +193,9 @@ def price_features(df: DataFrame, form: str = "full") -> DataFrame:
     p = col("totalPrice")
     cols = {}
     if "legs0_duration" in df.columns:
-        dur = F.coalesce(col("legs0_duration"), lit(0.0))
+        dur = numeric_or_zero("legs0_duration")
         if "legs1_duration" in df.columns:
-            dur = dur + F.coalesce(col("legs1_duration"), lit(0.0))
+            dur = dur + numeric_or_zero("legs1_duration")
         cols["price_per_hour"] = safe_div(p, dur) if form == "full" else eps_div(p, dur)
     if "taxes" in df.columns:
         tx = col("taxes")
@@ -209,8 +209,7 @@ def price_features(df: DataFrame, form: str = "full") -> DataFrame:
         if form == "full":
             cols["base_price"] = p - F.coalesce(tx, lit(0.0))
             cols["has_high_taxes"] = flag(ratio > 0.2)
-    # log1p(x) == ln(1 + x) to within an ulp for prices; ln keeps both engines identical
-    cols["price_log"] = F.ln(lit(1.0) + F.coalesce(p, lit(0.0)))
+    cols["price_log"] = F.log1p(F.coalesce(p, lit(0.0)))
     return df.withColumns(cols)
 
 
@@ -242,8 +241,8 @@ class PriceTiers:
         self.thresholds: tuple[float, float, float] | None = None
 
     def fit(self, df: DataFrame) -> "PriceTiers":
-        row = df.agg(F.percentile(col(self.column), list(self.q)).alias("q")).first()
-        self.thresholds = tuple(row["q"]) if row["q"] is not None else (None, None, None)
+        found = exact_quantiles(df, [self.column], self.q)
+        self.thresholds = tuple(found.get((self.column, q)) for q in self.q)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -423,23 +422,18 @@ def efficiency_features(df: DataFrame) -> DataFrame:
     return df.withColumn("duration_efficiency", eps_div(col("totalPrice"), col("legs0_duration")))
 
 
-def domestic_features(df: DataFrame, airport_country: DataFrame | None,
-                      max_airports: int = 100_000) -> DataFrame:
+def domestic_features(df: DataFrame, airport_country: DataFrame | None) -> DataFrame:
     """1 when the first departure and the last arrival of leg 0 are both
     airports in the traveller's country. ``airport_country(iata, country)`` is
-    a caller-supplied dimension; it is broadcast only after its size is
-    checked against ``max_airports`` (else the join is left to the planner)."""
+    a caller-supplied dimension; the planner, which knows its bytes, picks the join."""
     dep = seg_col(0, 0, "departureFrom_airport_iata")
     arrs = seg_cols(df, "arrivalTo_airport_iata", legs=(0,))
     if airport_country is None or "nationality" not in df.columns or dep not in df.columns or not arrs:
         return df.withColumn("domestic_flight", lit(0))
     last_arr = F.coalesce(*[col(c) for c in reversed(arrs)])
     dim = airport_country.select(col("iata").alias("_iata"), col("country").alias("_country"))
-    small = dim.limit(max_airports + 1).count() <= max_airports
     d1 = dim.select(col("_iata").alias("_dep_iata"), col("_country").alias("_dep_country"))
     d2 = dim.select(col("_iata").alias("_arr_iata"), col("_country").alias("_arr_country"))
-    if small:
-        d1, d2 = F.broadcast(d1), F.broadcast(d2)
     out = (df.withColumn("_last_arr", last_arr)
              .join(d1, col(dep) == col("_dep_iata"), "left")
              .join(d2, col("_last_arr") == col("_arr_iata"), "left"))

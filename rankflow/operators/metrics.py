@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
-from ..functions.indexing import attach_row
+from ..functions.indexing import attach_row, exact_quantiles
 from ..functions.ranking import dense_rank_desc, strict_rank, random_rank
-from ..functions.exprs import sql_round
 
 LARGE_SESSION = 10  # sessions with more options than this are "large"
 
@@ -77,7 +76,7 @@ def ndcg_at_k(df: DataFrame, rank_col: str = "rank", label: str = "selected",
            .select(group, F.when(idcg > 0, F.coalesce(F.col("_dcg"), F.lit(0.0)) / idcg)
                    .otherwise(F.lit(0.0)).alias("ndcg")))
     return per.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("sessions"),
-                   sql_round(F.avg("ndcg"), 6).alias("ndcg"))
+                   F.avg("ndcg").alias("ndcg"))
 
 
 def ndcg_per_session(df: DataFrame, rank_col: str = "rank", label: str = "selected",
@@ -101,7 +100,7 @@ def cv_summary(fold_scores: DataFrame, metric_cols=("hitrate_all", "hitrate_larg
     """L4: mean and population std of per-fold scores."""
     aggs = []
     for c in metric_cols:
-        aggs += [sql_round(F.avg(c), 6).alias(f"{c}_mean"), sql_round(F.stddev_pop(c), 6).alias(f"{c}_std")]
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
     return fold_scores.agg(F.count(F.lit(1)).alias("folds"), *aggs)
 
 
@@ -109,10 +108,10 @@ def prediction_analysis(df: DataFrame, score_col: str = "score", group: str = "r
     """Score distribution plus per-session score range (separation)."""
     s = F.col(score_col)
     stats = df.agg(F.min(s).alias("score_min"), F.max(s).alias("score_max"),
-                   sql_round(F.avg(s), 6).alias("score_mean"), sql_round(F.stddev_samp(s), 6).alias("score_std"),
-                   sql_round(F.median(s), 6).alias("score_median"))
+                   F.avg(s).alias("score_mean"), F.stddev_samp(s).alias("score_std"),
+                   F.lit(exact_quantiles(df, [score_col], (0.5,)).get((score_col, 0.5))).cast("double").alias("score_median"))
     rng = df.groupBy(group).agg((F.max(s) - F.min(s)).alias("_range"))
-    sep = rng.agg(sql_round(F.avg("_range"), 6).alias("mean_range"), F.min("_range").alias("min_range"),
+    sep = rng.agg(F.avg("_range").alias("mean_range"), F.min("_range").alias("min_range"),
                   F.max("_range").alias("max_range"),
                   F.count_if(F.col("_range") == 0).alias("groups_no_separation"))
     return attach_row(stats, sep)
@@ -182,5 +181,5 @@ def baseline_hitrates(df: DataFrame, label: str = "selected", group: str = "rank
     one = per.agg(*aggs)
     long = one.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (baseline, subset, positives, hits)")
     return long.select("baseline", "subset", "positives", "hits",
-                       sql_round(F.when(F.col("positives") > 0, F.col("hits") / F.col("positives"))
-                                 .otherwise(F.lit(0.0)), 6).alias("hitrate"))
+                       F.when(F.col("positives") > 0, F.col("hits") / F.col("positives"))
+                       .otherwise(F.lit(0.0)).alias("hitrate"))

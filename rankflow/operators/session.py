@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
-from ..functions.ranking import avg_rank, group_count, pct_rank
+from ..functions.indexing import exact_quantiles
+from ..functions.ranking import avg_rank, group_count
 
 GROUP = "ranker_id"
 
@@ -68,10 +69,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def global_stats(df: DataFrame, column: str, quantiles=(0.25, 0.75, 0.9)) -> DataFrame:
     """Mean, min, max, sample std, median and linear-interpolated quantiles."""
     c = F.col(column)
-    qs = [F.percentile(c, q).alias(f"q{int(round(q * 100)):02d}") for q in quantiles]
+    found = exact_quantiles(df, [column], (0.5, *quantiles))
+    at = lambda q: F.lit(found.get((column, q))).cast("double")
     return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("min"),
-                  F.max(c).alias("max"), F.stddev_samp(c).alias("std"),
-                  F.median(c).alias("median"), *qs)
+                  F.max(c).alias("max"), F.stddev_samp(c).alias("std")).select(
+        "*", at(0.5).alias("median"), *[at(q).alias(f"q{int(round(q * 100)):02d}") for q in quantiles])
 
 
 def category_mean_count(df: DataFrame, category: str, target: str = "selected") -> DataFrame:
@@ -129,12 +131,6 @@ def add_session_features(df: DataFrame, group: str = GROUP, price: str = "totalP
     return df.withColumns(cols)
 
 
-def add_pct_rank(df: DataFrame, value: str = "totalPrice", group: str = GROUP,
-                 name: str = "price_rank_in_session") -> DataFrame:
-    """H2 (the OPT form): percentile rank in session."""
-    return df.withColumn(name, pct_rank(value, group))
-
-
 # ---------------------------------------------------------------- I: top-k
 
 def topk_per_session(df: DataFrame, order: Column, k: int, group: str = GROUP,
@@ -159,16 +155,10 @@ def stats_left_join(df: DataFrame, stats: DataFrame, key: str = GROUP) -> DataFr
 
 
 def dictionary_lookup(df: DataFrame, dictionary: DataFrame, key: str, value: str,
-                      out: str, default=None, broadcast: bool | None = None,
-                      broadcast_limit: int = 2_000_000) -> DataFrame:
-    """``Series.map(dict).fillna(default)``. The dictionary (one row per
-    key) is broadcast when ``broadcast`` is true, or, by default, when a
-    bounded count shows at most ``broadcast_limit`` keys; otherwise the
-    planner's shuffle join is used."""
+                      out: str, default=None) -> DataFrame:
+    """``Series.map(dict).fillna(default)``. The dictionary has one row
+    per key; the planner picks the join by its bytes."""
     d = dictionary.select(F.col(key).alias("_k"), F.col(value).alias(out))
-    if broadcast is None:
-        broadcast = d.limit(broadcast_limit + 1).count() <= broadcast_limit
-    d = F.broadcast(d) if broadcast else d
     j = df.join(d, df[key] == d["_k"], "left").drop("_k")
     if default is not None:
         j = j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))

@@ -59,9 +59,16 @@ def check_submission(sub: DataFrame, test: DataFrame, group: str = "ranker_id",
                      rank: str = "selected") -> DataFrame:
     """M3: row counts, required columns, ranks a permutation per session,
     duplicate ranks. One row."""
-    cols_ok = all(c in sub.columns for c in ("Id", group, rank))
-    g = _rank_groups(sub, group, rank).agg(
-        F.count_if(~_valid_group()).alias("invalid_sessions"),
+    missing = [c for c in ("Id", group, rank) if c not in sub.columns]
+    cols_ok = not missing
+    # a missing column is reported, not raised: its values are null
+    sub = sub.withColumns({c: F.lit(None).cast("int") for c in missing}) if missing else sub
+    whole = F.col(rank).try_cast("double")
+    sub = sub.withColumn("_whole", F.coalesce(whole == F.floor(whole), F.lit(False)))
+    fraction = sub.groupBy(group).agg(F.count_if(~F.col("_whole")).alias("_f"))
+    groups = _rank_groups(sub, group, rank).join(fraction.withColumnRenamed(group, "_fg"), F.col(group).eqNullSafe(F.col("_fg")))
+    g = groups.agg(
+        F.count_if(~F.coalesce(_valid_group() & (F.col("_f") == 0), F.lit(False))).alias("invalid_sessions"),
         F.count_if(F.col("_d") != F.col("_n")).alias("duplicate_rank_sessions"),
         F.sum("_n").alias("rows_submission"))
     t = test.agg(F.count(F.lit(1)).alias("rows_test"))

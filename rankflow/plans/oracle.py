@@ -6,7 +6,7 @@ The CTE text is generated from the same slot and attribute definitions as
 
 from __future__ import annotations
 
-from ..sources.views import (ARRIVAL_ATTR, MAX_LEGS, MAX_SEGMENTS, RULE_COLUMNS,
+from ..sources.views import (ARRIVAL_ATTR, MAX_LEGS, MAX_SEGMENTS, PARTS, RULE_COLUMNS,
                              SEGMENT_ATTRS, SEGMENT_ORDER)
 
 
@@ -25,7 +25,7 @@ def options_ctes(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) ->
                  f"max(CASE WHEN {inleg} THEN l_shipdate END) AS legs{L}_arrivalAt",
                  f"sum(CASE WHEN {inleg} THEN l_quantity END) AS _dursum_{L}"]
     sel = [
-        "o.o_orderkey AS Id", "o.o_custkey AS ranker_id", "o.o_custkey AS profileId",
+        f"o.o_orderkey * {PARTS} + coalesce(w.part, 0) AS Id", "o.o_custkey AS ranker_id", "o.o_custkey AS profileId",
         "c.c_nationkey AS companyID", "n.n_name AS nationality",
         "c.c_acctbal > 8000 AS isVip", "o.o_orderkey % 10 < 7 AS bySelf",
         "nullif(o.o_orderstatus, 'P') = 'F' AS isAccess3D",
@@ -46,31 +46,30 @@ def options_ctes(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) ->
             sel.append(f"CASE WHEN w._has_{L}_{S} = 1 THEN n.n_name END AS {p}{ARRIVAL_ATTR}")
             sel += [f"w.{p}{name}" for name, _, _ in SEGMENT_ATTRS[1:]]
     sel += [f"m.{c}" for c in RULE_COLUMNS]
-    sel.append("CAST(o.o_orderkey = f.first_orderkey AS INTEGER) AS selected")
+    sel.append("CAST(o.o_orderkey = f.first_orderkey AND coalesce(w.part, 0) = 0 AS INTEGER) AS selected")
     order = ", ".join(SEGMENT_ORDER)
     return f"""
 _li_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS rn FROM lineitem
 ),
 _seg AS (
-  SELECT l.*, l.rn - 1 AS pos, p.p_brand, p.p_type, sn.n_name AS s_nation
+  SELECT l.*, (l.rn - 1) % {nslots} AS pos, (l.rn - 1) // {nslots} AS part, p.p_brand, p.p_type, sn.n_name AS s_nation
   FROM _li_ranked l
   LEFT JOIN part p ON l.l_partkey = p.p_partkey
   LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
   LEFT JOIN nation sn ON s.s_nationkey = sn.n_nationkey
-  WHERE l.rn <= {nslots}
 ),
 _wide AS (
-  SELECT l_orderkey, {", ".join(wide)} FROM _seg GROUP BY l_orderkey
+  SELECT l_orderkey, part, {", ".join(wide)} FROM _seg GROUP BY l_orderkey, part
 ),
 _money AS (
-  SELECT l_orderkey,
+  SELECT l_orderkey, part,
     round(sum(l_extendedprice * l_tax), 4) AS taxes,
     round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice * l_discount END), 4) AS miniRules0_monetaryAmount,
     max(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS miniRules0_percentage,
     round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice * l_discount END), 4) AS miniRules1_monetaryAmount,
     max(CASE WHEN l_returnflag = 'A' THEN l_discount END) AS miniRules1_percentage
-  FROM lineitem GROUP BY l_orderkey
+  FROM _seg GROUP BY l_orderkey, part
 ),
 _firsts AS (
   SELECT o_custkey AS f_custkey, o_orderkey AS first_orderkey FROM (
@@ -81,8 +80,8 @@ _firsts AS (
 options AS (
   SELECT {", ".join(sel)}
   FROM orders o
-  LEFT JOIN _money m ON o.o_orderkey = m.l_orderkey
   LEFT JOIN _wide w ON o.o_orderkey = w.l_orderkey
+  LEFT JOIN _money m ON m.l_orderkey = w.l_orderkey AND m.part = w.part
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey

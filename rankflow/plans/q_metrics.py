@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import sql_round
 from ..functions.ranking import dense_rank_desc
 from ..operators import metrics as M
 from ..sources.views import events_view, options_view
 from .oracle import with_events, with_options
+from .q_session import rounded
 from .registry import query
 
 
@@ -74,7 +76,7 @@ FROM (
 @query("baseline_hitrates", BASELINE_SQL)
 def q_baseline_hitrates(spark, sf_dir):
     """Cheapest-first, shortest-first and random baselines."""
-    return M.baseline_hitrates(options_view(spark, sf_dir))
+    return rounded(M.baseline_hitrates(options_view(spark, sf_dir)))
 
 
 @query("ndcg_at_k", with_events("""
@@ -97,7 +99,7 @@ t AS (
 SELECT 10 AS k, count(*) AS sessions, round(avg(ndcg), 6) AS ndcg FROM t"""))
 def q_ndcg(spark, sf_dir):
     """L3 on the events sessions, dense ranks with ties broken by Id."""
-    return M.ndcg_at_k(_events_ranked(spark, sf_dir), "rank", k=10)
+    return rounded(M.ndcg_at_k(_events_ranked(spark, sf_dir), "rank", k=10))
 
 
 @query("prediction_analysis", with_events("""
@@ -109,7 +111,8 @@ SELECT * FROM
    FROM (SELECT ranker_id, max(score) - min(score) AS rg FROM ev GROUP BY ranker_id)) b"""))
 def q_prediction_analysis(spark, sf_dir):
     """Score stats and per-session separation."""
-    return M.prediction_analysis(events_view(spark, sf_dir), "score")
+    found = M.prediction_analysis(events_view(spark, sf_dir), "score")
+    return found.withColumns({c: sql_round(F.col(c), 6) for c in ("score_mean", "score_std", "score_median", "mean_range")})
 
 
 @query("value_histogram", with_events("""

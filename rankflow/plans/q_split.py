@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import split as K
 from ..sources.views import options_view
 from .oracle import with_options
+from .q_session import rounded
 from .registry import query
 
 H32 = "CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT)"
@@ -79,4 +80,4 @@ def q_cv_summary(spark, sf_dir):
         F.avg(flag(F.col("rp") <= 3).cast("double")).alias("hitrate_all"),
         F.when(F.count_if(large) > 0, F.count_if(large & (F.col("rp") <= 3)) / F.count_if(large))
          .otherwise(F.lit(0.0)).alias("hitrate_large"))
-    return M.cv_summary(per_fold)
+    return rounded(M.cv_summary(per_fold))

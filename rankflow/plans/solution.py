@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import model as O
@@ -20,21 +19,6 @@ from ..operators.split import hash_folds
 from ..session import materialize
 from ..sources.sinks import write_submission
 
-# sessions larger than this use the count-based (skew-tolerant) session family
-HOT_SESSION_ROWS = 5_000_000
-
-
-def add_session_features_auto(df: DataFrame, hot_rows: int = HOT_SESSION_ROWS,
-                              group: str = "ranker_id") -> DataFrame:
-    """Window form (one shuffle) unless the largest session exceeds
-    ``hot_rows`` rows, then the count-based form (never one task per
-    session). The decision costs one partial aggregate."""
-    biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if biggest > hot_rows:
-        return S.add_session_features_skew_safe(df, group)
-    return S.add_session_features(df, group)
-
-
 @dataclass
 class RunResult:
     issues: DataFrame
@@ -48,11 +32,13 @@ class RunResult:
 
 def run_solution(train: DataFrame, test: DataFrame, out_dir: str | None = None, folds: int = 3,
                  form: str = "full", cv: bool = True, gbt_params: dict | None = None,
-                 hot_rows: int = HOT_SESSION_ROWS) -> RunResult:
-    """Train on ``train`` (with ``selected``), rank ``test`` (without)."""
+                 skew_safe: bool = False) -> RunResult:
+    """Train on ``train`` (with ``selected``), rank ``test`` (without).
+    ``skew_safe`` takes all session features and ranks from counts, for data
+    in which one session may hold a large share of the rows."""
     issues = V.check_train_test(train, test)
-    tr = add_session_features_auto(engineer_features(train, form), hot_rows)
-    te = add_session_features_auto(engineer_features(test, form), hot_rows)
+    family = S.add_session_features_skew_safe if skew_safe else S.add_session_features
+    tr, te = family(engineer_features(train, form)), family(engineer_features(test, form))
     prep = O.MatrixPrep().fit(tr)
     xtr = materialize(prep.transform(tr), "train-matrix")
     xte = materialize(prep.transform(te), "test-matrix")
@@ -62,7 +48,7 @@ def run_solution(train: DataFrame, test: DataFrame, out_dir: str | None = None,
         cv_rows = O.cross_validate(hash_folds(xtr, folds), k=folds, fit=lambda d: O.fit_gbt(d, **params))
         summary = M.cv_summary(cv_rows)
     model = O.fit_gbt(xtr, **params)
-    sub = O.submission(O.score(model, xte), skew_safe=False)
+    sub = O.submission(O.score(model, xte), skew_safe=skew_safe)
     sub = materialize(sub, "submission")
     check = V.check_submission(sub, test)
     path = write_submission(sub, out_dir) if out_dir else None

@@ -44,10 +44,13 @@ def get_spark(app: str = "rankflow", master: str | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests) do we
-    pick a scratch folder of our own."""
+    ``spark.checkpoint.dir``. Only in a local session, where all tasks see the
+    same disk, do we pick a scratch folder of our own if it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="rankflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

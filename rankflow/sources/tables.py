@@ -6,8 +6,6 @@ pushes filters into the scan; callers select what they use.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
@@ -38,14 +36,9 @@ def check_inputs(spark: SparkSession, paths: dict[str, str]) -> None:
     """M1: fail early, naming every missing input, before any job runs."""
     missing = []
     for name, p in paths.items():
-        local = p.startswith("/") or p.startswith("file:")
-        if local and not os.path.exists(p.replace("file:", "")):
+        try:
+            spark.read.text(p)      # the path is resolved, nothing is read
+        except AnalysisException:
             missing.append(name)
-            continue
-        if not local:
-            try:
-                spark.read.parquet(p).schema  # analysis only, no job
-            except AnalysisException:
-                missing.append(name)
     if missing:
         raise FileNotFoundError(f"missing inputs: {', '.join(sorted(missing))}")

@@ -1,19 +1,15 @@
 """Session tables derived from the driver tables.
 
 The driver supplies no flight data, so the option table is derived from the
-star schema: session = customer, option = order, segment = line item (up to
-``max_legs`` x ``max_segments`` lines per order, the rest dropped). The
-mapping is ours; the DuckDB twin lives in ``rankflow.plans.oracle`` and is
+star schema: session = customer, segment = line item, option = ``max_legs`` x
+``max_segments`` lines of an order in ``SEGMENT_ORDER``. An order with more
+lines gives several options, so every line is a segment of exactly one option.
+The mapping is ours; the DuckDB twin lives in ``rankflow.plans.oracle`` and is
 generated from the same definitions below.
 
 Plan shape (what makes it hold at scale):
-* order-level money sums are a plain ``groupBy(l_orderkey)`` with partial
-  aggregation before the shuffle, so a hot order costs nothing extra;
-* the first k lines per order come from ``row_number() <= k``; Catalyst turns
-  this into a partial ``WindowGroupLimit`` *before* the exchange, so at most
-  k rows per order and map task are shuffled;
-* the wide pivot is a ``groupBy`` on the same key as the window, no extra
-  exchange;
+* lines are shuffled once, by order: the window that numbers an order's lines,
+  the money sums and the wide pivot of each option share that exchange;
 * the label ("first order of the customer by md5") is a partial ``min`` per
   customer joined back, not a window over the whole session.
 """
@@ -28,6 +24,7 @@ from ..functions.exprs import sql_round
 
 MAX_LEGS = 2
 MAX_SEGMENTS = 4
+PARTS = 1 << 20      # Id = order * PARTS + number of the option within the order
 SEGMENT_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
 
 # Segment attributes: (output suffix, Spark expression over the joined line,
@@ -78,28 +75,13 @@ def option_columns(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -
         + RULE_COLUMNS + ["selected"]
 
 
-_VIEW_PLANS: dict = {}
-
-
 def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
                  max_segments: int = MAX_SEGMENTS, materialize: bool = False) -> DataFrame:
-    """The wide option table, one row per order (= option). ``materialize``
-    writes it once for callers that run several jobs over it.
-
-    The logical plan (not data) is memoised per session and input folder:
-    DataFrames are immutable, every action still scans the tables and
-    computes everything; only the Python-side plan construction is saved."""
+    """The wide option table. ``materialize`` writes it once for callers that
+    run several jobs over it."""
     if materialize:
         from ..session import materialize as _m
         return _m(options_view(spark, sf_dir, max_legs, max_segments), "options")
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), max_legs, max_segments)
-    plan = _VIEW_PLANS.get(key)
-    if plan is None:
-        plan = _VIEW_PLANS[key] = _build_options_view(spark, sf_dir, max_legs, max_segments)
-    return plan
-
-
-def _build_options_view(spark: SparkSession, sf_dir: str, max_legs: int, max_segments: int) -> DataFrame:
     t = lambda n: load_table(spark, sf_dir, n)
     nslots = max_legs * max_segments
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -107,32 +89,31 @@ def _build_options_view(spark: SparkSession, sf_dir: str, max_legs: int, max_seg
                               "l_returnflag", "l_shipdate")
 
     ep, disc, rf = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_returnflag")
-    money = (li.groupBy("l_orderkey").agg(
+    money = [
         sql_round(F.sum(ep * F.col("l_tax")), 4).alias("taxes"),
         sql_round(F.sum(F.when(rf == "R", ep * disc)), 4).alias("miniRules0_monetaryAmount"),
         F.max(F.when(rf == "R", disc)).alias("miniRules0_percentage"),
         sql_round(F.sum(F.when(rf == "A", ep * disc)), 4).alias("miniRules1_monetaryAmount"),
         F.max(F.when(rf == "A", disc)).alias("miniRules1_percentage"),
-    ))
+    ]
 
     w = Window.partitionBy("l_orderkey").orderBy(*SEGMENT_ORDER)
-    top = (li.withColumn("rn", F.row_number().over(w))
-             .filter(F.col("rn") <= nslots)
-             .withColumn("pos", F.col("rn") - 1))
-    part = t("part").select("p_partkey", "p_brand", "p_type")
+    rn0 = F.row_number().over(w) - 1
+    top = li.withColumn("rn0", rn0).withColumns({"part": F.expr(f"rn0 div {nslots}"), "pos": F.col("rn0") % nslots})
+    parts = t("part").select("p_partkey", "p_brand", "p_type")
     supn = (t("supplier").select("s_suppkey", "s_nationkey")
             .join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"),
                                      F.col("n_name").alias("s_nation")), "s_nationkey", "left")
             .select("s_suppkey", "s_nation"))
-    seg = (top.join(part, top.l_partkey == part.p_partkey, "left")
+    seg = (top.join(parts, top.l_partkey == parts.p_partkey, "left")
               .join(supn, top.l_suppkey == supn.s_suppkey, "left"))
 
-    # Pivot: at most nslots lines per order remain, so one bounded array per
-    # order (sorted by position) replaces dozens of conditional aggregates;
-    # slot k is element k. Same key as the window: no extra exchange.
+    # Pivot: at most nslots lines per option, so one bounded array per option
+    # (sorted by position) replaces dozens of conditional aggregates; slot k is
+    # element k.
     line = F.struct(F.col("pos"), F.col("l_shipdate"), F.col("l_quantity"),
                     *[fn().alias(name) for name, fn, _ in SEGMENT_ATTRS])
-    wide = seg.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("_segs"))
+    wide = seg.groupBy("l_orderkey", "part").agg(F.array_sort(F.collect_list(line)).alias("_segs"), *money)
 
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                            "o_orderdate", "o_orderpriority")
@@ -146,8 +127,8 @@ def _build_options_view(spark: SparkSession, sf_dir: str, max_legs: int, max_seg
           .join(t("region").select("r_regionkey", "r_name"),
                 F.col("n_regionkey") == F.col("r_regionkey"), "left"))
 
-    base = (o.join(money, o.o_orderkey == money.l_orderkey, "left").drop("l_orderkey")
-             .join(wide, o.o_orderkey == wide.l_orderkey, "left").drop("l_orderkey")
+    base = (o.join(wide, o.o_orderkey == wide.l_orderkey, "left").drop("l_orderkey")
+             .withColumn("part", F.coalesce("part", F.lit(0)))
              .join(cn, o.o_custkey == cn.c_custkey, "left")
              .join(first, o.o_custkey == first.f_custkey, "left"))
 
@@ -159,7 +140,7 @@ def _build_options_view(spark: SparkSession, sf_dir: str, max_legs: int, max_seg
 def option_select_exprs(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -> list[str]:
     """Spark SQL expressions of the option table over the joined base."""
     sel = [
-        "o_orderkey AS Id", "o_custkey AS ranker_id", "o_custkey AS profileId",
+        f"o_orderkey * {PARTS}L + part AS Id", "o_custkey AS ranker_id", "o_custkey AS profileId",
         "c_nationkey AS companyID", "n_name AS nationality",
         "c_acctbal > 8000 AS isVip", "o_orderkey % 10 < 7 AS bySelf",
         "nullif(o_orderstatus, 'P') = 'F' AS isAccess3D",
@@ -184,7 +165,7 @@ def option_select_exprs(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMEN
             sel.append(f"CASE WHEN {s_} IS NOT NULL THEN n_name END AS {p}{ARRIVAL_ATTR}")
             sel += [f"{s_}.{name} AS {p}{name}" for name, _, _ in SEGMENT_ATTRS[1:]]
     sel += RULE_COLUMNS
-    sel.append("CAST(o_orderkey = first_orderkey AS INT) AS selected")
+    sel.append("CAST(o_orderkey = first_orderkey AND part = 0 AS INT) AS selected")
     return sel
 
 

@@ -211,3 +211,59 @@ def test_epoch_seconds_ignore_session_time_zone(spark):
         assert datetimes_to_epoch(df).first()["t"] == 86400 + 3600
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_global_index_is_a_permutation_without_exchange_reuse(spark):
+    from rankflow.functions.indexing import global_index
+    n = 300_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("p"), 40).alias("payload"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        idx = global_index(df, [F.col("k")], partitions=17)
+        r = idx.agg(F.count_distinct("_idx").alias("d"), F.min("_idx").alias("lo"), F.max("_idx").alias("hi")).first()
+        assert (r["d"], r["lo"], r["hi"]) == (n, 0, n - 1)
+        from rankflow.functions.skew import add_strict_rank_skew_safe
+        ev = df.select((F.abs("k") % 3).alias("ranker_id"), F.col("k").alias("Id"), (F.col("k") % 1000).cast("double").alias("v"), "payload")
+        per = add_strict_rank_skew_safe(ev, "v").groupBy("ranker_id").agg(
+            F.count_distinct("strict_rank").alias("d"), F.max("strict_rank").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+        assert all(x["d"] == x["m"] == x["n"] for x in per)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from rankflow.functions.indexing import exact_quantiles
+    df = spark.range(1001).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.rand(1)).alias("b"),
+                                  F.lit(None).cast("int").alias("c"), F.col("id").cast("int").alias("d"))
+    ps = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = exact_quantiles(df, ["a", "b", "c", "d"], ps)
+    want = df.agg(*[F.percentile(c, list(ps)).alias(c) for c in ("a", "b", "d")]).first()
+    for c in ("a", "b", "d"):
+        assert [got[c, p] for p in ps] == pytest.approx(want[c], rel=1e-12)
+    assert ("c", 0.5) not in got
+
+
+def test_median_fills_gaps_that_only_the_test_rows_have(spark):
+    from rankflow.operators.clean import MedianImputer
+    train = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double")
+    test = spark.createDataFrame([(None,)], "x double")
+    assert MedianImputer(["x"]).fit(train).transform(test).first()["x"] == 2.0
+
+
+def test_submission_check_reports_bad_ranks(spark):
+    from rankflow.operators.validate import check_submission
+    test = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "Id long, ranker_id long")
+    half = spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.5), (3, 1, 3.0)], "Id long, ranker_id long, selected double")
+    assert check_submission(half, test).first()["valid"] is False
+    r = check_submission(half.drop("selected"), test).first()
+    assert r["columns_ok"] is False and r["valid"] is False
+    assert check_submission(half.withColumn("selected", F.expr("Id")), test).first()["valid"] is True
+
+
+def test_scratch_folder_must_be_shared_off_local():
+    from types import SimpleNamespace
+    from rankflow.session import ensure_checkpoint_dir
+    conf = {"spark.master": "yarn"}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)

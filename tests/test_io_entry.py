@@ -102,11 +102,3 @@ def test_downsize_report_and_apply(spark):
     assert rep == {"a": "tinyint", "b": "int", "c": "float"}
     out = C.apply_downsize(df, C.downsize_report(df).collect())
     assert dict(out.dtypes) == {"a": "tinyint", "b": "int", "c": "float"}
-
-
-def test_read_sessions_file_cap(spark, tmp_path):
-    from rankflow.sources import documents as D
-    for i in range(5):
-        (tmp_path / f"s{i}.json").write_text('{"ranker_id": "s%d"}' % i)
-    got = [r["file_name"] for r in D.read_sessions(spark, str(tmp_path), max_files=2).collect()]
-    assert sorted(got) == ["s0.json", "s1.json"]

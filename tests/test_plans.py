@@ -44,9 +44,10 @@ def test_topk_uses_window_group_limit(spark, flat_options):
     assert "WindowGroupLimit" in plan(top)
 
 
-def test_options_view_limits_lines_before_shuffle(spark):
+def test_options_view_reads_all_lines_once(spark):
     p = plan(options_view(spark, SF_TINY))
-    assert "WindowGroupLimit" in p
+    assert "WindowGroupLimit" not in p      # no line of an order is cut
+    assert p.count("lineitem.parquet") == 1
 
 
 def test_metrics_have_no_python_and_limit_before_shuffle(spark, flat_options):
