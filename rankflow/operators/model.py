@@ -4,8 +4,10 @@
   seconds, median imputation and ``VectorAssembler``, all fitted on train.
 * O3 / O4 ``fit_gbt``: pointwise squared-loss gradient boosting with
   optional early stopping on a validation indicator column.
-* O2 ``ListwiseBoostRanker``: session-aware gradient boosting (listwise
-  softmax objective, linear in rows) with validation-NDCG early stopping.
+* O2 ``ListwiseBoostRanker``: session-aware gradient boosting, by the
+  lambdarank objective (pairs of a positive and another row of its session,
+  weighted by the change of NDCG that swapping them makes) or a listwise
+  softmax, with validation-NDCG early stopping.
 * O2 ``PairwiseRanker``: a linear ranker trained on score differences. Each
   non-selected option is paired with the centroid of its session's selected
   options, so the pair table has one row per negative (never all pairs of a
@@ -16,8 +18,9 @@
 
 from __future__ import annotations
 
+import math
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -37,13 +40,14 @@ from ..session import checkpoint
 
 EXCLUDE = ("Id", "ranker_id", "selected")
 
-# Default boosting parameters (learning rate, depth, row
-# subsample, rounds), mapped from the reference's configuration.
+# Defaults of ours for one pointwise fit; ``maxIter`` is the number of rounds.
 GBT_PARAMS = {"stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "maxIter": 20,
               "minInstancesPerNode": 20, "featureSubsetStrategy": "0.8", "seed": 42}
-# Search ranges of the hyper-parameter search.
-SEARCH_SPACE = {"stepSize": (0.01, 0.3), "maxDepth": (3, 8), "subsamplingRate": (0.5, 1.0),
-                "minInstancesPerNode": (5, 100)}
+# Search ranges. The step is drawn on a log scale; a tree of depth
+# 5 to 7 has up to 32 to 128 leaves, the trees here having no leaf limit.
+SEARCH_SPACE = {"stepSize": (0.01, 0.2), "maxDepth": (5, 7), "subsamplingRate": (0.6, 1.0),
+                "featureFraction": (0.6, 1.0), "minInstancesPerNode": (10, 50)}
+SEARCH_TRIALS, SEARCH_FOLDS = 100, 3
 
 
 # ---------------------------------------------------------------- O1
@@ -73,10 +77,15 @@ class MatrixPrep:
     def __init__(self, exclude=EXCLUDE, threshold: int = 1000):
         self.exclude, self.threshold = tuple(exclude), threshold
 
-    def fit(self, train: DataFrame, materialize_input: bool = True) -> MatrixPrepModel:
-        if materialize_input:            # the fits below run several jobs over it
-            from ..session import materialize
-            train = materialize(train, "prep-input")
+    def fit_transform(self, train: DataFrame) -> tuple[MatrixPrepModel, DataFrame]:
+        """Fit and transform one stored copy of ``train``: the fits run several
+        jobs over it, and the transform does not derive it again."""
+        from ..session import materialize
+        train = materialize(train, "prep-input")
+        model = self.fit(train)
+        return model, model.transform(train)
+
+    def fit(self, train: DataFrame) -> MatrixPrepModel:
         strings = [f.name for f in train.schema.fields
                    if isinstance(f.dataType, StringType) and f.name not in self.exclude]
         enc = CardinalityEncoder(strings, threshold=self.threshold).fit(train) if strings else None
@@ -188,6 +197,7 @@ def cross_validate(matrix: DataFrame, k: int = 3, fold_col: str = "fold", fit=No
     measure; returns one row per fold. The matrix is persisted once and
     reused by the k fits."""
     fit = fit or (lambda tr: fit_gbt(tr, label=label))
+    held = matrix.is_cached
     matrix = matrix.persist()
     rows = None
     for f in range(k):
@@ -199,11 +209,12 @@ def cross_validate(matrix: DataFrame, k: int = 3, fold_col: str = "fold", fit=No
         row = evaluate(s, "score", label).select(F.lit(f).alias("fold"), "*")
         row = checkpoint(row)   # reliable checkpoint: cuts the fold's lineage
         rows = row if rows is None else rows.unionByName(row)
-    matrix.unpersist()
+    if not held:        # the caller's own cache stays, as for the next trial of a search
+        matrix.unpersist()
     return rows
 
 
-def random_search(matrix: DataFrame, n_trials: int = 4, k: int = 3, seed: int = 42,
+def random_search(matrix: DataFrame, n_trials: int = SEARCH_TRIALS, k: int = SEARCH_FOLDS, seed: int = 42,
                   space: dict | None = None) -> DataFrame:
     """Seeded random search over GBT parameters, each trial scored by
     grouped CV; one row per trial with its parameters and mean scores."""
@@ -211,16 +222,22 @@ def random_search(matrix: DataFrame, n_trials: int = 4, k: int = 3, seed: int =
     space = space or SEARCH_SPACE
     spark = matrix.sparkSession
     results = []
+    held = matrix.is_cached
+    matrix = matrix.persist()
     for t in range(n_trials):
-        p = {"stepSize": round(rng.uniform(*space["stepSize"]), 4),
+        low, high = space["stepSize"]
+        p = {"stepSize": round(math.exp(rng.uniform(math.log(low), math.log(high))), 4),
              "maxDepth": rng.randint(*space["maxDepth"]),
              "subsamplingRate": round(rng.uniform(*space["subsamplingRate"]), 4),
+             "featureSubsetStrategy": str(round(rng.uniform(*space["featureFraction"]), 4)),
              "minInstancesPerNode": rng.randint(*space["minInstancesPerNode"])}
         cv = cross_validate(matrix, k, fit=lambda tr, p=p: fit_gbt(tr, **p))
         s = cv.agg(F.avg("hitrate_all").alias("a"), F.avg("hitrate_large").alias("b")).first()
-        results.append((t, p["stepSize"], p["maxDepth"], p["subsamplingRate"], p["minInstancesPerNode"],
-                        float(s["a"] or 0.0), float(s["b"] or 0.0)))
-    return spark.createDataFrame(results, "trial int, stepSize double, maxDepth int, subsamplingRate double, "
+        results.append((t, p["stepSize"], p["maxDepth"], p["subsamplingRate"],
+                        float(p["featureSubsetStrategy"]), p["minInstancesPerNode"], float(s["a"] or 0.0), float(s["b"] or 0.0)))
+    if not held:
+        matrix.unpersist()
+    return spark.createDataFrame(results, "trial int, stepSize double, maxDepth int, subsamplingRate double, featureFraction double, "
                                           "minInstancesPerNode int, hitrate_all double, hitrate_large double")
 
 
@@ -256,6 +273,38 @@ def submission(scored: DataFrame, score_col: str = "score", group: str = "ranker
 
 # ---------------------------------------------------------------- O2 boosting loop
 
+def lambda_gradients(df: DataFrame, score_col: str = "score", label: str = "selected", group: str = "ranker_id",
+                     row_id: str = "Id", out: str = "gradient", skew_safe: bool = False) -> DataFrame:
+    """``df`` with the lambdarank gradient of each row (the direction in which
+    its score should move). Each positive is paired with the other rows of its
+    session; a pair pulls both apart by the logistic of their score difference
+    times the NDCG that swapping their ranks changes. With one positive per
+    session the pairs are as many as the rows. Sessions without a positive,
+    and rows without a score, get 0. Row ids are unique."""
+    if skew_safe:
+        from ..functions.skew import add_strict_rank_skew_safe
+        ranked = add_strict_rank_skew_safe(df.select(row_id, group, score_col, label), score_col, group, row_id, name="_r")
+    else:
+        ranked = df.select(row_id, group, score_col, label, strict_rank(score_col, group, row_id).alias("_r"))
+    good = F.coalesce(F.col(label), F.lit(0)) == 1
+    ranked = ranked.filter(F.col(score_col).isNotNull()).withColumn("_gain", 1.0 / F.log2(F.col("_r") + 1.0))
+    up = ranked.filter(good).select(F.col(group).alias("_g"), F.col(row_id).alias("_i"), F.col(score_col).alias("_si"),
+                                    F.col("_gain").alias("_gi"))
+    # ideal DCG: the positives on the first ranks
+    ideal = (up.groupBy("_g").agg(F.count(F.lit(1)).alias("_p"))
+             .select(F.col("_g").alias("_ig"), F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_p").cast("int")),
+                                                                       lambda k: 1.0 / F.log2(k + 1.0)),
+                                                           F.lit(0.0), lambda a, x: a + x).alias("_ideal")))
+    pairs = (ranked.filter(~good).join(up, F.col(group) == F.col("_g")).join(ideal, F.col("_g") == F.col("_ig"))
+             .withColumn("_l", F.abs(F.col("_gi") - F.col("_gain")) / F.col("_ideal")
+                         / (1.0 + F.exp(F.col("_si") - F.col(score_col)))))
+    parts = pairs.select(F.col("_i").alias("_id"), F.col("_l").alias("_d")).unionByName(
+        pairs.select(F.col(row_id).alias("_id"), (-F.col("_l")).alias("_d")))
+    total = parts.groupBy("_id").agg(F.sum("_d").alias("_sum"))
+    return df.join(total, F.col(row_id) == F.col("_id"), "left").withColumn(
+        out, F.coalesce(F.col("_sum"), F.lit(0.0))).drop("_id", "_sum")
+
+
 @dataclass
 class ListwiseBoostModel:
     trees: list
@@ -273,12 +322,11 @@ class ListwiseBoostModel:
 
 @dataclass
 class ListwiseBoostRanker:
-    """O2 (boosting form): gradient boosting of a session-level softmax
-    (listwise cross-entropy) objective. Each round: per-session softmax of the
-    current scores and the label distribution (one window, one exchange),
-    gradient ``p - t`` per row, a regression tree fitted to the negative
-    gradient, scores updated. Sessions without a positive get zero gradient.
-    The cost is linear in rows: no pairs are formed. Training scores are
+    """O2 (boosting form): gradient boosting of a session-level objective:
+    ``lambdarank`` (``lambda_gradients``) or ``softmax`` (listwise cross-entropy
+    of the session's softmax and its label distribution). Each round a
+    regression tree is fitted to the gradient and the scores are updated.
+    Sessions without a positive get zero gradient. Training scores are
     checkpointed every ``checkpoint_every`` rounds (reliable checkpoint in
     ``spark.checkpoint.dir``), and with a validation set the loop stops when
     NDCG@k has not improved for ``patience`` rounds."""
@@ -291,19 +339,23 @@ class ListwiseBoostRanker:
     k: int = 10
     group: str = "ranker_id"
     label: str = "selected"
+    objective: str = "softmax"
 
     def _gradient(self, cur: DataFrame) -> DataFrame:
         """Softmax and label share per session from one partial aggregate
         joined back (no session window, so a hot session is not one task).
-        Scores stay small (bounded tree outputs times ``step``); they are
-        clipped before ``exp`` so the unshifted softmax cannot overflow."""
+        The session's highest score is subtracted before ``exp``."""
+        if self.objective == "lambdarank":
+            return lambda_gradients(cur, "_s", self.label, self.group, out="_target")
         rel = F.coalesce(F.col(self.label).cast("double"), F.lit(0.0))
-        e = F.exp(F.least(F.greatest(F.col("_s"), F.lit(-300.0)), F.lit(300.0)))
+        top = cur.groupBy(self.group).agg(F.max("_s").alias("_top"))
+        cur = cur.join(top, self.group, "left")
+        e = F.exp(F.col("_s") - F.col("_top"))
         sums = cur.groupBy(self.group).agg(F.sum(e).alias("_z"), F.sum(rel).alias("_tot"))
         j = cur.join(sums, self.group, "left")
         p = e / F.col("_z")
         t = F.when(F.col("_tot") > 0, rel / F.col("_tot"))
-        return j.withColumn("_target", F.when(t.isNotNull(), t - p).otherwise(F.lit(0.0))).drop("_z", "_tot")
+        return j.withColumn("_target", F.when(t.isNotNull(), t - p).otherwise(F.lit(0.0))).drop("_z", "_tot", "_top")
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> ListwiseBoostModel:
         from pyspark.ml.regression import DecisionTreeRegressor

@@ -39,8 +39,8 @@ def run_solution(train: DataFrame, test: DataFrame, out_dir: str | None = None,
     issues = V.check_train_test(train, test)
     family = S.add_session_features_skew_safe if skew_safe else S.add_session_features
     tr, te = family(engineer_features(train, form)), family(engineer_features(test, form))
-    prep = O.MatrixPrep().fit(tr)
-    xtr = materialize(prep.transform(tr), "train-matrix")
+    prep, xtr = O.MatrixPrep().fit_transform(tr)
+    xtr = materialize(xtr, "train-matrix")
     xte = materialize(prep.transform(te), "test-matrix")
     params = gbt_params or {}
     cv_rows = summary = None
