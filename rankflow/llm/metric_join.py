@@ -30,7 +30,7 @@ from .vectors import by_length, matrix, usable
 
 MIN_COSINE = 0.9
 BLOCK = 2048            # vectors of a block
-CELL_VECTORS = 4096     # vectors per pivot aimed at
+PAIR_COST, VISIT_COST = 3e-9, 2e-5   # seconds for a pair's distance and a visit's shuffle, for choosing the number of pivots
 MAX_PIVOTS = 512        # pivots are broadcast: at most this many vectors
 SAMPLE = 8192           # rows from which the pivots are chosen
 SLACK = 1e-9            # rounding allowed for in distance bounds
@@ -73,6 +73,27 @@ def choose_pivots(units: np.ndarray, n: int) -> np.ndarray:
     return units[chosen]
 
 
+def count_pivots(units: np.ndarray, pivots: np.ndarray, n: int, r: float) -> int:
+    """How many of the ``pivots`` (in their order) to use for ``n`` vectors like
+    ``units``: the power of two of the least expected cost. Pivots save pairs
+    where the data are clustered; where distances are all alike (isotropic data
+    of many dimensions) nearly every vector would visit every cell, and few
+    pivots, at the extreme one cell cut into blocks, are cheaper."""
+    scale, costs = n / len(units), {}
+    k = 1
+    while k <= len(pivots):
+        d = _distances(units, pivots[:k])
+        own = d.argmin(1)
+        radii = np.zeros(k)
+        np.maximum.at(radii, own, d.min(1))
+        _, _, cell = visits(units, pivots[:k], radii, r)
+        size, guests = np.bincount(own, minlength=k), np.bincount(cell, minlength=k)
+        pairs = float((size * (size / 2 + guests)).sum()) * scale * scale
+        costs[k] = pairs * PAIR_COST + len(cell) * scale * VISIT_COST
+        k *= 2
+    return min(costs, key=lambda c: (costs[c], c))
+
+
 def _distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (units @ pivots.T)))
 
@@ -133,12 +154,13 @@ def _stars(i: np.ndarray, j: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                    min_cosine: float = MIN_COSINE, block: int = BLOCK, cell_vectors: int = CELL_VECTORS) -> DataFrame:
+                    min_cosine: float = MIN_COSINE, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row per input row. Vectors
     that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths with one another. Rows
     without an id count as copies of what they equal and are their own
-    component (null, kept false). Rows that repeat an id and vector link with each other."""
+    component (null, kept false). Rows that repeat an id and vector link with
+    each other. ``pivots`` sets their number, else a sample does."""
     r = float(np.sqrt(2 - 2 * min_cosine))
     members = parquet_stage(classes(vectors, id_col, vec_col), "vectors")
     reps = parquet_stage(members.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
@@ -146,7 +168,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     edges, counts = [], []
     dims = [x[0] for x in reps.select("dim").distinct().limit(10_000).collect()]
     for dim in sorted(dims):
-        e, c = _join_dim(reps.filter(F.col("dim") == dim), r, min_cosine, block, cell_vectors)
+        e, c = _join_dim(reps.filter(F.col("dim") == dim), r, min_cosine, block, pivots)
         edges.append(e)
         counts.append(c)
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("_vec"))
@@ -173,12 +195,14 @@ def _takes_part(vec):
     return usable(vec) & F.coalesce(F.exists(d, lambda x: x != 0), F.lit(False))
 
 
-def _join_dim(reps: DataFrame, r: float, min_cosine: float, block: int, cell_vectors: int):
+def _join_dim(reps: DataFrame, r: float, min_cosine: float, block: int, count: int | None):
     """Edges between class representatives and link counts, for one length."""
     spark = reps.sparkSession
     n = reps.count()
     sample = reps.orderBy(F.xxhash64("key")).limit(SAMPLE).select("unit").collect()
-    pivots = choose_pivots(np.stack([np.frombuffer(x["unit"]) for x in sample]), max(1, min(MAX_PIVOTS, n // cell_vectors)))
+    units = np.stack([np.frombuffer(x["unit"]) for x in sample])
+    pivots = choose_pivots(units, min(MAX_PIVOTS, count or max(1, n // block)))
+    pivots = pivots[:count or count_pivots(units, pivots, n, r)]
     shared = spark.sparkContext.broadcast(pivots)
 
     def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

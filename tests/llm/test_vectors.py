@@ -75,9 +75,9 @@ def brute_join(rows, limit):
 
 
 def test_join_equals_brute_force(spark):
-    for seed, block, cell in ((2, 2048, 4096), (3, 7, 9)):
+    for seed, block, pivots in ((2, 2048, None), (3, 7, 12)):
         rows = awkward(seed)
-        got = near_duplicates(vectors(spark, rows), block=block, cell_vectors=cell).collect()
+        got = near_duplicates(vectors(spark, rows), block=block, pivots=pivots).collect()
         assert len(got) == len(rows)
         assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == brute_join(rows, 0.9)
 
