@@ -118,52 +118,53 @@ def weigh(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
 
 def top_k(rows: DataFrame, key: str, tie: list[str], k: int) -> DataFrame:
     """``rows`` with ``selected``: true for the ``k`` largest ``key`` (all, if
-    there are fewer), equal keys in the order of ``tie``. Radix selection: each
-    pass counts the rows whose key lies in the interval of the k-th one by
-    4,096 sub-intervals (that many counters reach the driver), until rows of
-    one key are left; only those are ranked against each other, and only if
-    they do not all fit."""
+    there are fewer; null and NaN come last), equal keys by the smaller numeric
+    ``tie``. The k-th key is found by radix selection (``_border``); among rows
+    of just that key the same search goes on over ``tie``. Only rows equal in
+    all of these are cut by a plain limit."""
     number = F.expr(f"CASE WHEN {key} IS NULL OR isnan({key}) THEN double('-infinity') ELSE {key} + 0.0D END")
     rows = rows.withColumn("_key", number)
-    finite = rows.filter(~F.col("_key").isin(float("-inf"), float("inf")))
-    low, high = finite.agg(F.min("_key"), F.max("_key")).first()
-    if k <= 0 or low is None:
-        first = F.lit(False) if k <= 0 else _first(rows, ["_key"], tie, k)
-        return (first if isinstance(first, DataFrame) else rows.withColumn("selected", first)).drop("_key")
-    above = rows.filter(F.col("_key") == float("inf")).count()
-    if above >= k:
-        low = high = float("inf")
-    left = k - (0 if low == float("inf") else above)
-    while low < high and left > 0:
-        width = (high - low) / BINS
-        place = F.least(F.floor((F.lit(high) - F.col("_key")) / width), F.lit(BINS - 1))
-        inside = rows.filter(F.col("_key").between(low, high)).withColumn("_bin", place)
-        found = inside.groupBy("_bin").agg(F.count("*").alias("n"), F.min("_key").alias("lo"),
-                                           F.max("_key").alias("hi")).orderBy("_bin").collect()
+    border, left = _border(rows, k)
+    sure = rows.filter(F.col("_key") != border).withColumn("selected", F.col("_key") > border)
+    at = rows.filter(F.col("_key") == border)
+    if left <= 0 or at.count() <= left:
+        return rows.withColumn("selected", F.col("_key") >= border if left > 0 else F.col("_key") > border).drop("_key")
+    if tie:
+        names = at.columns
+        settled = top_k(at.withColumn("_tie", -F.col(tie[0]).cast("double")), "_tie", tie[1:], left).select(
+            *[c for c in names if c != "_key"], "selected")
+    else:
+        first = at.limit(left)
+        settled = first.withColumn("selected", F.lit(True)).unionByName(
+            at.exceptAll(first).withColumn("selected", F.lit(False))).drop("_key")
+    return sure.drop("_key").unionByName(settled)
+
+
+def _border(rows: DataFrame, k: int) -> tuple[float, int]:
+    """The k-th largest ``_key`` and how many of the rows that have it belong
+    to the first k. Each pass counts the keys inside the interval of the k-th
+    one by ``BINS`` sub-intervals; that many counters reach the driver."""
+    inf = float("inf")
+    x = F.col("_key")
+    finite = ~x.isin(-inf, inf)
+    most, n, low, high = rows.agg(F.count_if(x == inf), F.count_if(finite), F.min(F.when(finite, x)), F.max(F.when(finite, x))).first()
+    if k <= most:
+        return inf, k
+    if k > most + n:
+        return -inf, k - most - n
+    left = k - most
+    while low < high:
+        place = F.least(F.floor((F.lit(high) - x) / ((high - low) / BINS)), F.lit(BINS - 1))
+        found = (rows.filter(x.between(low, high)).groupBy(place.alias("bin"))
+                 .agg(F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).orderBy("bin").collect())
         for r in found:
             if left <= r["n"]:
                 break
             left -= r["n"]
-        else:      # fewer than k finite keys
-            low = high = float("-inf")
-            break
         low, high = r["lo"], r["hi"]
-        if left == r["n"]:      # the whole interval fits: nothing to break up
-            high = low
-            return rows.withColumn("selected", F.col("_key") >= low).drop("_key")
-    at = rows.filter(F.col("_key") == low)
-    if at.count() <= left:
-        return rows.withColumn("selected", F.col("_key") >= low).drop("_key")
-    return _first(rows.filter(F.col("_key") == low), [], tie, left).unionByName(
-        rows.filter(F.col("_key") != low).withColumn("selected", F.col("_key") > low)).drop("_key")
-
-
-def _first(rows: DataFrame, keys: list[str], tie: list[str], k: int) -> DataFrame:
-    """The first ``k`` of rows that differ in nothing but ``tie``: the value of
-    the tie columns at rank k is looked up, rows beyond it fall out."""
-    ranked = rows.orderBy(*[F.col(c).desc() for c in keys], *tie).limit(k)
-    return ranked.withColumn("selected", F.lit(True)).unionByName(
-        rows.exceptAll(ranked).withColumn("selected", F.lit(False)))
+        if left == r["n"]:      # the whole interval belongs: its smallest key is the k-th
+            return low, rows.filter(x == low).count()
+    return low, left
 
 
 def mark_target(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", most: int = TARGET_DOCS,

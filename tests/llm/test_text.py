@@ -164,6 +164,12 @@ def test_top_k_is_exact(spark, k):
     assert got == set(rank[:k])
 
 
+def test_top_k_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 2.0), (2, 2.0), (None, 2.0)], "id long, key double")
+    got = [(r["id"], r["selected"]) for r in resampling.top_k(rows, "key", ["id"], 2).collect()]
+    assert sorted(got, key=str) == sorted([(1, True), (1, True), (1, False), (2, False), (None, False)], key=str)
+
+
 def test_resampling_awkward_cases(spark):
     docs = documents(spark, awkward_texts()).withColumn("good", F.col("doc_id") < 3)
     docs = docs.unionByName(docs.limit(2)).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))
