@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they decode to."""
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    done = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        F.decode("decoded", "UTF-8").alias("text"))
 

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TRANSITIONS = 400_000   # remembered by one worker; beyond, it starts again
-MAX_CHUNKS = 350_000          # remembered pieces of text of one worker
+MAX_TRANSITIONS = 200_000   # remembered by one worker; beyond, it starts again
+MAX_CHUNKS = 200_000          # remembered pieces of text of one worker
 FLUSH = 1024                  # bytes between two looks for decided tokens in a long piece
 NEVER = 1 << 60
 MARKS = frozenset(".,;:!?")
@@ -250,6 +250,12 @@ class Encoder:
             found = np.concatenate([[self.chunks[first]], found])
         return self._spread(found)
 
+    def encode_all(self, texts: Iterable) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow column's texts, one after the other, and their offsets."""
+        ids = [self.encode(t.as_py()) for t in texts]
+        ends = np.cumsum([0] + [len(x) for x in ids])
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), ends
+
     def _spread(self, found: np.ndarray) -> np.ndarray:
         starts, n = self._bounds(found)
         if not n.sum():
@@ -369,13 +375,17 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of a bounded size, one row at least."""
     rows = max(1, min(batch.num_rows, int(size * batch.num_rows / max(1, batch.nbytes))))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text",
            out_col: str = "ids") -> DataFrame:
     """``docs`` without ``text_col``, with ``out_col`` (array of ids) added or
@@ -389,15 +399,33 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         e = encoder(path, pattern)
         for whole in batches:
             for batch in _slices(whole):
-                ids = [e.encode(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-                ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
+                flat, ends = e.encode_all(batch.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(flat, ends)], names=batch.schema.names)
 
     return src.mapInArrow(run, T.StructType([*src.schema[:-1], T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text",
+               ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` in one pass: a worker holds both directions."""
+    path, pattern = path or default_path(), pattern or default_pattern()
+    names = [ids_col, out_col, f"{out_col}_ok"]
+    keep = [c for c in docs.columns if c not in (text_col, *names)]
+    src = docs.select(*keep, F.col(text_col).alias(ids_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, d = encoder(path, pattern), decoder(path)
+        for whole in batches:
+            for batch in _slices(whole):
+                flat, ends = e.encode_all(batch.column(batch.num_columns - 1))
+                data, ok = d.decode_lists(flat, ends.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(flat, ends), data.cast(pa.binary()), pa.array(ok)],
+                                                 names=[*batch.schema.names, *names[1:]])
+
+    return src.mapInArrow(run, T.StructType([*src.schema[:-1], T.StructField(names[0], T.ArrayType(T.IntegerType())),
+                                             T.StructField(names[1], T.BinaryType()), T.StructField(names[2], T.BooleanType())]))
+
+
 def decode(ids: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``ids`` with ``out_col`` (bytes) and ``<out_col>_ok`` (well-formed UTF-8)
     added or replaced. A null list gives empty bytes; an unknown id fails."""

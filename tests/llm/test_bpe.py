@@ -2,7 +2,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankflow.llm.bpe import Transducer, Utf8Machine, decode, decoder, default_path, default_pattern, encode, encoder, read_ranks
+from rankflow.llm.bpe import Transducer, Utf8Machine, decode, decoder, default_path, default_pattern, encode, encoder, read_ranks, round_trip
 
 from .helpers import awkward_texts, documents
 
@@ -50,6 +50,8 @@ def test_round_trip_and_awkward_cases(spark):
         assert bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "") and r["decoded_ok"]
         assert r["ids"] == REFERENCE.encode_ordinary(texts[r["doc_id"]] or "")
     assert decode(encode(docs.limit(0))).count() == 0
+    both = sorted(map(str, round_trip(docs).select("doc_id", "ids", "decoded", "decoded_ok").collect()))
+    assert both == sorted(map(str, decode(encode(docs)).select("doc_id", "ids", "decoded", "decoded_ok").collect()))
 
 
 def test_damaged_ids_are_told(spark):
