@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parquet_stage, scratch_path
+from .common import parquet_stage, scratch_path, small_batches
 
 BLOCK_BYTES = 4 << 20       # text of a block aimed at
 BUCKET_BYTES = 24 << 20     # text per hash bucket: bounds what one bucket sorts
@@ -34,6 +34,7 @@ class Blocks:
 
 def block_table(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> Blocks:
     """``docs`` as a stored table of blocks. ``row`` is a struct of ``carry``."""
+    small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_BYTES))
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")

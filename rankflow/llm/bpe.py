@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back, small_batches
+
 MAX_TRANSITIONS = 200_000   # remembered by one worker; beyond, it starts again
 MAX_CHUNKS = 200_000          # remembered pieces of text of one worker
 FLUSH = 1024                  # bytes between two looks for decided tokens in a long piece
@@ -391,6 +393,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     """``docs`` without ``text_col``, with ``out_col`` (array of ids) added or
     replaced. Null and empty texts give an empty list; the path names a rank
     file that every worker can open."""
+    small_batches(docs.sparkSession)
     path, pattern = path or default_path(), pattern or default_pattern()
     keep = [c for c in docs.columns if c not in (text_col, out_col)]
     src = docs.select(*keep, F.col(text_col).alias(out_col))
@@ -401,6 +404,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for batch in _slices(whole):
                 flat, ends = e.encode_all(batch.column(batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(flat, ends)], names=batch.schema.names)
+        give_back()
 
     return src.mapInArrow(run, T.StructType([*src.schema[:-1], T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
@@ -408,6 +412,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text",
                ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``decode(encode(docs))`` in one pass: a worker holds both directions."""
+    small_batches(docs.sparkSession)
     path, pattern = path or default_path(), pattern or default_pattern()
     names = [ids_col, out_col, f"{out_col}_ok"]
     keep = [c for c in docs.columns if c not in (text_col, *names)]
@@ -421,6 +426,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 data, ok = d.decode_lists(flat, ends.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(flat, ends), data.cast(pa.binary()), pa.array(ok)],
                                                  names=[*batch.schema.names, *names[1:]])
+        give_back()
 
     return src.mapInArrow(run, T.StructType([*src.schema[:-1], T.StructField(names[0], T.ArrayType(T.IntegerType())),
                                              T.StructField(names[1], T.BinaryType()), T.StructField(names[2], T.BooleanType())]))

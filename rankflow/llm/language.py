@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back, small_batches
+
 SAMPLE_DOCS = 400            # labelled texts per language that may enter its dictionary
 SAMPLE_CHARS = 2_000         # characters taken from each of them
 DICT_BYTES = 256 << 10       # size of a dictionary
@@ -99,6 +101,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col="text", m
     ``DICT_BYTES`` per language."""
     names = [f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")]
     keep = [c for c in docs.columns if c not in names]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +113,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col="text", m
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
                  pa.array([x[0] == UNKNOWN or x[2] < min_margin for x in found], pa.bool_())],
                 names=[*batch.schema.names, *names])
+        give_back()
 
     out = docs.select(*keep)
     schema = T.StructType([*out.schema, T.StructField(names[0], T.StringType()),

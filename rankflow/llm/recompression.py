@@ -33,7 +33,7 @@ WINDOW = 35
 ROUNDS = 6
 RUN_ROUNDS = (0,)        # rounds that begin with naming runs
 LONGEST = 12             # a name for more words than this is not paired again
-MAX_WORDS = 400_000      # remembered words of one worker
+MAX_WORDS = 150_000      # remembered words of one worker
 
 
 class _Vocabulary(dict):
@@ -209,6 +209,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("row", kind)])
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
+        _VOCABULARY.forget()        # this pass has no use for what the last ones left in the worker
         split = [t.split() for t in texts(table)]
         sizes = np.array([len(words) for words in split], np.int64)
         bits, index, packed = answers(reply)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parquet_stage
+from .common import give_back, parquet_stage, small_batches
 from .components import components
 
 SHINGLE = 3
@@ -63,6 +63,7 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE, carry: list[str] = ()) -> DataFrame:
     """``rid`` (row number), ``id, fp`` (signed 64-bit) and ``row`` (struct of ``carry``)."""
+    small_batches(docs.sparkSession)
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"),
                       F.col(text_col).alias("text"), row.alias("row"))
@@ -71,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHING
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps), batch.column(3)], names=["rid", "id", "fp", "row"])
+        give_back()
 
     kind = src.schema["row"].dataType.simpleString()
     return src.mapInArrow(run, f"rid long, id long, fp long, row {kind}")
