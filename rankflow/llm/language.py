@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import give_back, small_batches
 
-SAMPLE_DOCS = 400            # labelled texts per language that may enter its dictionary
+SAMPLE_DOCS = 400            # distinct labelled texts per language that may enter its dictionary
 SAMPLE_CHARS = 2_000         # characters taken from each of them
 DICT_BYTES = 256 << 10       # size of a dictionary
 LEVEL = 3
@@ -34,25 +34,32 @@ def normalized(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANKED).split())
 
 
+def _last_hash(wanted: int, n: int) -> int:
+    """Signed 64-bit hashes up to this one are ``wanted`` of ``n`` on average, all if there are no more."""
+    return (1 << 63) - 1 if n <= wanted else (wanted << 64) // n - (1 << 63)
+
+
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
         sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
         dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw dictionaries by language, from a bounded sample: for each language
-    the ``sample_docs`` labelled texts of the smallest id hash, the first
-    ``sample_chars`` characters of each, ``dict_bytes`` in all. Distinct texts
-    count once. Rows without text, letter or language are not learned from."""
+    the ``sample_docs`` distinct labelled texts (the first ``sample_chars``
+    characters of each) of the smallest hash, ``dict_bytes`` in all. Copies
+    count once, also for a language's share. Rows without text, letter or
+    language are not learned from."""
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = usable.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("piece"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = (usable.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("piece"))
+            .withColumn("turn", F.xxhash64("piece")))
+    counts = {r["lang"]: r["n"] for r in
+              rows.select("lang", "turn").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    # a language's share of hashes is set so that about 8 * sample_docs rows
-    # pass: what reaches one task does not grow with the corpus
-    share = F.create_map(*[x for lang, n in counts.items()
-                           for x in (F.lit(lang), F.lit(min(1.0, 8.0 * sample_docs / n)))])[F.col("lang")]
+    # a language's share of hashes is set so that about 8 * sample_docs distinct
+    # texts pass: what reaches one task does not grow with the corpus
+    last = F.create_map(*[x for lang, n in counts.items()
+                          for x in (F.lit(lang), F.lit(_last_hash(8 * sample_docs, n)))])[F.col("lang")]
     w = Window.partitionBy("lang").orderBy("turn", "piece")
-    rows = (rows.withColumn("turn", F.xxhash64("piece"))
-            .filter(F.pmod("turn", F.lit(1_000_003)) < share * 1_000_003)
+    rows = (rows.filter(F.col("turn") <= last)
             .distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample_docs)
             .orderBy("lang", "rn").collect())
     texts: dict[str, list[bytes]] = {}

@@ -59,6 +59,23 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_of_many_copies_is_learned(spark):
+    """100,000 rows of 50 distinct texts: each of the 50 enters the dictionary."""
+    row = F.concat(F.lit("kopie "), F.translate((F.col("id") % 50).cast("string"), "0123456789", "abcdefghij"))
+    docs = (spark.range(100_000).select(F.col("id").alias("doc_id"), row.alias("text"), F.lit("de").alias("lang"))
+            .unionByName(spark.createDataFrame([(-1, "the only English text", "en")], "doc_id long, text string, lang string")))
+    found = language.fit(docs)
+    assert found["en"] == b"the only english text"
+    assert sorted(found["de"].split(b"\n")) == sorted({b"kopie " + bytes(ord("a") + int(c) for c in str(i)) for i in range(50)})
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.translate(
+        F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("xx").alias("lang"))
+    want = [r["text"] for r in docs.orderBy(F.xxhash64("text")).limit(40).collect()]
+    assert language.fit(docs, sample_docs=40)["xx"].decode().split("\n") == want
+
+
 def test_language_awkward_cases(spark):
     docs = documents(spark, [*awkward_texts(), "123 456 !", None]).withColumn("score", F.lit("clash"))
     found = language.identify(docs, language.fit(docs)).collect()
