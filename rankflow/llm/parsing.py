@@ -10,16 +10,14 @@ A string of ``window`` bytes that holds a whole phrase occurring once cannot
 start anywhere else; that rules out nearly all of the text that is not repeated.
 The other window starts are taken together by the first trigger in their
 window. If all the text around a trigger that its windows span occurs again
-(by 128 bits of hash), all of them do. What is left, where repeats end, is
-settled in corpus order: around each trigger, the reversed bytes before it (a
-suffix of a dictionary phrase) and the bytes after it (the rest of the parse)
-are each sorted, giving two suffix orders with their common-prefix lengths. A
-window that begins a bytes before its trigger equals another one exactly if
-the two share a class of common prefix a in the first order and of window - a
-in the second.
-
-Windows without a trigger in their first REACH bytes (long runs of one
-pattern, mostly) are compared by the hash of the window itself.
+(by 128 bits of hash), all of them do. What is left, where repeats end, and one
+text of each that occurs again and shares its route (the bytes after the
+trigger) with such a rest, is settled window by window, by the hash of the
+window itself. So are windows without a trigger in their first REACH bytes
+(long runs of one pattern, mostly).
+
+Every pass deals its keys by a hash of what they are compared by, and a block
+sends a key once: no passage, however common, gathers its documents in a task.
 """
 
 from __future__ import annotations
@@ -30,19 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import REQUEST, Rolling, block_table, covered, distinct, mix, replies, requests, texts, unpack
+from .blocks import REPLY, REQUEST, Rolling, block_table, covered, distinct, mix, replies, requests, texts, unpack
 from .common import parquet_stage
 
 WINDOW = 200
 WORD = 8            # bytes of a trigger
 RATE = 32           # one position in RATE is a trigger
-ROUTE = 32          # bytes after a trigger that choose the task that settles it
+ROUTE = 32          # bytes after a trigger that equal windows around it share
+FINER = 4           # hash buckets of windows per bucket of other keys: text has more windows than triggers
 _LUT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LUT2 = mix(_LUT + np.uint64(0xD1B54A32D192ED03))
 
-ASK_AROUND = "blk int, bucket int, keys binary, many binary"
 ANSWER_AROUND = "blk int, bucket int, bits binary"
-ASK_ORDER = "blk int, bucket int, routes binary, masks binary, sizes binary, data binary, many binary"
 
 
 class _Block:
@@ -103,32 +100,44 @@ class _Block:
         return np.stack([self.hash(start, end), other(start, end)], axis=1)
 
     def around(self):
-        """Key of all text that a trigger's candidate windows span, led by its route."""
-        route = self.route()
-        return distinct(np.concatenate([route[:, None], self.keys(self.low, self.high + self.window)], axis=1))
-
-    def route(self):
+        """Key of all text that a trigger's candidate windows span, and its route."""
         t = self.triggers[self.group_k]
-        return self.hash(t, t + ROUTE)
+        return distinct(np.concatenate([self.keys(self.low, self.high + self.window), self.hash(t, t + ROUTE)[:, None]], axis=1))
+
+    def windows(self, send):
+        """Starts and distinct keys of the windows of the groups ``send`` and of those without a trigger."""
+        start = np.concatenate([self.at[np.repeat(send, np.diff(self.cut))], self.loose])
+        return start, *distinct(self.keys(start, start + self.window))
 
 
-def _resolve_around(table: pa.Table) -> pa.Table:
-    """Two bits per key (route, 128 bits of text): does the text occur more than
-    once, and is there a text of its route that does not? For the latter, one
-    block sends each text that does: a third bit says whether it is this one."""
+def _tally(table: pa.Table):
+    """The keys (128 bits of text, route) of a bucket's requests, their sizes by
+    request, the number of each among the distinct, and which of these occur
+    more than once."""
     parts = [np.frombuffer(k, np.uint64).reshape(-1, 3) for k in table.column("keys").to_pylist()]
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)).astype(bool)
                            for m, p in zip(table.column("many").to_pylist(), parts)])
     found, inverse, again = distinct(np.concatenate(parts))
     again |= np.bincount(inverse, many, len(found)) > 0
-    _, route = np.unique(found[:, 0], return_inverse=True)
-    open_route = np.bincount(route, ~again, route.max(initial=-1) + 1) > 0
-    first = np.full(len(found), len(inverse))
-    np.minimum.at(first, inverse, np.arange(len(inverse)))
-    sends = open_route[route][inverse] & (~again[inverse] | (first[inverse] == np.arange(len(inverse))))
-    cut = np.cumsum([len(p) for p in parts])[:-1]
-    bits = [np.packbits(np.stack([a, s]), axis=None).tobytes() for a, s in zip(np.split(again[inverse], cut), np.split(sends, cut))]
-    return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+    return [len(p) for p in parts], found, inverse, again
+
+
+def _routes(found: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct routes of a bucket's keys, the route of each key, and whether a text of it occurs once."""
+    routes, inverse, _ = distinct(found[:, 2:])
+    return routes, inverse, np.bincount(inverse, ~again, len(routes)) > 0
+
+
+def _resolve_routes(table: pa.Table) -> pa.Table:
+    """A bit per route, for each bucket of texts that asks: is it open, that is, does a text of it occur once?"""
+    parts = [np.frombuffer(k, np.uint64)[:, None] for k in table.column("keys").to_pylist()]
+    once = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)).astype(bool)
+                           for m, p in zip(table.column("many").to_pylist(), parts)])
+    found, inverse, _ = distinct(np.concatenate(parts))
+    is_open = np.bincount(inverse, once, len(found)) > 0
+    bits = np.split(is_open[inverse], np.cumsum([len(p) for p in parts])[:-1])
+    return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"),
+                     "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()), "note": pa.nulls(len(parts), pa.binary())})
 
 
 def _unpack_around(table: pa.Table, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,42 +154,6 @@ def _unpack_around(table: pa.Table, keys: np.ndarray, buckets: int) -> tuple[np.
     return again, sends
 
 
-def _common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each row of a byte matrix in sorted order, and the length of the
-    prefix that each in that order shares with the one before."""
-    width = rows.shape[1]
-    pad = (-width) % 8
-    wide = np.pad(rows, ((0, 0), (0, pad))) if pad else np.ascontiguousarray(rows)
-    columns = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(columns.T[::-1])
-    s = rows[order]
-    differs = s[1:] != s[:-1]
-    lcp = np.where(differs.any(1), differs.argmax(1), width)
-    rank = np.empty(len(rows), np.int64)
-    rank[order] = np.arange(len(rows))
-    return rank, np.concatenate([[0], lcp])
-
-
-def settle(before: np.ndarray, after: np.ndarray, mask: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
-    """``before``: reversed bytes before each trigger, ``after``: ``window``
-    bytes from it on, ``mask[i, a]``: the window that begins a bytes before
-    trigger i is a candidate. True where an equal one exists, or row i itself
-    occurs more than once."""
-    rank_b, lcp_b = _common(before)
-    rank_a, lcp_a = _common(after)
-    out = np.zeros_like(mask)
-    for a in range(mask.shape[1]):
-        rows = np.flatnonzero(mask[:, a])
-        if not len(rows):
-            continue
-        class_b = np.cumsum(lcp_b < a)[rank_b[rows]] if a else np.zeros(len(rows), np.int64)
-        class_a = np.cumsum(lcp_a < window - a)[rank_a[rows]]
-        _, inverse, counts = np.unique(class_b * (len(after) + 1) + class_a, return_inverse=True, return_counts=True)
-        again = (counts > 1) | (np.bincount(inverse, many[rows], len(counts)) > 0)
-        out[rows, a] = again[inverse]
-    return out
-
-
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                      carry: list[str] = ()) -> DataFrame:
     """``id, n_bytes, n_removed, starts, kept, row``: each document's UTF-8
@@ -194,7 +167,6 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = block_table(docs, id_col, text_col, carry)
     buckets, rows = blocks.buckets, blocks.rows
     by_block = rows.select("blk", "text").groupBy("blk")
-    reach = window - ROUTE
 
     def ask_phrases(table: pa.Table) -> pa.Table:
         found, _, many = _Block(table, window).phrases()
@@ -210,89 +182,59 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def ask_around(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return requests(0, np.zeros((0, 3), np.uint64), np.zeros(0, bool), buckets).append_column("loose", pa.array([], pa.bool_()))
-        block, blk = after_first(table, reply), table.column("blk")[0].as_py()
-        found, _, many = block.around()
-        grouped = requests(blk, found, many, buckets)
-        found, _, many = distinct(block.keys(block.loose, block.loose + window))
-        loose = requests(blk, found, many, buckets)
-        return pa.concat_tables([grouped.append_column("loose", pa.array([False] * len(grouped), pa.bool_())),
-                                 loose.append_column("loose", pa.array([True] * len(loose), pa.bool_()))])
-
-    asked = parquet_stage(by_block.cogroup(first.groupBy("blk")).applyInArrow(ask_around, REQUEST + ", loose boolean"), "pfp-around")
-    around = parquet_stage(asked.filter("NOT loose").groupBy("bucket").applyInArrow(_resolve_around, ANSWER_AROUND), "pfp-around-replies")
-    loose = replies(asked.filter("loose").drop("loose"), 2).drop("note")
-    answers = (first.withColumn("step", F.lit(1)).unionByName(around.withColumn("step", F.lit(2)))
-               .unionByName(loose.withColumn("step", F.lit(3))))
+            return requests(0, np.zeros((0, 3), np.uint64), np.zeros(0, bool), buckets)
+        found, _, many = after_first(table, reply).around()
+        return requests(table.column("blk")[0].as_py(), found, many, buckets)
+
+    def ask_routes(table: pa.Table) -> pa.Table:
+        _, found, _, again = _tally(table)
+        routes, _, once = _routes(found, again)
+        return requests(table.column("bucket")[0].as_py(), routes, once, buckets)
+
+    def answer_around(table: pa.Table, reply: pa.Table) -> pa.Table:
+        """Two bits per key: does the text occur more than once, and does the
+        block send its windows? A text that occurs once is sent, and by one
+        block each that occurs again on an open route."""
+        sizes, found, inverse, again = _tally(table)
+        routes, of, _ = _routes(found, again)
+        is_open = unpack(reply, routes, buckets)[of]
+        first = np.full(len(found), len(inverse))
+        np.minimum.at(first, inverse, np.arange(len(inverse)))
+        sends = is_open[inverse] & (~again[inverse] | (first[inverse] == np.arange(len(inverse))))
+        cut = np.cumsum(sizes)[:-1]
+        bits = [np.packbits(np.stack([a, s]), axis=None).tobytes() for a, s in zip(np.split(again[inverse], cut), np.split(sends, cut))]
+        return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+    asked = parquet_stage(by_block.cogroup(first.groupBy("blk")).applyInArrow(ask_around, REQUEST), "pfp-around")
+    # here a bucket of texts asks, so it stands in the column blk
+    routes = parquet_stage(asked.groupBy("bucket").applyInArrow(ask_routes, REQUEST)
+                           .groupBy("bucket").applyInArrow(_resolve_routes, REPLY), "pfp-routes")
+    around = parquet_stage(asked.groupBy("bucket").cogroup(routes.groupBy("blk")).applyInArrow(answer_around, ANSWER_AROUND),
+                           "pfp-around-replies")
+    answers = first.withColumn("step", F.lit(1)).unionByName(around.withColumn("step", F.lit(2)))
 
     def after_around(table: pa.Table, reply: pa.Table):
-        """The block, which groups occur again as a whole, and the contexts it sends."""
+        """The block, which groups occur again as a whole, and which it sends the windows of."""
         import pyarrow.compute as pc
         one, two = (reply.filter(pc.equal(reply.column("step"), k)) for k in (1, 2))
         block = after_first(table, one)
-        found, inverse, many = block.around()
+        found, inverse, _ = block.around()
         again, sends = _unpack_around(two, found, buckets)
-        # of equal groups in a block one is sent, but all that are open get the answer
+        # of equal groups in a block one is sent
         first_of = np.full(len(found), len(inverse))
         np.minimum.at(first_of, inverse, np.arange(len(inverse)))
-        send = np.flatnonzero(sends[inverse] & (first_of[inverse] == np.arange(len(inverse))))
-        return block, again[inverse], send, many[inverse]
-
-    def contexts(block: _Block, send: np.ndarray):
-        """Per sent group: route, candidate mask by distance before the trigger, distance of the first start."""
-        route = block.route()[send]
-        bucket = ((route >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return send[order], route[order], bucket[order]
-
-    def ask_order(table: pa.Table, reply: pa.Table) -> pa.Table:
-        schema = pa.schema([("blk", pa.int32()), ("bucket", pa.int32()), ("routes", pa.binary()), ("masks", pa.binary()),
-                            ("sizes", pa.binary()), ("data", pa.binary()), ("many", pa.binary())])
+        return block, again[inverse], sends[inverse] & (first_of[inverse] == np.arange(len(inverse)))
+
+    def ask_windows(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return schema.empty_table()
-        block, again, send, _ = after_around(table, reply)
-        send, route, bucket = contexts(block, send)
-        rows_out, raw = [], block.data.tobytes()
-        for b in np.unique(bucket).tolist():
-            x, y = np.searchsorted(bucket, [b, b + 1])
-            mask = np.zeros((y - x, reach + 1), bool)
-            data, sizes = [], np.zeros(y - x, np.int32)
-            for row, g in enumerate(send[x:y].tolist()):
-                t = int(block.triggers[block.group_k[g]])
-                starts = block.at[block.cut[g]:block.cut[g + 1]]
-                mask[row, t - starts] = True
-                sizes[row] = t - starts[0]
-                data.append(raw[starts[0]:t + window])
-            rows_out.append({"blk": table.column("blk")[0].as_py(), "bucket": b, "routes": route[x:y].tobytes(),
-                             "masks": np.packbits(mask, axis=1).tobytes(), "sizes": sizes.tobytes(), "data": b"".join(data),
-                             "many": np.packbits(again[send[x:y]]).tobytes()})
-        return pa.Table.from_pylist(rows_out, schema=schema)
-
-    def resolve_order(table: pa.Table) -> pa.Table:
-        mask, before, after, many, counts = [], [], [], [], []
-        width = -(-(reach + 1) // 8)
-        for r in table.to_pylist():
-            sizes = np.frombuffer(r["sizes"], np.int32).astype(np.int64)
-            n = len(sizes)
-            counts.append(n)
-            mask.append(np.unpackbits(np.frombuffer(r["masks"], np.uint8).reshape(n, width), axis=1, count=reach + 1).astype(bool))
-            many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8), count=n).astype(bool))
-            data = np.frombuffer(r["data"], np.uint8)
-            trigger = np.cumsum(sizes + window) - window
-            after.append(np.lib.stride_tricks.sliding_window_view(data, window)[trigger])
-            # byte a before the trigger; beyond the first start nothing is compared
-            place = trigger[:, None] - 1 - np.arange(reach)[None, :]
-            before.append(np.where(np.arange(reach)[None, :] < sizes[:, None], data[np.maximum(place, 0)], 0).astype(np.uint8))
-        mask, many = np.concatenate(mask), np.concatenate(many)
-        # a text that is known to occur again is settled; it only helps others
-        got = settle(np.concatenate(before), np.concatenate(after), mask, many, window)
-        bits = [np.packbits(x, axis=1).tobytes() for x in np.split(got, np.cumsum(counts)[:-1])]
-        return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+            return requests(0, np.zeros((0, 2), np.uint64), np.zeros(0, bool), buckets * FINER)
+        block, _, send = after_around(table, reply)
+        _, found, _, many = block.windows(send)
+        return requests(table.column("blk")[0].as_py(), found, many, buckets * FINER)
 
     by_text = rows.select("blk", "text").groupBy("blk")
-    ordered = parquet_stage(by_text.cogroup(answers.groupBy("blk")).applyInArrow(ask_order, ASK_ORDER)
-                            .groupBy("bucket").applyInArrow(resolve_order, ANSWER_AROUND), "pfp-order")
-    answers = answers.unionByName(ordered.withColumn("step", F.lit(4)))
+    settled = replies(by_text.cogroup(answers.groupBy("blk")).applyInArrow(ask_windows, REQUEST), 2).drop("note")
+    answers = answers.unionByName(settled.withColumn("step", F.lit(3)))
     kind = rows.schema["row"].dataType
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_bytes", T.LongType()),
                         T.StructField("n_removed", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
@@ -301,20 +243,10 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
-        three, four = (reply.filter(pc.equal(reply.column("step"), k)) for k in (3, 4))
-        block, again, send, _ = after_around(table, reply)
-        whole = np.repeat(again, np.diff(block.cut))
-        starts = [block.at[whole]]
-        found, inverse, _ = distinct(block.keys(block.loose, block.loose + window))
-        starts.append(block.loose[unpack(three, found, buckets)[inverse]])
-        send, route, bucket = contexts(block, send)
-        got = dict(zip(four.column("bucket").to_pylist(), four.column("bits").to_pylist()))
-        width = -(-(reach + 1) // 8)
-        for b in np.unique(bucket).tolist():
-            x, y = np.searchsorted(bucket, [b, b + 1])
-            bits = np.unpackbits(np.frombuffer(got[b], np.uint8).reshape(y - x, width), axis=1, count=reach + 1).astype(bool)
-            row, a = np.nonzero(bits)
-            starts.append(block.triggers[block.group_k[send[x:y][row]]] - a)
+        block, again, send = after_around(table, reply)
+        start, found, inverse, _ = block.windows(send)
+        three = unpack(reply.filter(pc.equal(reply.column("step"), 3)), found, buckets * FINER)
+        starts = [block.at[np.repeat(again, np.diff(block.cut))], start[three[inverse]]]
         gone = covered(np.concatenate(starts), window, block.n) if block.n else np.zeros(0, bool)
         cols: dict[str, list] = {c: [] for c in ("n_removed", "starts", "lengths", "kept")}
         for text, end, size in zip(block.texts, block.ends.tolist(), block.sizes.tolist()):

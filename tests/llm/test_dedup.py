@@ -79,6 +79,37 @@ def test_repeated_bytes_of_copies_with_edits(spark):
     assert got == want
 
 
+def test_common_passage_is_spread_over_buckets(spark, monkeypatch):
+    """One passage in every document, between texts that differ: no bucket of a
+    pass has much more to settle than the others, and the result stays exact."""
+    from pyspark.sql import functions as F
+
+    from rankflow.llm import blocks, parsing
+    rng = random.Random(9)
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(400)
+    texts = [noise(250) + passage + noise(250) for _ in range(900)]
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 50_000)
+    stages, store = [], parsing.parquet_stage
+    def spy(df, name):
+        stages.append((name, store(df, name)))
+        return stages[-1][1]
+    monkeypatch.setattr(parsing, "parquet_stage", spy)
+    monkeypatch.setattr(blocks, "parquet_stage", spy)
+    got = {r["id"]: bytes(r["kept"]) for r in repeated_strings(documents(spark, texts)).collect()}
+    data = [t.encode() for t in texts]
+    assert got == {i: bytes(b for b, g in zip(s, gone) if not g) for i, (s, gone) in enumerate(zip(data, repeats(data, 200)))}
+    seen = 0
+    for name, df in stages:
+        if "bits" in df.columns:
+            sizes = [r["n"] for r in df.groupBy("bucket").agg(F.sum(F.octet_length("bits")).alias("n")).collect()]
+            seen += 1
+            assert max(sizes) <= 3 * sum(sizes) / len(sizes) + 200, (name, sorted(sizes)[-3:])
+    assert seen >= 3
+
+
 def test_repeated_rows_and_empty(spark):
     docs = documents(spark, ["word " * 3 + "abc " * 100, None, ""])
     twice = docs.unionByName(docs)
