@@ -40,14 +40,16 @@ from ..session import checkpoint
 
 EXCLUDE = ("Id", "ranker_id", "selected")
 
-# Defaults of ours for one pointwise fit; ``maxIter`` is the number of rounds.
-GBT_PARAMS = {"stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "maxIter": 20,
+# ``maxIter`` is the limit of rounds, as in the reference; validation ends a fit before.
+GBT_PARAMS = {"stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "maxIter": 2000,
               "minInstancesPerNode": 20, "featureSubsetStrategy": "0.8", "seed": 42}
 # Search ranges. The step is drawn on a log scale; a tree of depth
 # 5 to 7 has up to 32 to 128 leaves, the trees here having no leaf limit.
 SEARCH_SPACE = {"stepSize": (0.01, 0.2), "maxDepth": (5, 7), "subsamplingRate": (0.6, 1.0),
                 "featureFraction": (0.6, 1.0), "minInstancesPerNode": (10, 50)}
 SEARCH_TRIALS, SEARCH_FOLDS = 100, 3
+CV_FOLDS = 5
+PATIENCE = 200      # rounds without a better validation score that end a fit
 
 
 # ---------------------------------------------------------------- O1
@@ -100,21 +102,45 @@ class MatrixPrep:
 
 # ---------------------------------------------------------------- O3 / O4 / O5
 
+def hold_out(train: DataFrame, group: str = "ranker_id") -> tuple[DataFrame, DataFrame]:
+    """A fifth of the sessions held out for validation, by a hash that is independent of the folds'."""
+    part = F.pmod(F.xxhash64(F.col(group), F.lit("validation")), F.lit(5))
+    return train.filter(part != 0), train.filter(part == 0)
+
+
 def fit_gbt(train: DataFrame, validation: DataFrame | None = None, label: str = "selected",
-            **params):
-    """O3 (+ O4 when ``validation`` is given: boosting stops when the
-    validation error stops improving)."""
-    p = dict(GBT_PARAMS)
-    p.update(params)
+            patience: int = PATIENCE, **params):
+    """O3 (+ O4 when ``validation`` is given: boosting ends when its squared
+    error has not improved for ``patience`` rounds, and the best round counts).
+    Without ``validation`` and without a number of rounds (``maxIter``),
+    sessions of ``train`` are held out for it. Spark's own stop ends at the
+    first worse round and cannot go on with a fit, so the rounds are doubled
+    until patience runs out; the seed makes the first trees the same."""
+    if validation is None and "maxIter" not in params:
+        train, validation = hold_out(train)
+    p = {**GBT_PARAMS, **params}
+    train = train.withColumn(label, F.col(label).cast("double"))
+
+    def fit(rounds: int):
+        return GBTRegressor(featuresCol="features", labelCol=label, lossType="squared", **{**p, "maxIter": rounds}).fit(train)
+
+    limit = p["maxIter"]
     if validation is None:
-        gbt = GBTRegressor(featuresCol="features", labelCol=label, lossType="squared", **p)
-        return gbt.fit(train.withColumn(label, F.col(label).cast("double")))
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, lossType="squared",
-                       validationIndicatorCol="_is_val", validationTol=0.0, **p)
-    data = (train.withColumn("_is_val", F.lit(False))
-                 .unionByName(validation.withColumn("_is_val", F.lit(True)))
-                 .withColumn(label, F.col(label).cast("double")))
-    return gbt.fit(data)
+        return fit(limit)
+    validation = validation.withColumn(label, F.col(label).cast("double"))
+    rounds = min(limit, patience + patience // 4)
+    while True:
+        m = fit(rounds)
+        errors = m.evaluateEachIteration(validation, "squared")
+        best = 0
+        for r, error in enumerate(errors):
+            if error < errors[best]:
+                best = r
+            elif r - best >= patience:
+                break
+        if rounds >= limit or len(errors) - 1 - best >= patience:
+            return m if best + 1 == rounds else fit(best + 1)
+        rounds = min(limit, 2 * rounds)
 
 
 def score(model, df: DataFrame, out: str = "score") -> DataFrame:
@@ -191,7 +217,7 @@ def evaluate(scored: DataFrame, score_col: str = "score", label: str = "selected
     return attach_row(attach_row(a, b), c)
 
 
-def cross_validate(matrix: DataFrame, k: int = 3, fold_col: str = "fold", fit=None,
+def cross_validate(matrix: DataFrame, k: int = CV_FOLDS, fold_col: str = "fold", fit=None,
                    label: str = "selected") -> DataFrame:
     """For each fold fit on the others, score the held-out sessions and
     measure; returns one row per fold. The matrix is persisted once and
@@ -330,12 +356,12 @@ class ListwiseBoostRanker:
     checkpointed every ``checkpoint_every`` rounds (reliable checkpoint in
     ``spark.checkpoint.dir``), and with a validation set the loop stops when
     NDCG@k has not improved for ``patience`` rounds."""
-    rounds: int = 20
+    rounds: int = 2000
     step: float = 0.5
     maxDepth: int = 4
     minInstancesPerNode: int = 20
     checkpoint_every: int = 5
-    patience: int = 5
+    patience: int = PATIENCE
     k: int = 10
     group: str = "ranker_id"
     label: str = "selected"

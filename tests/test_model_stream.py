@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,80 @@ def test_run_solution_end_to_end(spark, tmp_path):
     assert res.cv.count() == 2 and res.cv_summary.first()["folds"] == 2
     assert res.submission_path and spark.read.option("header", True).csv(res.submission_path).count() == test.count()
     assert res.importance.count() > 50
+
+
+def test_boosted_fit_waits_for_patience(monkeypatch):
+    from rankflow.operators import model as M
+    fits = []
+
+    class Gbt:
+        def __init__(self, maxIter, **_):
+            fits.append(maxIter)
+
+        def fit(self, data):
+            return self
+
+        def evaluateEachIteration(self, validation, loss):
+            return [abs(i - 7) + 3 * (i == 2) for i in range(fits[-1])]
+
+    class Frame:
+        def withColumn(self, *_):
+            return self
+
+    monkeypatch.setattr(M, "GBTRegressor", Gbt)
+    monkeypatch.setattr(M, "F", __import__("unittest.mock").mock.MagicMock())
+    M.fit_gbt(Frame(), Frame(), patience=8)
+    assert fits == [10, 20, 8]
+
+
+def test_registered_model_queries_use_the_production_defaults(spark, monkeypatch):
+    """Trials, folds and round limits of the reference; every boosted fit is ended by validation."""
+    from rankflow.operators import model as M
+    from rankflow.plans import q_model as Q
+    x = spark.createDataFrame([(i, i // 4, int(i % 4 == 0)) for i in range(400)], "Id long, ranker_id long, selected int")
+    monkeypatch.setattr(Q, "_matrices", lambda *_: (None, x, x))
+
+    class Stop(Exception):
+        pass
+
+    class Gbt:
+        def __init__(self, **params):
+            self.params = params
+
+        def fit(self, data):
+            return self
+
+        def evaluateEachIteration(self, validation, loss):
+            n = self.params["maxIter"]
+            if n == 2000:
+                raise Stop(n, validation.count())
+            return [1 / (i + 1) for i in range(n)]
+
+    monkeypatch.setattr(M, "GBTRegressor", Gbt)
+    for name in ("gbt", "ensemble", "cv", "search"):
+        with pytest.raises(Stop) as e:
+            getattr(Q, f"q_model_{name}")(spark, "")
+        assert e.value.args[0] == 2000 and 0 < e.value.args[1] < 400, name
+
+    def boost(self, train, validation=None):
+        raise Stop(self.rounds, self.patience, validation is not None)
+
+    monkeypatch.setattr(M.ListwiseBoostRanker, "fit", boost)
+    for query in (Q.q_model_lambda, Q.q_model_softmax):
+        with pytest.raises(Stop) as e:
+            query(spark, "")
+        assert e.value.args == (2000, 200, True)
+
+    calls = []
+
+    class Rows:
+        def agg(self, *_):
+            return self
+
+        def first(self):
+            return {"a": 0.5, "b": 0.5}
+
+    monkeypatch.setattr(M, "cross_validate", lambda matrix, k=M.CV_FOLDS, **_: calls.append(k) or Rows())
+    assert Q.q_model_search(spark, "").count() == 100 and calls == [3] * 100
+    Q.q_model_cv(spark, "")
+    assert calls[-1] == 5
