@@ -163,8 +163,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     each other. ``pivots`` sets their number, else a sample does."""
     r = float(np.sqrt(2 - 2 * min_cosine))
     members = parquet_stage(classes(vectors, id_col, vec_col), "vectors")
+    # a class is a node by its stored number, whether it has an id or not
     reps = parquet_stage(members.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
-                         .withColumn("node", F.coalesce("id", F.lit((1 << 63) - 1))).withColumn("dim", F.octet_length("unit")), "vector-classes")
+                         .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("unit")), "vector-classes")
     edges, counts = [], []
     dims = [x[0] for x in reps.select("dim").distinct().limit(10_000).collect()]
     for dim in sorted(dims):
@@ -179,9 +180,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         edges[0], counts[0] = edges[0].unionByName(e), counts[0].unionByName(c)
     found = components(edges[0])
     linked = counts[0].groupBy("key").agg(F.sum("links").alias("links"))
-    by_class = (reps.join(linked, "key", "left").join(found, reps["node"] == found["node"], "left")
-                .select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                        F.coalesce("component", reps["node"]).alias("component_id")))
+    named = reps.join(found, "node", "left").select("key", "id", "weight", F.coalesce("component", "node").alias("group"))
+    lows = named.groupBy("group").agg(F.min("id").alias("component_id"))
+    by_class = (named.join(lows, "group").join(linked, "key", "left")
+                .select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
     joined = members.select("id", "key").join(by_class, "key").select("id", "n_links", "component_id")
     idle = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
             .filter(~_takes_part(F.col("vec"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))

@@ -89,3 +89,9 @@ def test_join_crowd_nulls_and_empty(spark):
     assert sum(r["kept"] for r in got) == 2 and len(got) == 52
     assert near_duplicates(vectors(spark, rows[:0])).count() == 0
     assert [tuple(r) for r in near_duplicates(vectors(spark, [(5, None)])).collect()] == [(5, 0, 5, True)]
+
+
+def test_join_classes_without_id_stay_apart(spark):
+    rows = [(5, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.3, 0.0, 0.0]), (9, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.3])]
+    got = near_duplicates(vectors(spark, rows)).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == {(5, 1, 5, True), (9, 1, 9, True), (None, 1, None, False)}
