@@ -140,7 +140,8 @@ def options_view(spark: SparkSession, sf_dir: str, max_legs: int = MAX_LEGS,
 def option_select_exprs(max_legs: int = MAX_LEGS, max_segments: int = MAX_SEGMENTS) -> list[str]:
     """Spark SQL expressions of the option table over the joined base."""
     sel = [
-        f"o_orderkey * {PARTS}L + part AS Id", "o_custkey AS ranker_id", "o_custkey AS profileId",
+        f"o_orderkey * {PARTS}L + CASE WHEN part < {PARTS} THEN part ELSE"
+        f" raise_error('an order has more than {PARTS} options: Id would repeat') END AS Id", "o_custkey AS ranker_id", "o_custkey AS profileId",
         "c_nationkey AS companyID", "n_name AS nationality",
         "c_acctbal > 8000 AS isVip", "o_orderkey % 10 < 7 AS bySelf",
         "nullif(o_orderstatus, 'P') = 'F' AS isAccess3D",

@@ -81,3 +81,13 @@ def test_submission_skew_safe_equals_window(spark):
     a = {r["Id"]: r["selected"] for r in O.submission(ev, "score").collect()}
     b = {r["Id"]: r["selected"] for r in O.submission(ev, "score", skew_safe=True).collect()}
     assert a == b
+
+
+def test_order_with_too_many_options_fails_loudly(spark):
+    import pytest
+
+    from rankflow.sources.views import PARTS, option_select_exprs
+    ids = lambda part: spark.range(1).selectExpr("7L AS o_orderkey", f"{part}L + id AS part").selectExpr(option_select_exprs()[0])
+    assert ids(PARTS - 1).first()["Id"] == 8 * PARTS - 1 and ids(0).schema["Id"].dataType.simpleString() == "bigint"
+    with pytest.raises(Exception, match="more than"):
+        ids(PARTS).collect()
