@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     reps = parquet_stage(members.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
                          .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("unit")), "vector-classes")
     edges, counts = [], []
-    dims = [x[0] for x in reps.select("dim").distinct().limit(10_000).collect()]
+    dims = [x[0] for x in reps.select("dim").distinct().collect()]
     for dim in sorted(dims):
         e, c = _join_dim(reps.filter(F.col("dim") == dim), r, min_cosine, block, pivots)
         edges.append(e)
