@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .metric_join import near_duplicates
 from .registry import query
 from .topk import search
+from .whitening import whiten
 
 TOPK_SQL = """
 WITH v AS (
@@ -43,3 +44,8 @@ FROM embeddings JOIN r ON r.a = vec_id GROUP BY vec_id
 @query("op8_embedding_near_dedup", JOIN_SQL)
 def op8_embedding_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
