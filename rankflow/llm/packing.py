@@ -15,6 +15,7 @@ table of residues says where a sequence lies in the one that took it.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,43 +30,74 @@ END = 1                     # id that ends a document
 GROUP_ITEMS = 1 << 14       # pieces that one group aims at
 FAN_IN = 8                  # groups that merge in a round
 SLACK = 16                  # a sequence with fewer free places is nearly full
-WORDS = 150_000             # words per generation that a worker remembers
+WORDS = 300_000             # words per generation that a worker remembers
 WORD_CHARS = 64             # longer words are not remembered
 SLICE_CHARS = 1 << 20       # of a long text, as much is taken at a time
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable
+    Latin-1 characters are their own, the other bytes follow from 256 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (c for c in range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+class _Words(dict):
+    """Ids of words by word, in two generations: when the young one (this
+    dictionary) is full it becomes the old one, and the old one goes. A new word of
+    Latin letters is cut into letters, digits and marks as the vocabulary's pattern
+    does; unknown parts go to the merges, words with other characters through the
+    whole tokenizer."""
+
+    # fixed values: the vocabulary's pattern, for lower-cased words of the letters below; none
+    # of them is put together with others or changed in kind by normalising
+    PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|"
+                       r"[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+").findall
+    LETTERS = _byte_letters()
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        self.old, self.parts = {}, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if self.PLAIN(word) and "<|" not in word:       # special tokens stand in marks like these
+                known = self.parts
+                ids = b"".join([known.get(p) or self._part(p) for p in self.PARTS(word.lower())])
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.LETTERS)
+        ids = np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
+        if len(part) <= WORD_CHARS:
+            if len(self.parts) >= WORDS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary
     drops white space and never joins what it parts, so a text's ids are those of
-    its words; words repeat, and are looked up in two generations of memory
-    (when the young one is full it becomes the old one, and the old one goes)."""
+    its words; words repeat, and a bounded number of them is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """All of ``words`` into the young generation; the long ones are returned."""
-        if len(self.young) + len(words) > WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = []
-        for w in words:
-            if w not in young:
-                known = old.get(w)
-                if known is None:
-                    fresh.append(w)
-                else:
-                    young[w] = known
-        extra = {}
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            (young if len(w) <= WORD_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        return extra
+        self.words = _Words(Tokenizer.from_file(path))
 
     @staticmethod
     def _slices(text: str) -> Iterator[str]:
@@ -79,30 +111,17 @@ class Encoder:
         yield text[at:]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        # ASCII white space only: part of what the vocabulary's pattern drops
-        plain = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
-        at = 0
-        while at < len(plain):
-            # as many texts as make one slice
-            n, chars = at, 0
-            while n < len(plain) and (n == at or chars + len(plain[n]) <= SLICE_CHARS):
-                chars += len(plain[n])
-                n += 1
-            if n - at > 1:
-                words = [t.split(" ") for t in plain[at:n]]
-                extra = self._learn({w for ws in words for w in ws})
-                known = {**self.young, **extra} if extra else self.young
-                for ws in words:
-                    yield b"".join([known[w] for w in ws])
+        known = self.words.__getitem__
+        for text in texts:
+            # ASCII white space only: part of what the vocabulary's pattern drops
+            plain = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            if len(plain) <= SLICE_CHARS:
+                yield b"".join(map(known, plain.split(" ")))
             else:
                 out = bytearray()
-                for part in self._slices(plain[at]):
-                    ws = part.split(" ")
-                    extra = self._learn(set(ws))
-                    known = self.young
-                    out += b"".join([known[w] if w in known else extra[w] for w in ws])
+                for part in self._slices(plain):
+                    out += b"".join(map(known, part.split(" ")))
                 yield bytes(out)
-            at = n
 
 
 _ENCODERS: dict[str, Encoder] = {}

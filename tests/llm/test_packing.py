@@ -40,7 +40,9 @@ def check(rows, texts, tokenizer, capacity=packing.CAPACITY):
 
 def awkward():
     return awkward_texts(11) + [" x y\x1cz\x85w", "Á ́b é", "ΣΑΣ ΣΑΣ", "it's we'll 12345 <|endoftext|> !!??",
-                                words(__import__("random").Random(3), 9000), "q" * 300, "q" * 300 + " " + "w" * 70]
+                                words(__import__("random").Random(3), 9000), "q" * 300, "q" * 300 + " " + "w" * 70,
+                                "it's WE'LL 'S (don't)a1b22 ''x x''s 'dé ÀÉÎŐŒŸ ſtraſse İI ǅ Ⱥ ŉ'n ×÷ ½² ﬁ K Å Å e\u0301 \u0301a b\x00c \x7f\x1f",
+                                "a\u00adb c\u200dd ÑÑ—“ß” µ ª º ¨ <|startoftext|>x x<|endoftext|>"]
 
 
 def test_pieces_and_sequences_of_awkward_texts(spark, tokenizer):
@@ -60,11 +62,23 @@ def test_long_texts_are_taken_in_slices(spark, tokenizer, monkeypatch):
     encoder = packing.Encoder(vocabulary())
     monkeypatch.setattr(packing, "SLICE_CHARS", 50)
     monkeypatch.setattr(packing, "WORDS", 30)
-    for _ in range(2):
+    for _ in range(3):
         got = [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)]
         assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_equals_the_library_on_all_kinds_of_words(tokenizer):
+    """Every character below U+0600 in words of several kinds, and random words of letters and marks."""
+    import random
+    rng = random.Random(4)
+    texts = [f"{chr(c)} a{chr(c)} {chr(c)}b1 '{chr(c)}s {chr(c)}{chr(c)}E 7{chr(c)}'" for c in range(0x600) if not 0xd800 <= c < 0xe000]
+    alphabet = "abcXYZ019'\"-.,'stlmdrev<|>éÉßſİıŉŁłÿŸ×÷ªµ" + "\u0301\u2019" + "的🙂"
+    texts += [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(400)]
+    encoder = packing.Encoder(vocabulary())
+    for text, ids in zip(texts, encoder(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(documents(spark, []), vocabulary()).count() == 0
 
