@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 
 from .common import give_back, small_batches
 
-MAX_TRANSITIONS = 200_000   # remembered by one worker; beyond, it starts again
-MAX_CHUNKS = 200_000          # remembered pieces of text of one worker
+MAX_TRANSITIONS = 300_000     # remembered by one worker; beyond, states are made again
+MAX_CHUNKS = 150_000          # remembered stretches of text between blanks of one generation; there are two
+MAX_PIECES = 150_000          # the same of pieces
+PIECE_CHARS = 64              # longer pieces are not remembered
 FLUSH = 1024                  # bytes between two looks for decided tokens in a long piece
 NEVER = 1 << 60
 MARKS = frozenset(".,;:!?")
@@ -68,6 +70,38 @@ def merge(ranks: dict[bytes, int], data: bytes, stop: int = 1) -> list[bytes]:
     return parts
 
 
+class _Threats:
+    """Merges that a token would do with the bytes to come: fragments, and the
+    rank at which each comes up. Equal ones are one object, so states compare fast;
+    what the next bytes leave of them is worked out once."""
+
+    __slots__ = ("when", "after", "owner")
+
+    def __init__(self, when: dict[bytes, int], owner: Transducer):
+        self.when, self.after, self.owner = when, {}, owner
+
+    def narrow(self, part: bytes) -> _Threats:
+        """Those that the bytes ``part`` have not ruled out."""
+        left = self.after.get(part)
+        if left is None:
+            left = self.after[part] = self.owner._one({b: w for b, w in self.when.items() if b.startswith(part) or part.startswith(b)})
+        return left
+
+
+class _State(dict):
+    """A state by its next bytes; a byte not met before makes its transition."""
+
+    __slots__ = ("seen", "cuts", "token", "length", "owner")
+
+    def __init__(self, owner: Transducer, seen: bytes, cuts: tuple, token: int | None):
+        self.owner, self.seen, self.cuts, self.token = owner, seen, cuts, token
+        self.length = owner.length.get(token, 0)
+
+    def __missing__(self, byte: int) -> _State:
+        move = self[byte] = self.owner.step(self, byte)
+        return move
+
+
 class Transducer:
     """The lazily determinised transducer of a vocabulary."""
 
@@ -84,12 +118,22 @@ class Transducer:
                     self.follow.setdefault(t[:k], []).append(t[k:])
         self.spine = functools.lru_cache(None)(self._spine)
         self.threats = functools.lru_cache(None)(self._threats)
+        self.known: dict[frozenset, _Threats] = {}
+        self.none = self._one({})
+        self.states: dict[tuple, _State] = {}
         self.restart()
 
     def restart(self):
-        self.states = [(b"", (), None)]   # bytes, cuts (start, threats), token that ends here
-        self.ids = {self.states[0]: 0}
-        self.next: dict[int, tuple[int, int]] = {}
+        """Without states; spines and threats, the costly part of them, stay."""
+        for state in self.states.values():
+            state.clear()
+        self.root = _State(self, b"", (), None)
+        self.states = {(b"", (), None): self.root}
+        self.made = 0
+
+    def _one(self, when: dict[bytes, int]) -> _Threats:
+        key = frozenset(when.items())
+        return self.known.get(key) or self.known.setdefault(key, _Threats(when, self))
 
     def _spine(self, token: bytes, right: bool) -> tuple[tuple[bytes, int], ...]:
         """The fragments at the token's right (left) border over time, each
@@ -102,66 +146,66 @@ class Transducer:
                 return tuple(out)
             death, token = self.ranks[token], halves[1 if right else 0]
 
-    def _threats(self, token: int) -> dict[int, frozenset[tuple[bytes, int]]]:
-        """By the next byte: fragments b that would merge with the end of
-        ``token``, and the rank at which that comes up."""
-        found: dict[int, set] = {}
+    def _threats(self, token: int) -> dict[int, _Threats]:
+        """By the next byte: what would merge with the end of ``token``."""
+        found: dict[int, dict[bytes, int]] = {}
         for a, death in self.spine(self.tokens[token], True):
             for b in self.follow.get(a, ()):
                 when = max(self.ranks[a + b], self.born[a], self.born[b])
                 if when < death:
-                    found.setdefault(b[0], set()).add((b, when))
-        return {k: frozenset(v) for k, v in found.items()}
-
-    def compatible(self, threats, token: bytes) -> bool:
-        if threats:
-            spine = dict(self.spine(token, False))
-            for b, when in threats:
-                if b in spine and when <= spine[b]:
+                    first = found.setdefault(b[0], {})
+                    first[b] = min(when, first.get(b, NEVER))
+        return {k: self._one(v) for k, v in found.items()}
+
+    def compatible(self, threats: _Threats, token: bytes) -> bool:
+        if threats.when:
+            for b, death in self.spine(token, False):
+                when = threats.when.get(b)
+                if when is not None and when <= death:
                     return False
         return True
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, id of the token that ends with this byte)."""
-        seen, cuts, last = self.states[state]
-        end = (len(seen), self.threats(last).get(byte, frozenset()) if last is not None else frozenset())
-        seen += bytes((byte,))
+    def step(self, state: _State, byte: int) -> _State:
+        """The state after ``byte``; its token is the one that ends there."""
+        if state.token is None:
+            end = self.none
+        else:
+            end = self.threats(state.token).get(byte, self.none)
+        seen = state.seen + bytes((byte,))
         new, alive = None, []
-        for start, threats in (*cuts, end):
+        for start, threats in (*state.cuts, (len(state.seen), end)):
             part = seen[start:]
             if new is None and part in self.ranks and self.compatible(threats, part):
                 new = self.ranks[part]
             if part in self.prefixes:
-                alive.append((start, frozenset(t for t in threats if t[0].startswith(part) or part.startswith(t[0]))
-                              if threats else threats))
+                alive.append((start, threats.narrow(part)))
         base = alive[0][0] if alive else len(seen)
         key = (seen[base:], tuple((start - base, threats) for start, threats in alive), new)
-        number = self.ids.setdefault(key, len(self.states))
-        if number == len(self.states):
-            self.states.append(key)
-        move = self.next[state << 8 | byte] = (number, new)
-        return move
+        self.made += 1
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = _State(self, *key)
+        return found
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
         """Lists of tokens as they become certain, for one piece that arrives
         in chunks; the rest at its end."""
-        if len(self.next) > MAX_TRANSITIONS:
+        if self.made > MAX_TRANSITIONS:
             self.restart()
-        state, ends, known = 0, [], self.next
+        state, ends = self.root, []
 
         def back(position: int) -> list[int]:
             path = []
             while position:
-                path.append(ends[position - 1])
-                position -= self.length[path[-1]]
+                path.append(ends[position - 1].token)
+                position -= ends[position - 1].length
             return path[::-1]
 
         for chunk in chunks:
             for byte in chunk:
-                state, token = known.get(state << 8 | byte) or self.step(state, byte)
-                ends.append(token)
-            seen, cuts, _ = self.states[state]
-            live = [back(len(ends) - len(seen) + start) for start, _ in cuts] + [back(len(ends))]
+                state = state[byte]
+                ends.append(state)
+            live = [back(len(ends) - len(state.seen) + start) for start, _ in state.cuts] + [back(len(ends))]
             certain = []
             for tokens in zip(*live):
                 if len(set(tokens)) > 1:
@@ -177,23 +221,44 @@ class Transducer:
         n = len(piece)
         if n > FLUSH:
             return [t for part in self.stream(piece[i:i + FLUSH] for i in range(0, n, FLUSH)) for t in part]
-        if len(self.next) > MAX_TRANSITIONS:
+        if self.made > MAX_TRANSITIONS:
             self.restart()
-        state, ends, known = 0, [], self.next
+        state, ends = self.root, []
         for byte in piece:
-            state, token = known.get(state << 8 | byte) or self.step(state, byte)
-            ends.append(token)
-        path, length = [], self.length
+            state = state[byte]
+            ends.append(state)
+        path = []
         while n:
-            token = ends[n - 1]
-            path.append(token)
-            n -= length[token]
+            state = ends[n - 1]
+            path.append(state.token)
+            n -= state.length
         return path[::-1]
 
 
+class _Remembered(dict):
+    """Ids (as bytes) by text, in two generations: when the young one (this
+    dictionary) is full it becomes the old one, and the old one goes."""
+
+    def __init__(self, find, most: int, chars: int):
+        super().__init__()
+        self.find, self.most, self.chars, self.old = find, most, chars, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.find(text)
+        if len(text) <= self.chars:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids: chunks, cut into pieces by the pattern, each through the
-    transducer; chunks met before are looked up."""
+    transducer; chunks met before are looked up, and so are pieces, which come
+    again more often."""
 
     def __init__(self, path: str, pattern: str):
         import re
@@ -206,73 +271,36 @@ class Encoder:
         # text may be cut before these blanks; other patterns get whole texts.
         self.at_blanks = pattern == default_pattern()
         self.wide_space = re.compile(r"  |\s \s").search
-        self.forget()
-
-    def forget(self):
-        encoder = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk):
-                for piece in encoder.split(chunk):
-                    encoder.ids.extend(encoder.transducer.encode(piece.encode("utf-8", "surrogatepass")))
-                encoder.ends.append(len(encoder.ids))
-                self[chunk] = found = len(encoder.ends) - 2
-                return found
-
-        class AfterBlank(dict):
-            def __missing__(self, chunk):
-                # letters, or letters and a mark, need no pattern
-                if chunk.isalpha():
-                    pieces = (" " + chunk,)
-                elif chunk[-1:] in MARKS and chunk[:-1].isalpha():
-                    pieces = (" " + chunk[:-1], chunk[-1])
-                else:
-                    pieces = encoder.split(" " + chunk)
-                run = encoder.transducer.encode
-                for piece in pieces:
-                    encoder.ids.extend(run(piece.encode("utf-8", "surrogatepass")))
-                encoder.ends.append(len(encoder.ids))
-                self[chunk] = found = len(encoder.ends) - 2
-                return found
-
-        self.ids, self.ends = array("i"), array("q", [0])
-        self.chunks, self.after = Chunks(), AfterBlank()
+        self.pieces = _Remembered(self._piece, MAX_PIECES, PIECE_CHARS)
+        self.after = _Remembered(self._after_blank, MAX_CHUNKS, PIECE_CHARS)
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+
+    def _after_blank(self, chunk: str) -> bytes:
+        # letters, or letters and a mark, need no pattern
+        if chunk.isalpha():
+            return self.pieces[" " + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
+
+    def _bytes(self, text: str | None) -> bytes:
         if not text:
-            return np.zeros(0, np.int32)
-        if len(self.after) + len(self.chunks) > MAX_CHUNKS:
-            self.forget()
+            return b""
         if not self.at_blanks or self.wide_space(text):
-            chunks = self.split(text)
-            found = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
-        else:
-            first, *chunks = text.split(" ")
-            found = np.fromiter(map(self.after.__getitem__, chunks), np.int64, len(chunks))
-            found = np.concatenate([[self.chunks[first]], found])
-        return self._spread(found)
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        first, *chunks = text.split(" ")
+        return b"".join(map(self.pieces.__getitem__, self.split(first))) + b"".join(map(self.after.__getitem__, chunks))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self._bytes(text), np.int32)
 
     def encode_all(self, texts: Iterable) -> tuple[np.ndarray, np.ndarray]:
         """Ids of an Arrow column's texts, one after the other, and their offsets."""
-        ids = [self.encode(t.as_py()) for t in texts]
-        ends = np.cumsum([0] + [len(x) for x in ids])
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), ends
-
-    def _spread(self, found: np.ndarray) -> np.ndarray:
-        starts, n = self._bounds(found)
-        if not n.sum():
-            return np.zeros(0, np.int32)
-        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        view = np.frombuffer(self.ids, np.int32)
-        out = view[at]
-        del view   # the array can grow again
-        return out
-
-    def _bounds(self, found: np.ndarray):
-        view = np.frombuffer(self.ends, np.int64)
-        starts, n = view[found], view[found + 1]
-        del view
-        return starts, n - starts
+        ids = [self._bytes(t.as_py()) for t in texts]
+        ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+        return np.frombuffer(b"".join(ids), np.int32), ends
 
 
 @functools.lru_cache(2)
