@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +64,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+# what the scopes that are open have stored, the innermost last: (path, table or None)
+_scopes: list[list] = []
+
+
+@contextmanager
+def scratch_scope():
+    """Collects what is stored under the scratch folder inside the block, for
+    ``release_scratch`` once nothing reads it any more."""
+    made: list = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
+def note_scratch(path: str, table: str | None = None) -> None:
+    """Tell the open scope, if there is one, of a stored path (and its table)."""
+    if _scopes:
+        _scopes[-1].append((path, table))
+
+
+def release_scratch(spark: SparkSession, made: list) -> None:
+    """Delete what a scope has collected: paths that this library has written
+    under the scratch folder, and their tables."""
+    while made:
+        path, table = made.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` once as parquet under the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back: lineage is cut, the data
@@ -72,6 +106,7 @@ def materialize(df, name: str = "table"):
     import uuid
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    note_scratch(path)
     return df.sparkSession.read.parquet(path)
 
 
