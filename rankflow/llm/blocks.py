@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.session import note_scratch
+
 from .common import parquet_stage, scratch_path, small_batches
 
 BLOCK_BYTES = 4 << 20       # text of a block aimed at
@@ -44,8 +46,10 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, carry: list[str] =
     files = min(n, 50_000)
     name = f"blocks_{uuid.uuid4().hex}"
     spark = docs.sparkSession
+    path = scratch_path(spark, name)
     (rows.repartition(files, "blk").write.format("parquet").option("compression", "zstd").bucketBy(files, "blk")
-     .option("path", scratch_path(spark, name)).saveAsTable(name))
+     .option("path", path).saveAsTable(name))
+    note_scratch(path, name)
     return Blocks(spark.table(name), max(1, total // BUCKET_BYTES))
 
 

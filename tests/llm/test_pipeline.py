@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import corpus_pipeline
 from rankflow.llm import mixing
 from rankflow.llm.recompression import WINDOW
@@ -39,4 +41,14 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert sum(decided.values()) == frames[4].count() and set(mix) == {i for i, n in decided.items() if n}
     # tokens decode to the text
     assert {i: r["text"] for i, r in tokens.items()} == {i: r["text"] for i, r in mix.items()}
+    before, tables = scratch_files(spark), spark.catalog.listTables()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frames[5].count()
+    # of the whole run only the mix stays, which the result reads, and the scratch of none
+    left = {p.parent.name.rsplit("-", 1)[0] for p in scratch_files(spark) - before}
+    assert left == {"pipeline-mix_sources"}
+    assert spark.catalog.listTables() == tables
+
+
+def scratch_files(spark):
+    """Files with rows in the scratch folder."""
+    return set(Path(spark.conf.get("spark.checkpoint.dir")).glob("**/*.parquet"))
