@@ -6,11 +6,11 @@ knows its bytes and picks the join, the same code for every size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
-from ..functions.indexing import global_index
+from ..functions.indexing import global_index, range_parts
 from ..session import materialize
 
 MISSING = "missing"
@@ -185,3 +185,47 @@ class TargetEncoder:
         # the dictionary already has a row per distinct value
         sizes = {r["feature"]: r["n"] for r in d.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
         return TargetEncoderModel([c for c in cols if sizes.get(c, 0) > self.min_distinct], d, gm)
+
+
+class OrderedTargetEncoder:
+    """J5 (ordered): a training row's code uses only the labels of rows before it
+    in a seeded order (md5 of seed and row id), so it never sees its own label:
+    ``(sum before + global * m) / (count before + m)``. Test rows take the whole
+    statistics (``fit`` of ``TargetEncoder``).
+
+    Prefix sums run in slices of the order (category, md5): a category of any size is
+    spread over as many slices as it fills, and each slice adds the sums of those
+    before it, one row per slice and category that reaches into it."""
+
+    def __init__(self, columns: list[str], target: str = "selected", smoothing: float = 10.0, seed: int = 42, row_id: str = "Id"):
+        self.columns, self.target, self.m, self.seed, self.row_id = list(columns), target, float(smoothing), seed, row_id
+
+    def fit(self, df: DataFrame) -> TargetEncoderModel:
+        return TargetEncoder(self.columns, self.target, self.m, min_distinct=0).fit(df)
+
+    def fit_transform(self, df: DataFrame, slices: int | None = None) -> tuple[TargetEncoderModel, DataFrame]:
+        """The model for other rows, and the training rows with a column
+        ``<name>_target_ordered`` for each column. A null category takes the
+        global mean; a row without a label counts for none. Row ids are unique."""
+        df = materialize(df, "ordered-input")
+        model = self.fit(df)
+        n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = F.md5(F.concat(F.lit(f"{self.seed}_"), F.col(self.row_id).cast("string")))
+        one = F.array(*[F.struct(F.lit(c).alias("feature"), key_string(df, c).alias("value")) for c in self.columns])
+        rows = (df.select(F.col(self.row_id).alias("_id"), F.col(self.target).cast("double").alias("_y"), order.alias("_h"),
+                          F.explode(one).alias("_c")).select("_id", "_y", "_h", "_c.feature", "_c.value").filter("value IS NOT NULL"))
+        parts = range_parts(rows, n, "feature", "value", "_h", "_id")
+        y, counted = F.coalesce("_y", F.lit(0.0)), F.col("_y").isNotNull().cast("long")
+        sums = parts.groupBy("feature", "value", "_pid").agg(F.sum(y).alias("s"), F.sum(counted).alias("n"))
+        ahead = Window.partitionBy("feature", "value").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select("feature", "value", "_pid", F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("s0"),
+                             F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
+        inside = Window.partitionBy("feature", "value", "_pid").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
+        s = F.col("s0") + F.coalesce(F.sum(y).over(inside), F.lit(0.0))
+        c = F.col("n0") + F.coalesce(F.sum(counted).over(inside), F.lit(0))
+        gm = F.lit(model.global_mean)
+        coded = parts.join(before, ["feature", "value", "_pid"]).select("_id", "feature", ((s + gm * self.m) / (c + self.m)).alias("enc"))
+        wide = coded.groupBy("_id").agg(*[F.max(F.when(F.col("feature") == name, F.col("enc"))).alias(f"{name}_target_ordered")
+                                          for name in self.columns])
+        out = df.join(wide, df[self.row_id] == wide["_id"], "left").drop("_id")
+        return model, out.fillna(model.global_mean, subset=[f"{name}_target_ordered" for name in self.columns])

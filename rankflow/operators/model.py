@@ -1,30 +1,26 @@
-"""Model fit and score (O1-O11) on Spark ML.
+"""Model fit and score.
 
 * O1 ``MatrixPrep``: cardinality-routed encoding, datetimes to epoch
   seconds, median imputation and ``VectorAssembler``, all fitted on train.
-* O3 / O4 ``fit_gbt``: pointwise squared-loss gradient boosting with
-  optional early stopping on a validation indicator column.
-* O2 ``ListwiseBoostRanker``: session-aware gradient boosting, by the
-  lambdarank objective (pairs of a positive and another row of its session,
-  weighted by the change of NDCG that swapping them makes) or a listwise
-  softmax, with validation-NDCG early stopping.
+* O2-O5 the histogram booster of ``boost``: ``fit_ranker`` (lambdarank or a
+  listwise softmax, leaf-wise trees) and ``fit_gbt`` (squared loss, symmetric
+  trees), both ended by a validation score.
 * O2 ``PairwiseRanker``: a linear ranker trained on score differences. Each
   non-selected option is paired with the centroid of its session's selected
   options, so the pair table has one row per negative (never all pairs of a
   session); with one positive per session this is the full pairwise set.
-* O6 ensemble, O7 grouped CV, O8 seeded random search, O9 importances,
-  O10 submission, O11 grading.
+* O6 ensemble and ``fit_blend``, O7 grouped CV and O8 search (all models in the
+  same passes over the data), O9 importances, O10 submission, O11 grading.
 """
 
 from __future__ import annotations
 
 import math
-import random
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -33,6 +29,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions.ranking import dense_rank_desc, strict_rank
 from . import metrics as M
+from .boost import METRICS, RANKER, SQUARED, Blocks, BoostParams, Fit, ForestModel, bin_blocks, boost, fit_boosted
 from .clean import MedianImputer, datetimes_to_epoch
 from .encode import CardinalityEncoder
 from .split import fold_frames
@@ -40,16 +37,13 @@ from ..session import checkpoint
 
 EXCLUDE = ("Id", "ranker_id", "selected")
 
-# ``maxIter`` is the limit of rounds, as in the reference; validation ends a fit before.
-GBT_PARAMS = {"stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "maxIter": 2000,
-              "minInstancesPerNode": 20, "featureSubsetStrategy": "0.8", "seed": 42}
-# Search ranges. The step is drawn on a log scale; a tree of depth
-# 5 to 7 has up to 32 to 128 leaves, the trees here having no leaf limit.
-SEARCH_SPACE = {"stepSize": (0.01, 0.2), "maxDepth": (5, 7), "subsamplingRate": (0.6, 1.0),
-                "featureFraction": (0.6, 1.0), "minInstancesPerNode": (10, 50)}
+# Search ranges (the first on a log scale, whole numbers where both ends are).
+SEARCH_SPACE = {"learning_rate": (0.01, 0.2), "num_leaves": (31, 127), "feature_fraction": (0.6, 1.0), "bagging_fraction": (0.6, 1.0),
+                "bagging_freq": (1, 10), "min_data_in_leaf": (10, 50), "lambda_l1": (0.0, 1.0), "lambda_l2": (0.0, 1.0)}
+LOG_SCALE = ("learning_rate",)
 SEARCH_TRIALS, SEARCH_FOLDS = 100, 3
 CV_FOLDS = 5
-PATIENCE = 200      # rounds without a better validation score that end a fit
+CV_RANKER = replace(RANKER, rounds=1000, patience=100)      # of a cross-validation and of a search
 
 
 # ---------------------------------------------------------------- O1
@@ -109,43 +103,24 @@ def hold_out(train: DataFrame, group: str = "ranker_id") -> tuple[DataFrame, Dat
 
 
 def fit_gbt(train: DataFrame, validation: DataFrame | None = None, label: str = "selected",
-            patience: int = PATIENCE, **params):
-    """O3 (+ O4 when ``validation`` is given: boosting ends when its squared
-    error has not improved for ``patience`` rounds, and the best round counts).
-    Without ``validation`` and without a number of rounds (``maxIter``),
-    sessions of ``train`` are held out for it. Spark's own stop ends at the
-    first worse round and cannot go on with a fit, so the rounds are doubled
-    until patience runs out; the seed makes the first trees the same."""
-    if validation is None and "maxIter" not in params:
+            params: BoostParams = SQUARED, **changes) -> ForestModel:
+    """O3 + O4: squared loss, symmetric trees; the squared error of
+    ``validation`` ends the fit, and the best round counts. Without it, and
+    without a number of ``rounds``, sessions of ``train`` are held out."""
+    if validation is None and "rounds" not in changes:
         train, validation = hold_out(train)
-    p = {**GBT_PARAMS, **params}
-    train = train.withColumn(label, F.col(label).cast("double"))
+    return fit_boosted(train, validation, params, label=label, **changes)
 
-    def fit(rounds: int):
-        return GBTRegressor(featuresCol="features", labelCol=label, lossType="squared", **{**p, "maxIter": rounds}).fit(train)
 
-    limit = p["maxIter"]
-    if validation is None:
-        return fit(limit)
-    validation = validation.withColumn(label, F.col(label).cast("double"))
-    rounds = min(limit, patience + patience // 4)
-    while True:
-        m = fit(rounds)
-        errors = m.evaluateEachIteration(validation, "squared")
-        best = 0
-        for r, error in enumerate(errors):
-            if error < errors[best]:
-                best = r
-            elif r - best >= patience:
-                break
-        if rounds >= limit or len(errors) - 1 - best >= patience:
-            return m if best + 1 == rounds else fit(best + 1)
-        rounds = min(limit, 2 * rounds)
+def fit_ranker(train: DataFrame, validation: DataFrame | None = None, label: str = "selected",
+               params: BoostParams = RANKER, **changes) -> ForestModel:
+    """O2 + O4: the same with a session objective; NDCG ends the fit."""
+    return fit_gbt(train, validation, label, params, **changes)
 
 
 def score(model, df: DataFrame, out: str = "score") -> DataFrame:
-    """Batch score (prediction renamed)."""
-    return model.transform(df).withColumnRenamed("prediction", out)
+    """Batch score."""
+    return model.transform(df, out)
 
 
 # ---------------------------------------------------------------- O2 pairwise
@@ -202,6 +177,38 @@ def ensemble(df: DataFrame, scores: dict[str, float], out: str = "score") -> Dat
     return df.withColumn(out, expr)
 
 
+# fixed values: share of the ranker and of the squared-loss model in the blend
+BLEND = {"ranker": 0.7, "squared": 0.3}
+
+
+@dataclass
+class BlendModel:
+    """Weighted scores of several models."""
+    models: dict
+    weights: dict
+
+    def transform(self, df: DataFrame, out: str = "score") -> DataFrame:
+        for name, m in self.models.items():
+            df = m.transform(df, f"_{name}")
+        return ensemble(df, {f"_{n}": w for n, w in self.weights.items()}, out).drop(*[f"_{n}" for n in self.models])
+
+    def importances(self, feature_cols: list[str]) -> list[tuple[str, float, int]]:
+        return next(iter(self.models.values())).importances(feature_cols)
+
+
+def fit_blend(train: DataFrame, validation: DataFrame | None = None, label: str = "selected",
+              ranker: BoostParams = RANKER, squared: BoostParams = SQUARED, weights: dict | None = None) -> BlendModel:
+    """The ranker and the squared-loss model, fitted in the same passes
+    over the same blocks, each ended by its own validation score."""
+    if validation is None:
+        train, validation = hold_out(train)
+    cols = ["Id", "ranker_id", label, "features"]
+    blocks = bin_blocks(train.select(*cols, F.lit(1).alias("_fold")).unionByName(validation.select(*cols, F.lit(0).alias("_fold"))),
+                        "_fold", label=label)
+    fits = boost(blocks, {"ranker": Fit(ranker, 0), "squared": Fit(squared, 0)})
+    return BlendModel({k: ForestModel(f, blocks.bounds) for k, f in fits.items()}, weights or BLEND)
+
+
 # ---------------------------------------------------------------- O7 / O8
 
 def evaluate(scored: DataFrame, score_col: str = "score", label: str = "selected",
@@ -217,65 +224,143 @@ def evaluate(scored: DataFrame, score_col: str = "score", label: str = "selected
     return attach_row(attach_row(a, b), c)
 
 
+def _rates(fit: Fit) -> tuple[float, float, float]:
+    """HitRate of all rows, of large sessions' rows and of large sessions, at the best round."""
+    if not fit.history:
+        return 0.0, 0.0, 0.0
+    m = dict(zip(METRICS, fit.history[max(fit.best_round, 1) - 1]))
+    return (m["hits"] / max(m["positives"], 1), m["large_hits"] / max(m["large_positives"], 1),
+            m["session_hits"] / max(m["large_sessions"], 1))
+
+
+FOLD_SCORES = "fold int, hitrate_all double, hitrate_large double, hitrate_sessions double"
+
+
 def cross_validate(matrix: DataFrame, k: int = CV_FOLDS, fold_col: str = "fold", fit=None,
-                   label: str = "selected") -> DataFrame:
-    """For each fold fit on the others, score the held-out sessions and
-    measure; returns one row per fold. The matrix is persisted once and
-    reused by the k fits."""
-    fit = fit or (lambda tr: fit_gbt(tr, label=label))
-    held = matrix.is_cached
-    matrix = matrix.persist()
+                   label: str = "selected", params: BoostParams = CV_RANKER) -> DataFrame:
+    """One row per fold with the scores of its held-out sessions by the
+    model fitted on the others, ended by them. All folds are fitted in the same
+    passes over one stored matrix. With ``fit`` (rows -> model), any other model
+    is fitted and scored fold by fold."""
+    if fit is None:
+        fits = boost(bin_blocks(matrix, fold_col, label=label), {f: Fit(params, f) for f in range(k)})
+        return matrix.sparkSession.createDataFrame([(f, *_rates(m)) for f, m in fits.items()], FOLD_SCORES)
     rows = None
     for f in range(k):
         tr, va = fold_frames(matrix, f, fold_col)
-        m = fit(tr)
-        s = m.transform(va)
-        if "prediction" in s.columns:
-            s = s.withColumnRenamed("prediction", "score")
-        row = evaluate(s, "score", label).select(F.lit(f).alias("fold"), "*")
+        s = fit(tr).transform(va)
+        row = evaluate(s.withColumnRenamed("prediction", "score"), "score", label).select(F.lit(f).alias("fold"), "*")
         row = checkpoint(row)   # reliable checkpoint: cuts the fold's lineage
         rows = row if rows is None else rows.unionByName(row)
-    if not held:        # the caller's own cache stays, as for the next trial of a search
-        matrix.unpersist()
     return rows
 
 
-def random_search(matrix: DataFrame, n_trials: int = SEARCH_TRIALS, k: int = SEARCH_FOLDS, seed: int = 42,
-                  space: dict | None = None) -> DataFrame:
-    """Seeded random search over GBT parameters, each trial scored by
-    grouped CV; one row per trial with its parameters and mean scores."""
-    rng = random.Random(seed)
+class Proposer:
+    """Parameters of the next trials from the scores of finished ones. After
+    some random trials, each value is drawn from the density of the best trials'
+    values (a kernel around each, and the whole range) and, of several draws, the
+    one is taken whose density among the good trials is largest against that among
+    the others. Dimensions are independent of each other."""
+
+    def __init__(self, space: dict, seed: int, random_trials: int = 10, draws: int = 24, good_share: float = 0.15):
+        self.space, self.rng = space, np.random.default_rng(seed)
+        self.random_trials, self.draws, self.good_share = random_trials, draws, good_share
+        self.done: list[tuple[dict, float]] = []
+
+    def _unit(self, name: str, value: float) -> float:
+        low, high = self.space[name]
+        return math.log(value / low) / math.log(high / low) if name in LOG_SCALE else (value - low) / (high - low)
+
+    def _value(self, name: str, u: float):
+        low, high = self.space[name]
+        if name in LOG_SCALE:
+            return round(low * (high / low) ** u, 6)
+        return int(round(low + u * (high - low))) if isinstance(low, int) else round(low + u * (high - low), 6)
+
+    def propose(self) -> dict:
+        if len(self.done) < self.random_trials:
+            return {n: self._value(n, float(self.rng.random())) for n in self.space}
+        ranked = sorted(self.done, key=lambda d: -d[1])
+        n_good = max(2, math.ceil(self.good_share * len(ranked)))
+        out = {}
+        for name in self.space:
+            good, rest = (np.array([self._unit(name, p[name]) for p, _ in part]) for part in (ranked[:n_good], ranked[n_good:]))
+            width = max(0.05, 1.0 / (1 + len(good)))
+            at = self.rng.integers(0, len(good) + 1, self.draws)        # the last one stands for the whole range
+            u = np.where(at < len(good), self.rng.normal(np.append(good, 0.5)[at], width), self.rng.random(self.draws))
+            u = np.clip(u, 0.0, 1.0)
+
+            def density(points):
+                kernels = np.exp(-0.5 * ((u[:, None] - points) / width) ** 2) / (width * math.sqrt(2 * math.pi))
+                return (kernels.sum(1) + 1.0) / (len(points) + 1)
+
+            out[name] = self._value(name, float(u[np.argmax(density(good) / density(rest))]))
+        return out
+
+
+def search(matrix: DataFrame, n_trials: int = SEARCH_TRIALS, k: int = SEARCH_FOLDS, seed: int = 42, space: dict | None = None,
+           batch: int = 25, params: BoostParams = CV_RANKER, fold_col: str = "fold") -> DataFrame:
+    """Trials of the ranker's parameters, each scored by grouped CV; one row
+    per trial. ``batch`` trials are proposed from those that are finished and
+    fitted in the same passes, with all their folds; a trial's scores are those
+    that it would have alone."""
     space = space or SEARCH_SPACE
-    spark = matrix.sparkSession
-    results = []
-    held = matrix.is_cached
-    matrix = matrix.persist()
-    for t in range(n_trials):
-        low, high = space["stepSize"]
-        p = {"stepSize": round(math.exp(rng.uniform(math.log(low), math.log(high))), 4),
-             "maxDepth": rng.randint(*space["maxDepth"]),
-             "subsamplingRate": round(rng.uniform(*space["subsamplingRate"]), 4),
-             "featureSubsetStrategy": str(round(rng.uniform(*space["featureFraction"]), 4)),
-             "minInstancesPerNode": rng.randint(*space["minInstancesPerNode"])}
-        cv = cross_validate(matrix, k, fit=lambda tr, p=p: fit_gbt(tr, **p))
-        s = cv.agg(F.avg("hitrate_all").alias("a"), F.avg("hitrate_large").alias("b")).first()
-        results.append((t, p["stepSize"], p["maxDepth"], p["subsamplingRate"],
-                        float(p["featureSubsetStrategy"]), p["minInstancesPerNode"], float(s["a"] or 0.0), float(s["b"] or 0.0)))
-    if not held:
-        matrix.unpersist()
-    return spark.createDataFrame(results, "trial int, stepSize double, maxDepth int, subsamplingRate double, featureFraction double, "
-                                          "minInstancesPerNode int, hitrate_all double, hitrate_large double")
+    blocks = bin_blocks(matrix, fold_col)
+    proposer, rows = Proposer(space, seed), []
+    while len(rows) < n_trials:
+        trials = [proposer.propose() for _ in range(min(batch, n_trials - len(rows)))]
+        fits = boost(blocks, {(t, f): Fit(replace(params, **p), f) for t, p in enumerate(trials) for f in range(k)})
+        for t, p in enumerate(trials):
+            rates = np.array([_rates(fits[t, f]) for f in range(k)]).mean(0)
+            proposer.done.append((p, float(rates[1])))
+            rows.append((len(rows), *p.values(), *map(float, rates[:2]), int(np.mean([fits[t, f].best_round for f in range(k)]))))
+    kinds = ", ".join(f"{n} {'int' if isinstance(low, int) else 'double'}" for n, (low, _) in space.items())
+    return matrix.sparkSession.createDataFrame(rows, f"trial int, {kinds}, hitrate_all double, hitrate_large double, rounds int")
 
 
 # ---------------------------------------------------------------- O9 / O10
 
 def feature_importance(model, feature_cols: list[str]) -> DataFrame:
-    """Importances zipped with feature names, largest first."""
+    """Share of the gain and number of splits of each feature, largest first."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    imp = model.featureImportances.toArray()
-    rows = sorted(((c, float(v)) for c, v in zip(feature_cols, imp)), key=lambda r: -r[1])
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return SparkSession.getActiveSession().createDataFrame(model.importances(feature_cols),
+                                                           "feature string, importance double, splits int")
+
+
+def permutation_importance(model, matrix: DataFrame, feature_cols: list[str], k: int = 3, seed: int = 42,
+                           group: str = "ranker_id", label: str = "selected", row_id: str = "Id") -> DataFrame:
+    """O9 (permutation): how much HitRate@k of the rows drops when one feature's
+    values change places within the sessions; for any model with ``transform``.
+    A row takes the value of the next row of its session in a seeded order (md5),
+    the last one that of the first. All features are scored in one pass, by one
+    copy of each row per feature. One row per feature: ``feature, baseline,
+    permuted, drop``. Sessions are followed through a global index of the order, not
+    gathered; a session of one row keeps its values."""
+    from ..functions.indexing import global_index
+    from ..session import materialize
+    order = F.md5(F.concat(F.lit(f"{seed}_"), F.col(row_id).cast("string")))
+    idx = global_index(matrix.select(F.col(group).alias("g"), F.col(row_id).alias("i"), order.alias("h")), [F.col("g"), F.col("h"), F.col("i")])
+    idx = materialize(idx.select("g", "i", "_idx"), "permutation-order")
+    after = idx.select((F.col("_idx") - 1).alias("_idx"), F.col("g").alias("g2"), F.col("i").alias("i2"))
+    before = idx.select((F.col("_idx") + 1).alias("_idx"), F.col("g").alias("g0"))
+    firsts = (idx.join(before, "_idx", "left").filter(~F.col("g").eqNullSafe(F.col("g0")) | F.col("g0").isNull())
+              .select(F.col("g").alias("fg"), F.col("i").alias("first")))                  # one per session
+    follow = idx.join(after, "_idx", "left").withColumn("ends", ~F.coalesce(F.col("g") == F.col("g2"), F.lit(False)))
+    last = follow.filter("ends").join(firsts, F.col("g").eqNullSafe(F.col("fg"))).select(F.col("i").alias("to"), F.col("first").alias("from"))
+    partner = follow.filter("NOT ends").select(F.col("i").alias("to"), F.col("i2").alias("from")).unionByName(last)
+    vectors = matrix.select(F.col(row_id).alias("from"), vector_to_array("features").alias("other"))
+    rows = matrix.select(row_id, group, label, "features").join(partner, F.col(row_id) == F.col("to")).join(vectors, "from")
+    own, other = vector_to_array("features"), F.col("other")
+    copies = rows.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(feature_cols) - 1))))
+    changed = F.transform(own, lambda v, i: F.when(i == F.col("_f"), F.get(other, i)).otherwise(v))
+    scored = model.transform(copies.withColumn("features", array_to_vector(changed)).select("_f", row_id, group, label, "features"))
+    hits = (scored.withColumn("_r", dense_rank_desc("score", [group, "_f"])).filter(F.col(label) == 1).groupBy("_f")
+            .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_r") <= k, 1).otherwise(0)), F.lit(0)).alias("hits")))
+    rates = {r["_f"]: r["hits"] / r["n"] for r in hits.collect()}        # one row per feature
+    base = rates.get(-1, 0.0)
+    return matrix.sparkSession.createDataFrame(
+        [(c, float(base), float(rates.get(j, base)), float(base - rates.get(j, base))) for j, c in enumerate(feature_cols)],
+        "feature string, baseline double, permuted double, drop double")
 
 
 def submission(scored: DataFrame, score_col: str = "score", group: str = "ranker_id",
@@ -297,7 +382,7 @@ def submission(scored: DataFrame, score_col: str = "score", group: str = "ranker
     return scored.select(row_id, group, r.cast("int").alias("selected"))
 
 
-# ---------------------------------------------------------------- O2 boosting loop
+# ---------------------------------------------------------------- O2 one gradient step
 
 def lambda_gradients(df: DataFrame, score_col: str = "score", label: str = "selected", group: str = "ranker_id",
                      row_id: str = "Id", out: str = "gradient", skew_safe: bool = False) -> DataFrame:
@@ -329,87 +414,3 @@ def lambda_gradients(df: DataFrame, score_col: str = "score", label: str = "sele
     total = parts.groupBy("_id").agg(F.sum("_d").alias("_sum"))
     return df.join(total, F.col(row_id) == F.col("_id"), "left").withColumn(
         out, F.coalesce(F.col("_sum"), F.lit(0.0))).drop("_id", "_sum")
-
-
-@dataclass
-class ListwiseBoostModel:
-    trees: list
-    step: float
-    best_round: int
-
-    def transform(self, df: DataFrame, out: str = "score") -> DataFrame:
-        """Sum of ``step * tree(features)`` over the kept rounds."""
-        cur = df.withColumn(out, F.lit(0.0))
-        for i, t in enumerate(self.trees[: self.best_round]):
-            t = t.copy().setPredictionCol(f"_t{i}")
-            cur = t.transform(cur).withColumn(out, F.col(out) + F.lit(self.step) * F.col(f"_t{i}")).drop(f"_t{i}")
-        return cur
-
-
-@dataclass
-class ListwiseBoostRanker:
-    """O2 (boosting form): gradient boosting of a session-level objective:
-    ``lambdarank`` (``lambda_gradients``) or ``softmax`` (listwise cross-entropy
-    of the session's softmax and its label distribution). Each round a
-    regression tree is fitted to the gradient and the scores are updated.
-    Sessions without a positive get zero gradient. Training scores are
-    checkpointed every ``checkpoint_every`` rounds (reliable checkpoint in
-    ``spark.checkpoint.dir``), and with a validation set the loop stops when
-    NDCG@k has not improved for ``patience`` rounds."""
-    rounds: int = 2000
-    step: float = 0.5
-    maxDepth: int = 4
-    minInstancesPerNode: int = 20
-    checkpoint_every: int = 5
-    patience: int = PATIENCE
-    k: int = 10
-    group: str = "ranker_id"
-    label: str = "selected"
-    objective: str = "softmax"
-
-    def _gradient(self, cur: DataFrame) -> DataFrame:
-        """Softmax and label share per session from one partial aggregate
-        joined back (no session window, so a hot session is not one task).
-        The session's highest score is subtracted before ``exp``."""
-        if self.objective == "lambdarank":
-            return lambda_gradients(cur, "_s", self.label, self.group, out="_target")
-        rel = F.coalesce(F.col(self.label).cast("double"), F.lit(0.0))
-        top = cur.groupBy(self.group).agg(F.max("_s").alias("_top"))
-        cur = cur.join(top, self.group, "left")
-        e = F.exp(F.col("_s") - F.col("_top"))
-        sums = cur.groupBy(self.group).agg(F.sum(e).alias("_z"), F.sum(rel).alias("_tot"))
-        j = cur.join(sums, self.group, "left")
-        p = e / F.col("_z")
-        t = F.when(F.col("_tot") > 0, rel / F.col("_tot"))
-        return j.withColumn("_target", F.when(t.isNotNull(), t - p).otherwise(F.lit(0.0))).drop("_z", "_tot", "_top")
-
-    def fit(self, train: DataFrame, validation: DataFrame | None = None) -> ListwiseBoostModel:
-        from pyspark.ml.regression import DecisionTreeRegressor
-        keep = [c for c in ("Id", self.group, self.label, "features") if c in train.columns]
-        cur = train.select(*keep).withColumn("_s", F.lit(0.0))
-        val = validation.select(*keep).withColumn("_s", F.lit(0.0)) if validation is not None else None
-        trees, best, best_round, since = [], -1.0, 0, 0
-        for r in range(self.rounds):
-            data = self._gradient(cur)
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="_target", predictionCol="_p",
-                                         maxDepth=self.maxDepth,
-                                         minInstancesPerNode=self.minInstancesPerNode, seed=42).fit(data)
-            trees.append(tree)
-            cur = tree.transform(cur).withColumn("_s", F.col("_s") + F.lit(self.step) * F.col("_p")).drop("_p")
-            if (r + 1) % self.checkpoint_every == 0:
-                cur = checkpoint(cur)
-            if val is not None:
-                val = tree.transform(val).withColumn("_s", F.col("_s") + F.lit(self.step) * F.col("_p")).drop("_p")
-                if (r + 1) % self.checkpoint_every == 0:
-                    val = checkpoint(val)
-                ranked = val.withColumn("_rank", strict_rank("_s", self.group, "Id"))
-                nd = M.ndcg_at_k(ranked, "_rank", self.label, self.group, self.k).first()["ndcg"]
-                if nd > best:
-                    best, best_round, since = nd, r + 1, 0
-                else:
-                    since += 1
-                    if since >= self.patience:
-                        break
-            else:
-                best_round = r + 1
-        return ListwiseBoostModel(trees, self.step, best_round)

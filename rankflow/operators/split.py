@@ -68,6 +68,50 @@ def balanced_fold_keys(df: DataFrame, k: int = 5, group: str = GROUP) -> DataFra
     return idx.select(group, fold.cast("int").alias("fold"))
 
 
+def greedy_deal(runs: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Sessions, largest first, each to the fold with the fewest rows so far (the
+    first of equal ones), for runs ``(size, sessions)`` of falling size, without
+    going session by session. While sessions of one size are dealt, fold ``j`` is
+    chosen at the loads L_j, L_j + size, ...: a cycle deals one to each fold that
+    takes part, by load modulo size, and a fold takes part from cycle
+    floor((L_j - lowest) / size) on. Returns ``(size, first index, folds in turn)``
+    of at most ``k`` phases per run."""
+    loads, phases, index = [0] * k, [], 0
+    for size, n in runs:
+        low = min(loads)
+        begins = [(load - low) // size for load in loads]
+        turn = sorted(range(k), key=lambda j: ((loads[j] - low) % size, j))
+        cycles = sorted(set(begins))
+        for cycle, then in zip(cycles, [*cycles[1:], None]):
+            folds = [j for j in turn if begins[j] <= cycle]
+            take = n if then is None else min(n, (then - cycle) * len(folds))
+            if not take:
+                break
+            phases.append((size, index, folds))
+            for place, j in enumerate(folds):
+                loads[j] += size * ((take - place + len(folds) - 1) // len(folds))
+            index, n = index + take, n - take
+    return phases
+
+
+def greedy_fold_keys(df: DataFrame, k: int = 5, group: str = GROUP) -> DataFrame:
+    """K2 (greedy): sessions by (size desc, key) go to the fold with the fewest
+    rows so far. Only the table of sizes, (number of sessions of each; at most the
+    root of twice the rows) is solved on the driver and sent to the sessions, which
+    find their fold by their global index. Returns ``(group, fold)`` per session."""
+    spark = df.sparkSession
+    idx = global_index(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), [F.col("_size").desc(), F.col(group)])
+    runs = [(r["_size"], r["n"]) for r in idx.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_size")).collect()]
+    phases: dict[int, list] = {}
+    for size, begin, folds in greedy_deal(runs, k):
+        phases.setdefault(size, []).append((begin, folds))
+    table = spark.createDataFrame(list(phases.items()), "_size long, _phases array<struct<begin:long,folds:array<int>>>")
+    phase = F.element_at(F.filter("_phases", lambda p: p["begin"] <= F.col("_idx")), -1)
+    found = idx.join(F.broadcast(table), "_size").withColumn("_p", phase)
+    turn = (F.col("_idx") - F.col("_p.begin")) % F.size("_p.folds")
+    return found.select(group, F.get("_p.folds", turn.cast("int")).alias("fold"))
+
+
 def with_folds(df: DataFrame, fold_keys: DataFrame, group: str = GROUP) -> DataFrame:
     """K3: attach the fold column (one row per session on the right side)."""
     return df.join(fold_keys, group, "left")

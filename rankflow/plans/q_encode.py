@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.encode import (CardinalityEncoder, FrequencyEncoder, LabelEncoder,
+from ..operators.encode import (CardinalityEncoder, FrequencyEncoder, LabelEncoder, OrderedTargetEncoder,
                                 TargetEncoder)
 from ..operators.split import group_split
 from ..sources.views import options_view
@@ -160,3 +160,24 @@ def q_target_encode_apply(spark, sf_dir):
     """The training statistics applied to test rows; unseen -> global mean."""
     model, _, test = _te_fit(spark, sf_dir)
     return rounded(model.transform(test).select("Id", *[f"{c}_target_encoded" for c in model.columns]))
+
+
+def _ordered_sql() -> str:
+    def code(c):
+        w = f"(PARTITION BY {c} ORDER BY md5('42_' || CAST(Id AS VARCHAR)), Id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        return (f"round(CASE WHEN {c} IS NULL THEN gm ELSE (coalesce(sum(selected) OVER {w}, 0) + gm * 10.0)"
+                f" / (count(selected) OVER {w} + 10.0) END, 6) AS {c}_target_ordered")
+    return with_options(f""",
+od AS (SELECT *, legs0_segments0_marketingCarrier_code AS main_carrier FROM options),
+tr AS (SELECT * FROM od WHERE {HASH_TRAIN}),
+g AS (SELECT avg(selected) AS gm FROM tr)
+SELECT Id, {", ".join(map(code, TE_COLS))} FROM tr, g""")
+
+
+@query("target_encode_ordered", _ordered_sql())
+def q_target_encode_ordered(spark, sf_dir):
+    """J5 (ordered): target statistics of the rows before, in a seeded order."""
+    o = options_view(spark, sf_dir).withColumn("main_carrier", F.col("legs0_segments0_marketingCarrier_code"))
+    train, _ = group_split(o)
+    _, coded = OrderedTargetEncoder(TE_COLS).fit_transform(train.select("Id", "selected", *TE_COLS))
+    return rounded(coded.select("Id", *[f"{c}_target_ordered" for c in TE_COLS]))

@@ -10,7 +10,7 @@ from ..functions.ranking import strict_rank
 from ..operators import metrics as M
 from ..operators import split as K
 from ..sources.views import options_view
-from .oracle import with_options
+from .oracle import options_ctes, with_options
 from .q_session import rounded
 from .registry import query
 
@@ -54,6 +54,21 @@ def q_group_folds_balanced(spark, sf_dir):
     return K.balanced_fold_keys(options_view(spark, sf_dir), 5)
 
 
+@query("group_folds_greedy", f"""WITH RECURSIVE {options_ctes()},
+z AS MATERIALIZED (SELECT ranker_id, size, row_number() OVER (ORDER BY size DESC, ranker_id) AS i
+  FROM (SELECT ranker_id, count(*) AS size FROM options GROUP BY ranker_id)),
+g AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS ranker_id, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT z.i, z.ranker_id, list_position(g.loads, list_min(g.loads)) - 1,
+         [CASE WHEN f = list_position(g.loads, list_min(g.loads)) THEN g.loads[f] + z.size ELSE g.loads[f] END for f in range(1, 6)]
+  FROM g JOIN z ON z.i = g.i + 1)
+SELECT ranker_id, CAST(fold AS INTEGER) AS fold FROM g WHERE i > 0""")
+def q_group_folds_greedy(spark, sf_dir):
+    """K2 (greedy): largest session first, to the fold with the fewest rows, k = 5."""
+    return K.greedy_fold_keys(options_view(spark, sf_dir), 5)
+
+
 @query("cv_summary", with_options(f"""
 , f AS (
   SELECT fold, avg(CASE WHEN rp <= 3 THEN 1.0 ELSE 0.0 END) AS hitrate_all,
