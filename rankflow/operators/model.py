@@ -299,23 +299,38 @@ class Proposer:
 
 
 def search(matrix: DataFrame, n_trials: int = SEARCH_TRIALS, k: int = SEARCH_FOLDS, seed: int = 42, space: dict | None = None,
-           batch: int = 25, params: BoostParams = CV_RANKER, fold_col: str = "fold") -> DataFrame:
+           at_once: int = 40, params: BoostParams = CV_RANKER, fold_col: str = "fold") -> DataFrame:
     """Trials of the ranker's parameters, each scored by grouped CV; one row
-    per trial. ``batch`` trials are proposed from those that are finished and
-    fitted in the same passes, with all their folds; a trial's scores are those
-    that it would have alone."""
+    per trial. ``at_once`` trials are fitted in the same passes, with all their
+    folds; when the last fold of one ends, the next is proposed from all that are
+    finished and takes its place. A trial's scores are those it would have alone."""
     space = space or SEARCH_SPACE
-    blocks = bin_blocks(matrix, fold_col)
-    proposer, rows = Proposer(space, seed), []
-    while len(rows) < n_trials:
-        trials = [proposer.propose() for _ in range(min(batch, n_trials - len(rows)))]
-        fits = boost(blocks, {(t, f): Fit(replace(params, **p), f) for t, p in enumerate(trials) for f in range(k)})
-        for t, p in enumerate(trials):
+    proposer, trials, rows, fits = Proposer(space, seed), [], {}, {}
+
+    def more(n: int) -> dict:
+        new = {}
+        for _ in range(min(n, n_trials - len(trials))):
+            trials.append(proposer.propose())
+            new |= {(len(trials) - 1, f): Fit(replace(params, **trials[-1]), f) for f in range(k)}
+        fits.update(new)
+        return new
+
+    def ended(gone) -> dict:
+        left.difference_update(gone)
+        finished = sorted({t for t, _ in gone if not any((t, f) in left for f in range(k))})
+        for t in finished:
             rates = np.array([_rates(fits[t, f]) for f in range(k)]).mean(0)
-            proposer.done.append((p, float(rates[1])))
-            rows.append((len(rows), *p.values(), *map(float, rates[:2]), int(np.mean([fits[t, f].best_round for f in range(k)]))))
+            proposer.done.append((trials[t], float(rates[1])))
+            rows[t] = (t, *trials[t].values(), *map(float, rates[:2]), int(np.mean([fits[t, f].best_round for f in range(k)])))
+        new = more(len(finished))
+        left.update(new)
+        return new
+
+    left = set(more(at_once))
+    boost(bin_blocks(matrix, fold_col), dict(fits), feed=ended)
     kinds = ", ".join(f"{n} {'int' if isinstance(low, int) else 'double'}" for n, (low, _) in space.items())
-    return matrix.sparkSession.createDataFrame(rows, f"trial int, {kinds}, hitrate_all double, hitrate_large double, rounds int")
+    return matrix.sparkSession.createDataFrame([rows[t] for t in sorted(rows)],
+                                               f"trial int, {kinds}, hitrate_all double, hitrate_large double, rounds int")
 
 
 # ---------------------------------------------------------------- O9 / O10

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dataclasses import replace
+
 from rankflow.operators import clean as C
 from rankflow.operators import metrics as M
 from rankflow.operators import model as O
@@ -31,7 +33,7 @@ def test_models_beat_random_on_learnable_label(spark):
     prep = O.MatrixPrep().fit(tr)
     xtr, xte = prep.transform(tr).cache(), prep.transform(te).cache()
     rnd = M.hitrate_sessions(xte.withColumn("score", F.rand(7)), "score", min_group_size=10).first()["hitrate"]
-    gbt = O.fit_gbt(xtr, maxIter=10, maxDepth=4)
+    gbt = O.fit_gbt(xtr, rounds=20, max_depth=4, learning_rate=0.2)
     g = O.evaluate(O.score(gbt, xte)).first()["hitrate_sessions"]
     pw = O.PairwiseRanker(regParam=0.01).fit(xtr)
     p = O.evaluate(pw.transform(xte)).first()["hitrate_sessions"]
@@ -45,9 +47,9 @@ def test_early_stopping_and_cv(spark):
     tr, _, _ = C.simple_feature_table(o)
     x = O.MatrixPrep().fit(tr).transform(tr)
     f = hash_folds(x, 5)
-    m = O.fit_gbt(f.filter("fold != 0").drop("fold"), f.filter("fold = 0").drop("fold"), maxIter=30)
-    assert 1 <= m.getNumTrees <= 30
-    cv = O.cross_validate(hash_folds(x, 3), k=3, fit=lambda d: O.fit_gbt(d, maxIter=5, maxDepth=3))
+    m = O.fit_gbt(f.filter("fold != 0").drop("fold"), f.filter("fold = 0").drop("fold"), rounds=30, patience=5)
+    assert 1 <= m.best_round <= 30
+    cv = O.cross_validate(hash_folds(x, 3), k=3, params=replace(O.CV_RANKER, rounds=8, learning_rate=0.2))
     assert cv.count() == 3
     s = M.cv_summary(cv).first()
     assert s["folds"] == 3 and s["hitrate_all_mean"] > 0.3
@@ -76,9 +78,9 @@ def test_listwise_boosting_learns_and_stops(spark):
     prep = O.MatrixPrep().fit(tr)
     xtr, xte = prep.transform(tr), prep.transform(te)
     f = hash_folds(xtr, 5)
-    m = O.ListwiseBoostRanker(rounds=6, checkpoint_every=3, patience=2, maxDepth=3).fit(
-        f.filter("fold != 0").drop("fold"), f.filter("fold = 0").drop("fold"))
-    assert 1 <= m.best_round <= 6
+    m = O.fit_ranker(f.filter("fold != 0").drop("fold"), f.filter("fold = 0").drop("fold"), objective="softmax",
+                     rounds=12, patience=2, learning_rate=0.3, num_leaves=15)
+    assert 1 <= m.best_round <= 12
     rnd = M.hitrate_sessions(xte.withColumn("score", F.rand(7)), "score", min_group_size=10).first()["hitrate"]
     got = O.evaluate(m.transform(xte)).first()["hitrate_sessions"]
     assert got > rnd + 0.2
@@ -108,7 +110,7 @@ def test_run_solution_end_to_end(spark, tmp_path):
     o = options_view(spark, SF_TINY)
     train, test = group_split(o)
     res = run_solution(train, test, out_dir=str(tmp_path), folds=2,
-                       gbt_params={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5})
+                       changes={"rounds": 3, "max_depth": 3, "min_data_in_leaf": 5})
     chk = res.submission_check.first()
     assert chk["valid"] and chk["rows_submission"] == test.count()
     assert res.cv.count() == 2 and res.cv_summary.first()["folds"] == 2
@@ -116,78 +118,28 @@ def test_run_solution_end_to_end(spark, tmp_path):
     assert res.importance.count() > 50
 
 
-def test_boosted_fit_waits_for_patience(monkeypatch):
-    from rankflow.operators import model as M
-    fits = []
-
-    class Gbt:
-        def __init__(self, maxIter, **_):
-            fits.append(maxIter)
-
-        def fit(self, data):
-            return self
-
-        def evaluateEachIteration(self, validation, loss):
-            return [abs(i - 7) + 3 * (i == 2) for i in range(fits[-1])]
-
-    class Frame:
-        def withColumn(self, *_):
-            return self
-
-    monkeypatch.setattr(M, "GBTRegressor", Gbt)
-    monkeypatch.setattr(M, "F", __import__("unittest.mock").mock.MagicMock())
-    M.fit_gbt(Frame(), Frame(), patience=8)
-    assert fits == [10, 20, 8]
-
-
 def test_registered_model_queries_use_the_production_defaults(spark, monkeypatch):
     """Trials, folds and round limits of the reference; every boosted fit is ended by validation."""
+    from rankflow.operators import boost as B
     from rankflow.operators import model as M
     from rankflow.plans import q_model as Q
-    x = spark.createDataFrame([(i, i // 4, int(i % 4 == 0)) for i in range(400)], "Id long, ranker_id long, selected int")
+    rows = [(i, i // 4, int(i % 4 == 0), [float(i % 7)]) for i in range(400)]
+    x = spark.createDataFrame(rows, "Id long, ranker_id long, selected int, v array<double>").withColumn("features", M.array_to_vector("v"))
     monkeypatch.setattr(Q, "_matrices", lambda *_: (None, x, x))
 
     class Stop(Exception):
         pass
 
-    class Gbt:
-        def __init__(self, **params):
-            self.params = params
+    def stop(blocks, fits, rounds=None, feed=None):
+        raise Stop(len(fits), {(f.params.objective, f.params.rounds, f.params.patience, f.holdout is not None) for f in fits.values()})
 
-        def fit(self, data):
-            return self
-
-        def evaluateEachIteration(self, validation, loss):
-            n = self.params["maxIter"]
-            if n == 2000:
-                raise Stop(n, validation.count())
-            return [1 / (i + 1) for i in range(n)]
-
-    monkeypatch.setattr(M, "GBTRegressor", Gbt)
-    for name in ("gbt", "ensemble", "cv", "search"):
+    monkeypatch.setattr(M, "boost", stop)
+    monkeypatch.setattr(B, "boost", stop)
+    ranker, squared = ("lambdarank", 3000, 200, True), ("squared", 2000, 200, True)
+    cv = ("lambdarank", 1000, 100, True)
+    for name, want in {"gbt": (1, {squared}), "lambda": (1, {ranker}), "softmax": (1, {("softmax", 3000, 200, True)}),
+                       "ensemble": (2, {ranker, squared}), "cv": (5, {cv}), "search": (120, {cv})}.items():
         with pytest.raises(Stop) as e:
             getattr(Q, f"q_model_{name}")(spark, "")
-        assert e.value.args[0] == 2000 and 0 < e.value.args[1] < 400, name
-
-    def boost(self, train, validation=None):
-        raise Stop(self.rounds, self.patience, validation is not None)
-
-    monkeypatch.setattr(M.ListwiseBoostRanker, "fit", boost)
-    for query in (Q.q_model_lambda, Q.q_model_softmax):
-        with pytest.raises(Stop) as e:
-            query(spark, "")
-        assert e.value.args == (2000, 200, True)
-
-    calls = []
-
-    class Rows:
-        def agg(self, *_):
-            return self
-
-        def first(self):
-            return {"a": 0.5, "b": 0.5}
-
-    monkeypatch.setattr(M, "cross_validate", lambda matrix, k=M.CV_FOLDS, **_: calls.append(k) or Rows())
-    assert Q.q_model_search(spark, "").count() == 100 and calls == [3] * 100
-    Q.q_model_cv(spark, "")
-    assert calls[-1] == 5
+        assert e.value.args == want, name
+    assert M.SEARCH_TRIALS == 100 and M.SEARCH_FOLDS == 3
