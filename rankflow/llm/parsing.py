@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import REPLY, REQUEST, Rolling, block_table, covered, distinct, mix, replies, requests, texts, unpack
-from .common import parquet_stage
+from .blocks import REPLY, REQUEST, Rolling, answer_index, block_table, covered, distinct, mix, replies, requests, texts, unpack
+from .common import give_back, parquet_stage
 
 WINDOW = 200
 WORD = 8            # bytes of a trigger
@@ -154,6 +154,22 @@ def _unpack_around(table: pa.Table, keys: np.ndarray, buckets: int) -> tuple[np.
     return again, sends
 
 
+def _note(blk: int, index: np.ndarray, masks: np.ndarray) -> pa.Table:
+    """What a block tells its own last pass: where each window's answer is, and two masks of its bytes."""
+    packed = np.packbits(masks).tobytes()
+    return pa.table({"blk": pa.array([blk], pa.int32()), "bucket": pa.array([-1 - blk], pa.int32()), "keys": pa.array([b""], pa.binary()),
+                     "many": pa.array([packed + index.tobytes()], pa.binary())})
+
+
+def _noted(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The answers to a block of ``n`` bytes in the order of their buckets, and its note."""
+    rows = sorted(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), table.column("note").to_pylist()))
+    bits = np.unpackbits(np.frombuffer(b"".join(b for k, b, _ in rows if k >= 0), np.uint8)).astype(bool)
+    told, size = next((x for k, _, x in rows if k < 0), b""), (2 * n + 7) // 8
+    masks = np.unpackbits(np.frombuffer(told[:size], np.uint8), count=2 * n).reshape(2, n).astype(bool)
+    return bits, np.frombuffer(told[size:], np.int32), masks
+
+
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                      carry: list[str] = ()) -> DataFrame:
     """``id, n_bytes, n_removed, starts, kept, row``: each document's UTF-8
@@ -228,13 +244,21 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def ask_windows(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return requests(0, np.zeros((0, 2), np.uint64), np.zeros(0, bool), buckets * FINER)
-        block, _, send = after_around(table, reply)
-        _, found, _, many = block.windows(send)
-        return requests(table.column("blk")[0].as_py(), found, many, buckets * FINER)
+        block, again, send = after_around(table, reply)
+        start, found, inverse, many = block.windows(send)
+        # the last pass finds each answer by this note alone: which windows are asked for, which are known to repeat
+        masks = np.zeros((2, block.n), bool)
+        masks[0, start] = True
+        masks[1, block.at[np.repeat(again, np.diff(block.cut))]] = True
+        index = answer_index(found, buckets * FINER)[inverse][np.argsort(start)].astype(np.int32)
+        del block, again, send, start, inverse
+        blk = table.column("blk")[0].as_py()
+        out = pa.concat_tables([requests(blk, found, many, buckets * FINER), _note(blk, index, masks)])
+        give_back()
+        return out
 
     by_text = rows.select("blk", "text").groupBy("blk")
-    settled = replies(by_text.cogroup(answers.groupBy("blk")).applyInArrow(ask_windows, REQUEST), 2).drop("note")
-    answers = answers.unionByName(settled.withColumn("step", F.lit(3)))
+    settled = replies(by_text.cogroup(answers.groupBy("blk")).applyInArrow(ask_windows, REQUEST), 2)
     kind = rows.schema["row"].dataType
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_bytes", T.LongType()),
                         T.StructField("n_removed", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
@@ -242,22 +266,23 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         T.StructField("row", kind)])
 
     def remove(table: pa.Table, reply: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-        block, again, send = after_around(table, reply)
-        start, found, inverse, _ = block.windows(send)
-        three = unpack(reply.filter(pc.equal(reply.column("step"), 3)), found, buckets * FINER)
-        starts = [block.at[np.repeat(again, np.diff(block.cut))], start[three[inverse]]]
-        gone = covered(np.concatenate(starts), window, block.n) if block.n else np.zeros(0, bool)
+        block = texts(table)
+        sizes = np.array([len(t) for t in block], np.int64)
+        n = int(sizes.sum())
+        data = np.frombuffer(b"".join(block), np.uint8)
+        bits, index, masks = _noted(reply, n)
+        starts = np.concatenate([np.flatnonzero(masks[0])[bits[index]], np.flatnonzero(masks[1])])
+        gone = covered(starts, window, n) if n else np.zeros(0, bool)
         cols: dict[str, list] = {c: [] for c in ("n_removed", "starts", "lengths", "kept")}
-        for text, end, size in zip(block.texts, block.ends.tolist(), block.sizes.tolist()):
+        for text, end, size in zip(block, np.cumsum(sizes).tolist(), sizes.tolist()):
             own = gone[end - size:end]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
             cols["starts"].append(edge[::2])
             cols["lengths"].append(edge[1::2] - edge[::2])
             cols["n_removed"].append(int(own.sum()))
-            cols["kept"].append(block.data[end - size:end][~own].tobytes() if len(edge) else text)
-        return pa.table({"id": table.column("id"), "n_bytes": pa.array(block.sizes), "n_removed": pa.array(cols["n_removed"], pa.int64()),
+            cols["kept"].append(data[end - size:end][~own].tobytes() if len(edge) else text)
+        return pa.table({"id": table.column("id"), "n_bytes": pa.array(sizes), "n_removed": pa.array(cols["n_removed"], pa.int64()),
                          "starts": pa.array(cols["starts"], pa.list_(pa.int64())), "lengths": pa.array(cols["lengths"], pa.list_(pa.int64())),
                          "kept": pa.array(cols["kept"], pa.binary()), "row": table.column("row")})
 
-    return rows.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(remove, out)
+    return rows.groupBy("blk").cogroup(settled.groupBy("blk")).applyInArrow(remove, out)
