@@ -90,6 +90,41 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
         yield q, ids[at], score
 
 
+def _wrapped(m: np.ndarray) -> np.ndarray:
+    """Whole numbers as longs, modulo 2^64."""
+    if np.abs(m).max() < 2.0 ** 63:
+        return m.astype(np.int64)
+    return np.array([int(x) & (1 << 64) - 1 for x in m.ravel()], np.uint64).view(np.int64).reshape(m.shape)
+
+
+def scan_integers(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int,
+                  thresholds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``scan`` for blocks with large components. Products of longs are right
+    modulo 2^64, so right where the sum of the terms' sizes says that they fit;
+    the other pairs are worked out with integers of any size."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        fits = np.abs(queries) @ np.abs(data) < 2.0 ** 62
+        scores = _wrapped(queries) @ _wrapped(data)
+    for q in range(len(queries)):
+        at = np.flatnonzero(ids != query_ids[q])
+        score, sure = scores[q, at], fits[q, at]
+        if sure.all():
+            if np.isfinite(thresholds[q]):      # a threshold above 2^53 may have been rounded up
+                keep = score >= int(np.floor(np.nextafter(thresholds[q], -np.inf)))
+                at, score = at[keep], score[keep]
+            best = np.lexsort((ids[at], -score))[:k]
+            yield q, ids[at[best]], score[best]
+        else:
+            mine = [int(x) for x in queries[q]]
+            exact = [int(v) if ok else sum(a * int(b) for a, b in zip(mine, data[:, i]))
+                     for i, v, ok in zip(at.tolist(), score.tolist(), sure.tolist())]
+            best = sorted(range(len(at)), key=lambda i: (-exact[i], ids[at[i]]))[:k]
+            kept = [exact[i] for i in best]
+            if any(abs(v) >= 1 << 63 for v in kept):
+                raise ValueError("a score among the best does not fit a long")
+            yield q, ids[at[best]], np.array(kept, np.int64)
+
+
 def _pairs(query_blocks: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The stated queries against the candidates, block by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +133,10 @@ def _pairs(query_blocks: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 qids = np.frombuffer(r["q_ids"], np.int64)
                 queries = np.ascontiguousarray(np.frombuffer(r["q_data"]).reshape(r["dim"], -1).T)
                 ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"]).reshape(r["dim"], -1)
-                if np.abs(queries).max() * np.abs(data).max() * r["dim"] >= 2.0 ** 53:
-                    raise ValueError("components too large for exact scores")
                 lows = np.frombuffer(r["lows"]) if r["lows"] else np.full(len(qids), -np.inf)
-                out = [(np.full(len(got), qids[q]), got, score) for q, got, score in scan(queries, qids, data, ids, k, lows)]
+                # doubles hold all sums exactly below 2^53
+                look = scan if np.abs(queries).max() * np.abs(data).max() * r["dim"] < 2.0 ** 53 else scan_integers
+                out = [(np.full(len(got), qids[q]), got, score) for q, got, score in look(queries, qids, data, ids, k, lows)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([x[0] for x in out]).astype(np.int64)), pa.array(np.concatenate([x[1] for x in out]).astype(np.int64)),
                      pa.array(np.concatenate([x[2] for x in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
@@ -126,7 +161,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     fewer. Null vectors, empty ones and those with null or non-finite
     components take no part, nor do rows without an id. Rows that repeat an id
     are candidates of their own, but never of a query with that id, and such a
-    query is answered once. Products are exact below 2^53; larger ones fail."""
+    query is answered once. Scores are exact; only one among a query's best of a
+    block that does not fit a long is an error."""
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     v = vectors.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))

@@ -46,6 +46,30 @@ def test_topk_equals_brute_force(spark):
         assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
 
 
+def test_topk_of_large_components_is_exact(spark):
+    """Scores between 2^53 and 2^63, terms beyond that cancel, and products with the query itself that fit no long."""
+    rng = random.Random(8)
+    rows = [[float(rng.randrange(-30_000_000, 30_000_000)) for _ in range(4)] for _ in range(40)]
+    rows += [[1e7, 1e7, 2.0, 3.0], [3e15, -3e15, 1.0, 0.0], [5e15, 5e15, 0.5, 0.25], [1e30, 0.0, 0.0, 0.0], [0.0, 1.0, 2.0, 3.0]]
+    chosen = {20, 40, 44}
+    small = [i for i in range(len(rows)) if i not in (41, 42, 43)]
+    for ids in (small, [20, 41, 42], [43, 44]):
+        table = spark.createDataFrame([(i, rows[i]) for i in ids], "vec_id long, embedding array<double>")
+        whole = {i: [math.floor(64 * x) for x in rows[i]] for i in ids}
+        asks = F.col("vec_id").isin(*chosen) if len(ids) > 2 else F.col("vec_id") == 44
+        want = []
+        for i in ids:
+            if (i in chosen) if len(ids) > 2 else i == 44:
+                scores = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in ids if j != i)
+                scores = [s for s in scores][:5]
+                want += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+        if all(abs(s) < 1 << 63 for _, _, _, s in want):
+            got = search(table, asks, 5, block=7, query_block=2).collect()
+            assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+        else:
+            assert len(ids) == 3
+
+
 def test_topk_ties_repeats_and_empty(spark):
     same = [(i, [1.0, -0.5]) for i in range(8)] + [(3, [1.0, -0.5]), (None, [1.0, 1.0])]
     got = search(vectors(spark, same), F.col("vec_id") == 3, 4).orderBy("rank").collect()
