@@ -30,6 +30,30 @@ def apply_groups(df: DataFrame, keys, func: Callable[[pd.DataFrame], pd.DataFram
     return df.groupBy(*([keys] if isinstance(keys, str) else keys)).applyInPandas(func, schema)
 
 
+def stream_groups(df: DataFrame, keys, order, step: Callable, schema, begin: Callable = lambda: None) -> DataFrame:
+    """P1u for groups of any size: ``step(state, rows) -> (state, output)`` sees a
+    group's rows in ``order``, a batch at a time, and carries what it needs in
+    ``state`` (``begin()`` at each group's start). Memory holds one Arrow batch; a
+    group still goes through one task, as a running function must."""
+    keys, order = ([k] if isinstance(k, str) else list(k) for k in (keys, order))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            number = pdf[keys].astype(object).where(pdf[keys].notna(), None)
+            same = number.eq(number.shift()) | (number.isna() & number.shift().isna())
+            starts = [0, *[i for i, new in enumerate(~same.all(axis=1)) if new and i], len(pdf)]
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                key = tuple(number.iloc[lo])
+                if key != last:
+                    last, state = key, begin()
+                state, out = step(state, pdf.iloc[lo:hi])
+                yield out
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def register_feature(name: str):
     """P3u: register a ``DataFrame -> DataFrame`` feature function; pass
     ``registered_features()`` as ``extra`` to ``engineer_features``."""

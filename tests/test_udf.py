@@ -27,3 +27,27 @@ def test_registered_feature_runs_in_pipeline(spark):
     out = E.engineer_features(df, "full", extra=U.registered_features())
     r = out.first()
     assert r["price_squared"] == 9.0 and r["price_log"] > 0
+
+
+def test_streamed_groups_carry_state_over_batches(spark):
+    """A group of a third of all rows goes through in batches of ten; null keys are a group of their own."""
+    from rankflow.operators.udf import stream_groups
+    rows = [(i, ["hot", f"g{i % 7}", None][i % 3], i % 5) for i in range(300)]
+    seen_most = 10
+    df = spark.createDataFrame(rows, "Id int, g string, v int").repartition(4)
+
+    def step(state, part):
+        assert len(part) <= seen_most
+        out = state + part["v"].cumsum()
+        return int(out.iloc[-1]), part[["Id"]].assign(total=out)
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(seen_most))
+    try:
+        got = {r["Id"]: r["total"] for r in stream_groups(df, "g", "Id", step, "Id int, total long", int).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    sums, want = {}, {}
+    for i, g, v in rows:
+        want[i] = sums[g] = sums.get(g, 0) + v
+    assert got == want
