@@ -22,7 +22,7 @@ def query(key: str, sql: str | None = None):
 
 
 QUERY_MODULES = ("q_session", "q_features", "q_clean", "q_encode", "q_split",
-                 "q_metrics", "q_validate", "q_documents", "q_model", "q_surface")
+                 "q_metrics", "q_validate", "q_documents", "q_model", "q_surface", "q_sketch")
 
 
 def load_all() -> None:
