@@ -5,8 +5,12 @@ A query's scores against a block accumulate over groups of dimensions; after
 each group, a candidate whose score so far plus the largest product that the
 remaining mass of both vectors allows (Cauchy-Schwarz) stays below the query's
 threshold is dropped, and the rest is compacted for the next group. The
-thresholds come from a first pass over some of the blocks, for a
-second pass over all of them.
+threshold is the best that is known of the query's k-th score: from a first
+pass over a share of the vectors, from the blocks that the task has scanned
+before, and from the block itself, whose k most promising candidates are scored
+first. Vectors are dealt to blocks by their length (norm), and a block whose
+longest vector can't reach the threshold of any query of a query block is not
+scanned for it.
 """
 
 from __future__ import annotations
@@ -25,14 +29,18 @@ SCALE = 64
 BLOCK = 4096          # candidates of a block
 QUERY_BLOCK = 512     # queries of a block
 GROUP = 8             # dimensions accumulated between two prunings
-SEED_SHARE = 16       # one block in this many gives the first thresholds
+SEED_SHARE = 16       # one vector in this many, by the hash of its id, gives the first thresholds
+TASKS_PER_CORE = 4    # of the candidates' side: a task scans several blocks and learns from each
+KEPT_BLOCKS = 1024    # query blocks whose raised thresholds a task remembers
+SLACK = 1 + 1e-9      # rounding allowed for in norms
 
-_BLOCK = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+_BLOCK = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("top", pa.float64())])
 
 
 def blocks(vectors: DataFrame, rows: int, scale: int = SCALE) -> DataFrame:
     """``vectors(id, vec)`` as blocks of at most ``rows`` vectors of one length,
-    ``data`` being their floor(scale * x) as doubles, one dimension after the other."""
+    ``data`` being their floor(scale * x) as doubles, one dimension after the other,
+    and ``top`` the greatest norm."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
@@ -42,7 +50,7 @@ def blocks(vectors: DataFrame, rows: int, scale: int = SCALE) -> DataFrame:
             held[dim] = [(ids[rows:], m[rows:])]
             ids, m = ids[:rows], np.floor(scale * m[:rows])
             return pa.RecordBatch.from_pylist([{"dim": dim, "n": len(ids), "ids": ids.tobytes(),
-                                                "data": np.ascontiguousarray(m.T).tobytes()}], schema=_BLOCK)
+                                                "data": np.ascontiguousarray(m.T).tobytes(), "top": float(_norms(m).max())}], schema=_BLOCK)
 
         for batch in batches:
             for part in by_length(batch, "vec"):
@@ -54,10 +62,26 @@ def blocks(vectors: DataFrame, rows: int, scale: int = SCALE) -> DataFrame:
             while sum(len(x[0]) for x in held[dim]):
                 yield block(dim)
 
-    return (vectors.mapInArrow(run, "dim int, n int, ids binary, data binary")
+    return (vectors.mapInArrow(run, "dim int, n int, ids binary, data binary, top double")
             .withColumn("no", F.monotonically_increasing_id()))
 
 
+def _norms(m: np.ndarray) -> np.ndarray:
+    """Of the rows; scaled first, so that large components do not overflow."""
+    most = np.maximum(np.abs(m).max(1, initial=0.0), 1.0)
+    return most * np.sqrt(((m / most[:, None]) ** 2).sum(1))
+
+
+def _least_norm(queries: np.ndarray, lows: np.ndarray) -> float:
+    """The norm below which a candidate reaches the threshold of none of the
+    queries: a score is at most the product of both norms."""
+    norms = _norms(queries)
+    some = norms > 0
+    if not some.all():      # all scores of a zero query are 0
+        return -np.inf
+    return float(((lows - 0.5) / norms).min() / SLACK) if (lows > 0.5).all() else -np.inf
+
+
 def scan(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int,
          thresholds: np.ndarray, group: int = GROUP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (by position) the ids and scores that may belong to its
@@ -75,6 +99,11 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
         threshold = thresholds[q]
         for g in range(1, len(cuts) - 1):
             bound = score + rest_q[g][q] * rest_c[g][at] * (1 + 1e-12) + 0.5
+            if g == 1 and len(at) > k:
+                # the block's own k-th best is at least the least of any k scores
+                first_k = np.argpartition(bound, -k)[-k:]
+                known = score[first_k] + queries[q, cuts[1]:] @ data[cuts[1]:, at[first_k]]
+                threshold = max(threshold, known.min())
             alive = bound >= threshold
             if not alive.all():
                 at, score = at[alive], score[alive]
@@ -128,23 +157,37 @@ def scan_integers(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray,
 def _pairs(query_blocks: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The stated queries against the candidates, block by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raised: dict[tuple[int, int], np.ndarray] = {}      # by length and first id of the query block
         for batch in batches:
             for r in batch.to_pylist():
                 qids = np.frombuffer(r["q_ids"], np.int64)
                 queries = np.ascontiguousarray(np.frombuffer(r["q_data"]).reshape(r["dim"], -1).T)
                 ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"]).reshape(r["dim"], -1)
-                lows = np.frombuffer(r["lows"]) if r["lows"] else np.full(len(qids), -np.inf)
+                block = (r["dim"], int(qids[0]))
+                lows = raised.get(block)
+                if lows is None:
+                    lows = np.frombuffer(r["lows"]).copy() if r["lows"] else np.full(len(qids), -np.inf)
+                    if len(raised) >= KEPT_BLOCKS:
+                        raised.clear()
+                    raised[block] = lows
+                elif r["top"] < _least_norm(queries, lows):
+                    continue
                 # doubles hold all sums exactly below 2^53
                 look = scan if np.abs(queries).max() * np.abs(data).max() * r["dim"] < 2.0 ** 53 else scan_integers
                 out = [(np.full(len(got), qids[q]), got, score) for q, got, score in look(queries, qids, data, ids, k, lows)]
+                for q, (_, got, score) in enumerate(out):
+                    if len(got) >= k:
+                        # not above the exact score, which a double may not hold
+                        lows[q] = max(lows[q], np.nextafter(float(score[k - 1]), -np.inf))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([x[0] for x in out]).astype(np.int64)), pa.array(np.concatenate([x[1] for x in out]).astype(np.int64)),
                      pa.array(np.concatenate([x[2] for x in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-    q = query_blocks.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "lows")
+    q = query_blocks.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "lows", "need")
     # blocks, not rows, are paired; an equality of lengths as the join key would
     # send all blocks to one task
-    pairs = candidates.select("dim", "ids", "data").crossJoin(q).filter(F.col("dim") - F.col("q_dim") == 0).drop("q_dim")
+    pairs = (candidates.select("dim", "ids", "data", "top").crossJoin(q)
+             .filter((F.col("dim") - F.col("q_dim") == 0) & (F.col("top") >= F.col("need"))).drop("q_dim", "need"))
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -166,15 +209,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     v = vectors.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    stored = parquet_stage(blocks(v.select("id", "vec"), block, scale), "topk-blocks")
+    # vectors of like norms share blocks; ties are dealt by hash
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda n, x: n + x * x))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (v.select("id", "vec", norm.alias("norm")).repartitionByRange(parts, F.col("norm").desc(), F.xxhash64("id"))
+             .sortWithinPartitions(F.col("norm").desc()).select("id", "vec"))
+    stored = parquet_stage(blocks(dealt, block, scale), "topk-blocks")
     # the vectors of a query id: one of them asks (its rows are equal or the first by value)
     asking = v.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
     asked = parquet_stage(blocks(asking, query_block, scale), "topk-queries").withColumnRenamed("no", "q_no")
     # blocks are even in size, so dealing them out one by one spreads the work
-    n = max(1, stored.count())
-    candidates = stored.repartition(min(n, 100_000), "no")
-    plain = asked.withColumn("lows", F.lit(None).cast("binary"))
-    seeds = stored.filter(F.pmod(F.xxhash64("no"), F.lit(SEED_SHARE)) == 0)
+    tasks = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    candidates = stored.repartition(max(1, min(stored.count(), tasks)), "no")
+    plain = asked.withColumns({"lows": F.lit(None).cast("binary"), "need": F.lit(float("-inf"))})
+    seeds = parquet_stage(blocks(v.filter(F.pmod(F.xxhash64("id"), F.lit(SEED_SHARE)) == 0).select("id", "vec"), block, scale), "topk-seeds")
     lows = _best(_pairs(plain, seeds, k), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("low"))
     lows = parquet_stage(lows, "topk-lows")
 
@@ -182,12 +230,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         known = dict(zip(right.column("query_id").to_pylist(), right.column("low").to_pylist()))
         rows = left.to_pylist()
         for r in rows:
-            r["lows"] = np.array([known.get(i, -np.inf) for i in np.frombuffer(r["ids"], np.int64).tolist()]).tobytes()
-        return pa.Table.from_pylist(rows, schema=pa.schema([*_BLOCK, ("lows", pa.binary())]))
+            # a score above 2^53 may have been rounded up
+            low = np.array([np.nextafter(float(known[i]), -np.inf) if i in known else -np.inf for i in np.frombuffer(r["ids"], np.int64).tolist()])
+            r["lows"] = low.tobytes()
+            r["need"] = _least_norm(np.frombuffer(r["data"]).reshape(r["dim"], -1).T, low)
+        return pa.Table.from_pylist(rows, schema=pa.schema([*_BLOCK, ("lows", pa.binary()), ("need", pa.float64())]))
 
     numbers = asked.select("q_no", "ids").mapInArrow(_members, "query_id long, q_no long")
     with_lows = (asked.groupBy("q_no").cogroup(lows.join(numbers, "query_id").groupBy("q_no"))
-                 .applyInArrow(attach, "dim int, n int, ids binary, data binary, lows binary"))
+                 .applyInArrow(attach, "dim int, n int, ids binary, data binary, top double, lows binary, need double"))
     return _best(_pairs(parquet_stage(with_lows, "topk-asked"), candidates, k), k).select(
         "query_id", "rank", "vec_id", "score")
 

@@ -77,6 +77,35 @@ def test_topk_ties_repeats_and_empty(spark):
     assert search(vectors(spark, same[:0]), F.col("vec_id") == 3).count() == 0
 
 
+def test_topk_prunes_without_seeds_and_by_norm(spark):
+    """No first thresholds: a block raises its own, and later ones are skipped by their norms."""
+    import numpy as np
+    from rankflow.llm import topk
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16) * (10.0 if i < 60 else 0.2)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = np.floor(64 * np.array([v for _, v in rows]))
+    want = set()
+    for i in range(0, 400, 20):
+        scores = [(-int(whole[i] @ whole[j]), j) for j in range(400) if j != i]
+        want |= {(i, r, j, -s) for r, (s, j) in enumerate(sorted(scores)[:5], 1)}
+    share, topk.SEED_SHARE = topk.SEED_SHARE, 1 << 40
+    try:
+        got = search(table, F.col("vec_id") % 20 == 0, 5, block=16, query_block=4)
+        assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()} == want
+    finally:
+        topk.SEED_SHARE = share
+    # scored by one group of dimensions after the other, a block loses candidates without any threshold given
+    data, ids = whole[:60].T, np.arange(60)
+    for q, found, score in topk.scan(whole[:3], np.arange(3), np.ascontiguousarray(data), ids, 5, np.full(3, -np.inf), group=4):
+        exact = sorted((-int(whole[q] @ whole[j]), j) for j in range(60) if j != q)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(score, found)] == exact
+    lows = np.array([float(whole[q] @ whole[q]) / 2 for q in range(3)])
+    least = topk._least_norm(whole[:3], lows)
+    assert 0 < least and least > np.linalg.norm(whole[60:], axis=1).max()
+    assert topk._least_norm(whole[:3] * 0, lows) == -np.inf
+
+
 def brute_join(rows, limit):
     v = {i: x for i, x in rows if takes_part(x) and any(x)}
     norm = {i: math.sqrt(math.fsum(a * a for a in x)) for i, x in v.items()}
