@@ -7,8 +7,11 @@ visits another cell q if it can have a partner there: by the triangle
 inequality its distance to q's pivot is at most the cell's radius + r, and its
 distance to the border between both cells, (d(x,q)^2 - d(x,p)^2) / 2 d(p,q),
 is at most r. Of two cells only one hosts the visits. Cells are joined
-independently; a cell is cut into blocks of bounded size, and its block pairs
-are separate tasks, so a crowded cell costs many tasks and no long one.
+independently. A cell is cut into blocks of bounded size along the distance to
+its pivot, and its block pairs are separate tasks, so a crowded cell costs many
+tasks and no long one. Two blocks whose distances to the pivot are more than r
+apart do not meet; when blocks meet, the rows of one are compared with those of
+the other whose distances to the first pivots differ by at most r.
 
 Equal vectors are one class from the start, and a block pair yields link counts
 and a star per cluster, never its pairs.
@@ -31,9 +34,14 @@ from .vectors import by_length, matrix, usable
 MIN_COSINE = 0.9
 BLOCK = 2048            # vectors of a block
 PAIR_COST, VISIT_COST = 3e-9, 2e-5   # seconds for a pair's distance and a visit's shuffle, for choosing the number of pivots
+MIN_PIVOTS = 4          # fewer only if there are fewer different vectors
 MAX_PIVOTS = 512        # pivots are broadcast: at most this many vectors
+ROW_PIVOTS = 16         # pivots, the most distant ones, by which rows of two blocks are compared
+ROWS = 256              # rows of a block that are compared at once
+BINS = 64               # of a cell's distances, which are 2 at most
 SAMPLE = 8192           # rows from which the pivots are chosen
-SLACK = 1e-9            # rounding allowed for in distance bounds
+SLACK = 1e-9            # rounding allowed for in cosines
+FAR_SLACK = 1e-7        # and in distances: the root of a cosine's rounding
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -77,10 +85,10 @@ def count_pivots(units: np.ndarray, pivots: np.ndarray, n: int, r: float) -> int
     """How many of the ``pivots`` (in their order) to use for ``n`` vectors like
     ``units``: the power of two of the least expected cost. Pivots save pairs
     where the data are clustered; where distances are all alike (isotropic data
-    of many dimensions) nearly every vector would visit every cell, and few
-    pivots, at the extreme one cell cut into blocks, are cheaper."""
+    of many dimensions) nearly every vector would visit half of the cells, and
+    few pivots are cheaper."""
     scale, costs = n / len(units), {}
-    k = 1
+    k = min(MIN_PIVOTS, len(pivots))
     while k <= len(pivots):
         d = _distances(units, pivots[:k])
         own = d.argmin(1)
@@ -110,7 +118,7 @@ def visits(units: np.ndarray, pivots: np.ndarray, radii: np.ndarray, r: float) -
     between = _distances(pivots, pivots)
     near = d[np.arange(len(d)), own]
     border = (d ** 2 - near[:, None] ** 2) / np.maximum(2 * between[own], SLACK)
-    go = (border <= r + SLACK) & (d <= radii[None, :] + r + SLACK) & _hosts(own[:, None], np.arange(len(pivots))[None, :])
+    go = (border <= r + FAR_SLACK) & (d <= radii[None, :] + r + FAR_SLACK) & _hosts(own[:, None], np.arange(len(pivots))[None, :])
     go[np.arange(len(d)), own] = False
     row, cell = np.nonzero(go)
     return own, row, cell
@@ -129,11 +137,56 @@ def links(a: np.ndarray, b: np.ndarray, min_cosine: float, same: bool) -> tuple[
         sure = np.ones(len(i), bool)
         for k in close.tolist():
             x, y = a[i[k]], b[j[k]]
-            sure[k] = math.fsum(x * y) >= min_cosine * math.sqrt(math.fsum(x * x) * math.fsum(y * y)) * (1 - 1e-15)
+            sure[k] = math.fsum(x * y) >= min_cosine * math.sqrt(math.fsum(x * x) * math.fsum(y * y))
         i, j = i[sure], j[sure]
     return i, j
 
 
+def block_links(a: np.ndarray, b: np.ndarray, pivots: np.ndarray, r: float, min_cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``links`` of two blocks, rows of ``a`` by rows of ``b`` that can be within
+    r of them by their distances to the ``pivots``."""
+    da, db = _distances(a, pivots), _distances(b, pivots)
+    rows, cols = [], []
+    for s in range(0, len(a), ROWS):
+        part = da[s:s + ROWS]
+        near = np.flatnonzero(((db >= part.min(0) - r - FAR_SLACK) & (db <= part.max(0) + r + FAR_SLACK)).all(1))
+        if same:
+            near = near[near > s]
+        if not len(near):
+            continue
+        i, j = links(a[s:s + ROWS], b[near], min_cosine, False)
+        i, j = i + s, near[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        rows.append(i)
+        cols.append(j)
+    return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *cols])
+
+
+def cut_cells(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """``sizes``: vectors per (cell, visitor, bin of the distance). First and last
+    block of each bin: neighbouring small bins share a block, a large one gets
+    several, numbered from 0 in the order of the bins. A bin without vectors may
+    have its first block after its last."""
+    first, last = np.zeros(sizes.shape, np.int32), np.zeros(sizes.shape, np.int32)
+    for c, v in np.ndindex(sizes.shape[:2]):
+        at, room = -1, 0            # the block being filled, and how many it still takes
+        for x, n in enumerate(sizes[c, v].tolist()):
+            if n > room:
+                first[c, v, x] = at + 1
+                at += -(-n // block)
+                room = block - n if n < block else 0
+            else:
+                first[c, v, x] = at if room else at + 1
+                room -= n
+            last[c, v, x] = at
+    return first, last
+
+
+def _bin(d: np.ndarray) -> np.ndarray:
+    return np.clip(d * (BINS / 2), 0, BINS - 1).astype(np.int64)
+
+
 def _stars(i: np.ndarray, j: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node) for the clusters that the links make: at most one
     edge per node of the two blocks."""
@@ -203,8 +256,9 @@ def _join_dim(reps: DataFrame, r: float, min_cosine: float, block: int, count: i
     n = reps.count()
     sample = reps.orderBy(F.xxhash64("key")).limit(SAMPLE).select("unit").collect()
     units = np.stack([np.frombuffer(x["unit"]) for x in sample])
-    pivots = choose_pivots(units, min(MAX_PIVOTS, count or max(1, n // block)))
-    pivots = pivots[:count or count_pivots(units, pivots, n, r)]
+    pivots = choose_pivots(units, count or min(MAX_PIVOTS, max(MIN_PIVOTS, n // block)))
+    if not count:
+        pivots = pivots[:count_pivots(units, pivots, n, r)]
     shared = spark.sparkContext.broadcast(pivots)
 
     def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,41 +274,71 @@ def _join_dim(reps: DataFrame, r: float, min_cosine: float, block: int, count: i
              .groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("size").alias("size")).collect()}
     radius = np.array([stats[i]["radius"] for i in range(len(pivots))])
 
+    def places(batch: pa.RecordBatch):
+        """Rows, cells, visitor or not and bins of a batch."""
+        u = _units(batch.column("unit"))
+        own, row, cell = visits(u, shared.value, radius, r)
+        take, cells = np.concatenate([np.arange(len(u)), row]), np.concatenate([own, cell])
+        guest = np.concatenate([np.zeros(len(u), np.int64), np.ones(len(row), np.int64)])
+        return take, cells, guest, _bin(_distances(u, shared.value)[take, cells])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(shared.value), 2, BINS), np.int64)
+        for batch in batches:
+            _, cells, guest, bins = places(batch)
+            np.add.at(seen, (cells, guest, bins), 1)
+        at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*at, seen[at])], names=["cell", "visitor", "bin", "n"])
+
+    # at most MAX_PIVOTS x 2 x BINS rows
+    sizes = np.zeros((len(pivots), 2, BINS), np.int64)
+    for x in (reps.select("unit").mapInArrow(weigh, "cell long, visitor long, bin long, n long")
+              .groupBy("cell", "visitor", "bin").agg(F.sum("n").alias("n")).collect()):
+        sizes[x["cell"], x["visitor"], x["bin"]] = x["n"]
+    cuts = spark.sparkContext.broadcast(cut_cells(sizes, block))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last = cuts.value
         for batch in batches:
-            own, row, cell = visits(_units(batch.column("unit")), shared.value, radius, r)
-            take = np.concatenate([np.arange(batch.num_rows), row])
+            take, cells, guest, bins = places(batch)
+            low, high = first[cells, guest, bins], last[cells, guest, bins]
+            # a key is a digest: its first bytes deal a large bin out
+            digest = np.array([int.from_bytes(k[:4], "little") for k in batch.column("key").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.take(pa.array(take)).columns, pa.array(np.concatenate([own, cell]).astype(np.int32)),
-                 pa.array(np.concatenate([np.zeros(batch.num_rows, np.int32), np.ones(len(row), np.int32)]))],
-                names=["key", "node", "weight", "unit", "cell", "visitor"])
-
-    dealt = parquet_stage(reps.select("key", "node", "weight", "unit").mapInArrow(
-        deal, "key binary, node long, weight long, unit binary, cell int, visitor int"), "vector-cells")
-    # cells are at most MAX_PIVOTS, so this is a small table
-    sizes = {(x["cell"], x["visitor"]): x["n"] for x in dealt.groupBy("cell", "visitor").agg(F.count("*").alias("n")).collect()}
-    parts = {k: -(-v // block) for k, v in sizes.items()}
-    n_parts = F.create_map(*[x for (c, v), m in parts.items() for x in (F.lit(c * 2 + v), F.lit(m))])
-    part = F.pmod(F.xxhash64("key"), n_parts[F.col("cell") * 2 + F.col("visitor")]).cast("int")
+                [*batch.take(pa.array(take)).columns, pa.array(cells.astype(np.int32)), pa.array(guest.astype(np.int32)),
+                 pa.array((low + digest[take] % (high - low + 1)).astype(np.int32))],
+                names=["key", "node", "weight", "unit", "cell", "visitor", "part"])
+
+    dealt = reps.select("key", "node", "weight", "unit").mapInArrow(
+        deal, "key binary, node long, weight long, unit binary, cell int, visitor int, part int")
 
     def pack(table: pa.Table) -> pa.Table:
-        first = table.slice(0, 1)
-        return pa.table({"cell": first.column("cell"), "visitor": first.column("visitor"), "part": first.column("part"),
+        first, last = cuts.value
+        cell = table.column("cell")[0].as_py()
+        d = _distances(_units(table.column("unit")), shared.value[cell:cell + 1])[:, 0]
+        table = table.take(pa.array(np.argsort(d, kind="stable")))      # rows of like distance together
+        one = table.slice(0, 1)
+        # the blocks that hold vectors within r of this one's, by the distance to the pivot
+        low, high = _bin(np.array([d.min() - r - FAR_SLACK, d.max() + r + FAR_SLACK]))
+        reach = {f"{end}{v}": pa.array([int(x[cell, v, at])], pa.int32()) for v in (0, 1) for end, x, at in (("low", first, low), ("high", last, high))}
+        return pa.table({"cell": one.column("cell"), "visitor": one.column("visitor"), "part": one.column("part"),
                          "keys": [b"".join(table.column("key").to_pylist())], "nodes": [table.column("node").to_numpy().tobytes()],
-                         "weights": [table.column("weight").to_numpy().tobytes()], "units": [b"".join(table.column("unit").to_pylist())]})
+                         "weights": [table.column("weight").to_numpy().tobytes()], "units": [b"".join(table.column("unit").to_pylist())], **reach})
+
+    kind = ("cell int, visitor int, part int, keys binary, nodes binary, weights binary, units binary, "
+            "low0 int, high0 int, low1 int, high1 int")
+    packed = parquet_stage(dealt.groupBy("cell", "visitor", "part").applyInArrow(pack, kind), "vector-blocks")
+
+    def others(visitor, low, high):
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda x: F.struct(F.lit(visitor).alias("visitor"), x.alias("part")))) \
+                .otherwise(F.array().cast("array<struct<visitor:int,part:int>>"))
 
-    kind = "cell int, visitor int, part int, keys binary, nodes binary, weights binary, units binary"
-    packed = parquet_stage(dealt.withColumn("part", part).groupBy("cell", "visitor", "part").applyInArrow(pack, kind), "vector-blocks")
-    own_parts = F.coalesce(F.create_map(*[x for c in range(len(pivots)) for x in (F.lit(c), F.lit(parts.get((c, 0), 0)))])[F.col("cell")], F.lit(0))
-    guests = F.create_map(*[x for c in range(len(pivots)) for x in (F.lit(c), F.lit(parts.get((c, 1), 0)))])[F.col("cell")]
-    # an owned block meets itself, the owned blocks after it, and all visitors' blocks
+    # an owned block meets itself, the owned blocks after it, and the visitors' blocks, as far as they are in reach
     left = (packed.filter("visitor = 0")
-            .withColumn("other", F.explode(F.concat(
-                F.transform(F.sequence(F.col("part"), own_parts - 1), lambda x: F.struct(F.lit(0).alias("visitor"), x.alias("part"))),
-                F.transform(F.filter(F.sequence(F.lit(0), guests), lambda x: x < guests), lambda x: F.struct(F.lit(1).alias("visitor"), x.alias("part")))))))
+            .withColumn("other", F.explode(F.concat(others(0, F.greatest("part", "low0"), F.col("high0")), others(1, F.col("low1"), F.col("high1"))))))
     a = left.select("cell", F.col("other.visitor").alias("visitor"), F.col("other.part").alias("part"), F.col("part").alias("a_part"),
                     *[F.col(c).alias(f"a_{c}") for c in ("keys", "nodes", "weights", "units")])
-    pairs = a.join(packed, ["cell", "visitor", "part"])
+    pairs = a.join(packed.select("cell", "visitor", "part", "keys", "nodes", "weights", "units"), ["cell", "visitor", "part"])
     dim = pivots.shape[1]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +347,7 @@ def _join_dim(reps: DataFrame, r: float, min_cosine: float, block: int, count: i
                 x = batch.slice(k, 1).to_pylist()[0]
                 ua, ub = (np.frombuffer(x[c]).reshape(-1, dim) for c in ("a_units", "units"))
                 na, nb, wa, wb = (np.frombuffer(x[c], np.int64) for c in ("a_nodes", "nodes", "a_weights", "weights"))
-                i, j = links(ua, ub, min_cosine, x["visitor"] == 0 and x["a_part"] == x["part"])
+                i, j = block_links(ua, ub, shared.value[:ROW_PIVOTS], r, min_cosine, x["visitor"] == 0 and x["a_part"] == x["part"])
                 if not len(i):
                     continue
                 la = np.bincount(i, wb[j], len(na)).astype(np.int64)

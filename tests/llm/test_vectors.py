@@ -128,7 +128,7 @@ def brute_join(rows, limit):
 
 
 def test_join_equals_brute_force(spark):
-    for seed, block, pivots in ((2, 2048, None), (3, 7, 12)):
+    for seed, block, pivots in ((2, 2048, None), (3, 7, 12), (5, 7, None), (6, 7, 1)):
         rows = awkward(seed)
         got = near_duplicates(vectors(spark, rows), block=block, pivots=pivots).collect()
         assert len(got) == len(rows)
@@ -148,3 +148,56 @@ def test_join_classes_without_id_stay_apart(spark):
     rows = [(5, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.3, 0.0, 0.0]), (9, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.3])]
     got = near_duplicates(vectors(spark, rows)).collect()
     assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == {(5, 1, 5, True), (9, 1, 9, True), (None, 1, None, False)}
+
+
+def test_cells_are_cut_along_the_distance():
+    import numpy as np
+    from rankflow.llm.metric_join import cut_cells
+    sizes = np.zeros((1, 2, 8), np.int64)
+    sizes[0, 0] = [0, 3, 4, 25, 0, 2, 8, 1]
+    first, last = cut_cells(sizes, 10)
+    assert first[0, 0].tolist()[1:] == [0, 0, 1, 4, 4, 4, 5] and last[0, 0].tolist() == [-1, 0, 0, 3, 3, 4, 4, 5]
+    assert (last[0, 1] == -1).all()
+    # every bin with vectors has blocks of its own range, and their order is that of the bins
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 40, (3, 2, 64)) * rng.integers(0, 2, (3, 2, 64))
+    first, last = cut_cells(sizes, 16)
+    assert (first[sizes > 0] <= last[sizes > 0]).all()
+    assert (np.diff(first, axis=2) >= 0).all() and (np.diff(last, axis=2) >= 0).all()
+
+
+def test_rows_out_of_reach_lose_no_link():
+    import numpy as np
+    from rankflow.llm import metric_join as M
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 8))
+    u = M._unit(np.concatenate([c + 0.15 * rng.normal(size=(20, 8)) for c in centers]))
+    r = float(np.sqrt(0.2))
+    pivots = M.choose_pivots(u, 6)
+    got = set(zip(*(x.tolist() for x in M.block_links(u, u, pivots, r, 0.9, True))))
+    assert got == set(zip(*(x.tolist() for x in M.links(u, u, 0.9, True)))) and len(got) > 1000
+    assert all(u[i] @ u[j] >= 0.9 - 1e-15 for i, j in got)
+
+
+def test_join_query_equals_its_sql_on_linked_vectors(spark, tmp_path):
+    """The registered query and its SQL on a table with clusters, chains, copies and a hot cluster."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+    from rankflow.llm.q_vectors import JOIN_SQL, op8_embedding_near_dedup
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(60):
+        center = rng.normal(size=16)
+        rows += [center + rng.choice([0.05, 0.25]) * rng.normal(size=16) for _ in range(int(rng.choice([1, 2, 5])))]
+    hot = rng.normal(size=16)
+    rows += [hot + 0.02 * rng.normal(size=16) for _ in range(100)]
+    angle = np.linspace(0, 2.5, 15)                # a chain: only neighbours are linked
+    rows += [np.cos(a) * np.eye(16)[0] + np.sin(a) * np.eye(16)[1] for a in angle] + [rows[0]] * 5
+    order = rng.permutation(len(rows))
+    pd.DataFrame({"vec_id": order, "embedding": [rows[i].astype(np.float32) for i in range(len(rows))]}).to_parquet(tmp_path / "embeddings.parquet")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in op8_embedding_near_dedup(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert got == sorted((int(a), int(b), int(c), bool(d)) for a, b, c, d in con.execute(JOIN_SQL).fetchall())
+    assert sum(n > 0 for _, n, _, _ in got) > 150 and max(n for _, n, _, _ in got) >= 99
