@@ -32,24 +32,25 @@ def profile_dataset(df: DataFrame, group: str = "ranker_id", user: str = "profil
 def profile_missing(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Per column missing count / pct, type and distinct count.
 
-    Values are stacked as ``(column, value-as-text)`` rows, so every count is
-    a narrow aggregate per column (partial aggregation leaves one row per
+    Values are stacked as ``(column number, value-as-text)`` rows, so every count
+    is a narrow aggregate per column (partial aggregation leaves one row per
     column and task) instead of hundreds of aggregate expressions in one
-    operator. Exact distinct counts de-duplicate the pairs once;
-    ``exact=False`` uses HyperLogLog per column instead."""
+    operator. For exact distinct counts the values are counted first, in the same
+    pass, and the counts are added up per column; ``exact=False`` uses HyperLogLog
+    per column instead, and no value is shuffled."""
     cols = columns or df.columns
     types = {c: df.schema[c].dataType.simpleString() for c in cols}
-    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
-                                         for c in cols])))
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
+                                         for i, c in enumerate(cols)])))
     v = F.col("v")
-    base = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("_rows"),
-                                       F.count_if(v.isNull()).alias("missing_count"),
-                                       *([] if exact else [F.approx_count_distinct(v).alias("unique_count")]))
     if exact:
-        uniq = (pairs.filter(v.isNotNull()).distinct()
-                     .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))
-        base = base.join(uniq, "column", "left").withColumn(
-            "unique_count", F.coalesce(F.col("unique_count"), F.lit(0)))
+        base = pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(
+            F.sum("n").alias("_rows"), F.sum(F.when(v.isNull(), F.col("n")).otherwise(F.lit(0))).alias("missing_count"),
+            F.count("v").alias("unique_count"))
+    else:
+        base = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("_rows"), F.count_if(v.isNull()).alias("missing_count"),
+                                      F.approx_count_distinct(v).alias("unique_count"))
+    base = base.withColumn("column", F.array(*[F.lit(c) for c in cols])[F.col("i")])
     dtype = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
     return base.select("column", "missing_count",
                        (F.col("missing_count") * 100.0 / F.col("_rows")).alias("missing_pct"),
