@@ -63,5 +63,10 @@ def register_feature(name: str):
     return deco
 
 
+def unregister_feature(name: str) -> None:
+    """P3u: forget a registered feature function."""
+    FEATURE_REGISTRY.pop(name, None)
+
+
 def registered_features() -> list[Callable[[DataFrame], DataFrame]]:
     return list(FEATURE_REGISTRY.values())

@@ -137,7 +137,6 @@ def q_user_group_fn(spark, sf_dir):
     return U.stream_groups(o, "ranker_id", "Id", _running, "Id long, spent double, highest double", lambda: (0.0, 0.0))
 
 
-@U.register_feature("price_per_hour")
 def price_per_hour(df):
     """A user feature: price by the hour of the first leg."""
     return df.withColumn("price_per_hour", F.try_divide("totalPrice", "legs0_duration"))
@@ -147,6 +146,10 @@ def price_per_hour(df):
 def q_user_features(spark, sf_dir):
     """P3u: registered feature functions applied to the option table."""
     o = options_view(spark, sf_dir).select("Id", "totalPrice", "legs0_duration")
-    for feature in U.registered_features():
-        o = feature(o)
+    U.register_feature("price_per_hour")(price_per_hour)
+    try:
+        for feature in U.registered_features():
+            o = feature(o)
+    finally:    # not left to other users of the session
+        U.unregister_feature("price_per_hour")
     return rounded(o.select("Id", "price_per_hour"), 4)

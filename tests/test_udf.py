@@ -29,6 +29,14 @@ def test_registered_feature_runs_in_pipeline(spark):
     assert r["price_squared"] == 9.0 and r["price_log"] > 0
 
 
+def test_queries_leave_no_feature_behind(spark):
+    from rankflow.plans.registry import QUERIES, load_all
+    load_all()
+    before = set(U.FEATURE_REGISTRY)
+    assert QUERIES["user_features"](spark, "/root/testdata/sf0.001").columns == ["Id", "price_per_hour"]
+    assert set(U.FEATURE_REGISTRY) == before and "price_per_hour" not in before
+
+
 def test_streamed_groups_carry_state_over_batches(spark):
     """A group of a third of all rows goes through in batches of ten; null keys are a group of their own."""
     from rankflow.operators.udf import stream_groups
