@@ -89,3 +89,12 @@ def add_strict_rank_skew_safe(df: DataFrame, score: str, group: str = "ranker_id
                                        F.col(tiebreak).alias("t")))
     r = rank_counts(k, "_key", group).select(group, "_key", F.col("min_rank").cast("int").alias(name))
     return k.join(r, [group, "_key"], "left").drop("_key")
+
+
+def add_random_rank_skew_safe(df: DataFrame, group: str = "ranker_id", row_id: str = "Id", seed: int = 42,
+                              name: str = "random_rank") -> DataFrame:
+    """Same values as ``ranking.random_rank``: the position of the unique key
+    (seeded hash, row id) in its session."""
+    k = df.withColumn("_key", F.struct(F.md5(F.concat(F.lit(f"{seed}_"), F.col(row_id).cast("string"))).alias("h"), F.col(row_id).alias("t")))
+    r = rank_counts(k, "_key", group).select(group, "_key", F.col("min_rank").cast("int").alias(name))
+    return k.join(r, [group, "_key"], "left").drop("_key")

@@ -161,6 +161,18 @@ def q_random_rank(spark, sf_dir):
     return options_view(spark, sf_dir).select("Id", "ranker_id", R.random_rank(seed=42).alias("random_rank"))
 
 
+@query("random_rank_skew_safe", with_options("""
+SELECT Id, ranker_id,
+  CAST(row_number() OVER (PARTITION BY ranker_id ORDER BY md5('42_' || CAST(Id AS VARCHAR)), Id) AS INTEGER)
+  AS random_rank
+FROM options"""))
+def q_random_rank_skew_safe(spark, sf_dir):
+    """H8 without a session window: position of the unique key (hash, Id) from
+    range-partitioned counts."""
+    from ..functions.skew import add_random_rank_skew_safe
+    return add_random_rank_skew_safe(options_view(spark, sf_dir).select("Id", "ranker_id"), seed=42).select("Id", "ranker_id", "random_rank")
+
+
 @query("relative_to_session", with_options("""
 SELECT Id, ranker_id, totalPrice,
   round(totalPrice - coalesce(avg(totalPrice) OVER w, 0.0), 6) AS price_vs_session_avg,

@@ -169,6 +169,15 @@ def test_skew_safe_rank_equals_window_rank(spark):
         assert (a[k][1] is None and b[k][1] is None) or abs(a[k][1] - b[k][1]) < 1e-12
 
 
+def test_skew_safe_random_rank_of_a_hot_session(spark):
+    from rankflow.functions.ranking import random_rank
+    from rankflow.functions.skew import add_random_rank_skew_safe
+    df = spark.range(900).select(F.col("id").alias("Id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("ranker_id"))
+    a = {r["Id"]: r["r"] for r in df.select("Id", random_rank(seed=7).alias("r")).collect()}
+    b = {r["Id"]: r["random_rank"] for r in add_random_rank_skew_safe(df, seed=7).collect()}
+    assert a == b
+
+
 def test_skew_safe_session_family_equals_window_form(spark):
     rows = [(i, 1, float(i % 53) if i % 40 else None, float(i % 7)) for i in range(2000)]
     rows += [(5000 + i, 2 + i % 4, float(i % 5), None) for i in range(30)] + [(9000, 99, 1.0, 2.0)]
