@@ -32,7 +32,7 @@ from .components import components
 from .vectors import by_length, matrix, usable
 
 MIN_COSINE = 0.9
-BLOCK = 2048            # vectors of a block
+BLOCK = 8192            # vectors of a block; ROWS of them are compared at once
 PAIR_COST, VISIT_COST = 3e-9, 2e-5   # seconds for a pair's distance and a visit's shuffle, for choosing the number of pivots
 MIN_PIVOTS = 4          # fewer only if there are fewer different vectors
 MAX_PIVOTS = 512        # pivots are broadcast: at most this many vectors
