@@ -77,6 +77,22 @@ def test_topk_ties_repeats_and_empty(spark):
     assert search(vectors(spark, same[:0]), F.col("vec_id") == 3).count() == 0
 
 
+def test_topk_of_rows_that_repeat_an_id(spark, tmp_path):
+    """op7: each row whose id is divisible by 20 is a query, and every other row a candidate, whatever its id."""
+    rows = [(i, v) for i, v in awkward(3, 90) if v != []]
+    rows += [rows[20], rows[20], rows[21], (40, rows[3][1]), (41, rows[40][1]), (60, None)]
+    vectors(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if takes_part(v)]
+    want = []
+    for n, (i, v) in enumerate(whole):
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(whole) if m != n and len(w) == len(v))
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:20], 1)]
+    from rankflow.llm.q_vectors import op7_exact_topk
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in op7_exact_topk(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_topk_prunes_without_seeds_and_by_norm(spark):
     """No first thresholds: a block raises its own, and later ones are skipped by their norms."""
     import numpy as np
