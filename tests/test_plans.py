@@ -61,3 +61,45 @@ def test_ranks_share_one_exchange(spark, flat_options):
     df = flat_options.select("Id", R.avg_rank("totalPrice").alias("a"), R.pct_rank("totalPrice").alias("p"),
                              R.dense_rank_desc("totalPrice").alias("d"), R.strict_rank("totalPrice").alias("s"))
     assert plan(df).count("Exchange hashpartitioning(ranker_id") == 1
+
+
+def test_options_view_shuffles_no_wide_row(spark):
+    """Above the pivot there is no shuffle, below it lines are dealt by part, supplier and order only."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(options_view(spark, SF_TINY)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    def shuffles_above(n):
+        found, d = 0, depth(lines[n])
+        for line in reversed(lines[:n]):
+            if depth(line) < d:
+                d = depth(line)
+                found += "Exchange hashpartitioning" in line
+        return found
+
+    pivots = [n for n, line in enumerate(lines) if "ObjectHashAggregate" in line and "collect_list(struct(pos" in line]
+    assert pivots and all(shuffles_above(n) == 0 for n in pivots)
+    assert [shuffles_above(n) for n, line in enumerate(lines) if "lineitem.parquet" in line] == [3]
+
+
+def test_options_view_of_parts_and_suppliers_that_repeat(spark, tmp_path):
+    """A repeated part or supplier gives its line once per row, without renumbering the others."""
+    for t in ("nation", "region", "customer", "orders", "lineitem", "part", "supplier"):
+        df = spark.read.parquet(f"{SF_TINY}/{t}.parquet")
+        (df.unionByName(df) if t in ("part", "supplier") else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    once, twice = (options_view(spark, d) for d in (SF_TINY, str(tmp_path)))
+    # four rows per line: the first four slots hold the first line of the option
+    cols = ["legs0_segments0_marketingCarrier_code", "legs0_segments0_departureFrom_airport_iata"]
+    got = {r["Id"]: r for r in twice.collect()}
+    want = once.collect()
+    assert len(got) == len(want)
+    for r in want:
+        g = got[r["Id"]]
+        assert all(g[c] == r[c] == g[c.replace("segments0", "segments3")] for c in cols)
+        assert (g["taxes"] is None) == (r["taxes"] is None) and (r["taxes"] is None or abs(g["taxes"] - 4 * r["taxes"]) < 1e-2)
