@@ -64,7 +64,7 @@ m AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in IMPUTE_COLS
 SELECT Id, {", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in IMPUTE_COLS)} FROM od, m"""))
 def q_median_impute(spark, sf_dir):
     """Nulls filled with medians fitted on the train split."""
-    o = options_view(spark, sf_dir, materialize=True)
+    o = options_view(spark, sf_dir, materialize=True, columns=["Id", "ranker_id", *IMPUTE_COLS])
     train, _ = group_split(o, label=None)
     model = C.MedianImputer(IMPUTE_COLS).fit(train)
     return rounded(model.transform(o.select("Id", *IMPUTE_COLS))

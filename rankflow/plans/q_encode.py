@@ -20,6 +20,14 @@ ROUTE_COLS = ["nationality", "searchRoute", "corporateTariffCode", "frequentFlye
 INTEGRAL = {"profileId", "companyID"}
 
 
+CARRIER = "legs0_segments0_marketingCarrier_code"
+
+
+def _options(spark, sf_dir, *columns):
+    """These columns of the options and what rows are split by, stored once."""
+    return options_view(spark, sf_dir, materialize=True, columns=list(dict.fromkeys(["Id", "ranker_id", *columns])))
+
+
 def _with_primary(o):
     return o.withColumn("primary_carrier",
                         F.coalesce(F.col("legs0_segments0_marketingCarrier_code"), F.lit("missing")))
@@ -68,7 +76,7 @@ dict AS ({_dict_sql(LABEL_COLS)})
 @query("label_encode", LABEL_SQL)
 def q_label_encode(spark, sf_dir):
     """Sorted-position codes with a 'missing' class, fitted on train."""
-    o = _with_primary(options_view(spark, sf_dir, materialize=True))
+    o = _with_primary(_options(spark, sf_dir, CARRIER, *[c for c in LABEL_COLS if c != "primary_carrier"]))
     train, _ = group_split(o, label=None)
     model = LabelEncoder(LABEL_COLS).fit(train)
     return model.transform(o).select("Id", *[f"{c}_encoded" for c in LABEL_COLS])
@@ -83,7 +91,7 @@ dict AS ({_dict_sql(ROUTE_COLS)})
 def q_cardinality_route(spark, sf_dir):
     """Cardinality-routed encoding (<= 1000 distinct -> label codes in
     place, else frequency); here every column routes to label codes."""
-    o = options_view(spark, sf_dir, materialize=True)
+    o = _options(spark, sf_dir, *ROUTE_COLS)
     train, _ = group_split(o, label=None)
     model = CardinalityEncoder(ROUTE_COLS, threshold=1000, exact=True).fit(train)
     return model.transform(o).select("Id", *ROUTE_COLS)
@@ -100,7 +108,7 @@ SELECT o.Id, coalesce(f0.n, 0) AS legs0_segments0_aircraft_code_freq, coalesce(f
 FROM od o LEFT JOIN f0 ON o.legs0_segments0_aircraft_code = f0.v LEFT JOIN f1 ON o.nationality = f1.v"""))
 def q_freq_encode(spark, sf_dir):
     """Training frequency of the value, unseen -> 0, source dropped."""
-    o = options_view(spark, sf_dir, materialize=True)
+    o = _options(spark, sf_dir, *FREQ_COLS)
     train, _ = group_split(o, label=None)
     model = FrequencyEncoder(FREQ_COLS).fit(train)
     return model.transform(o.select("Id", *FREQ_COLS))
@@ -114,7 +122,7 @@ dict AS ({_dict_sql(CODE_COLS, missing=False)})
 {_encode_sql(CODE_COLS, "_code", missing=False)}"""))
 def q_category_codes(spark, sf_dir):
     """Category codes, null / unseen -> -1."""
-    o = options_view(spark, sf_dir, materialize=True)
+    o = _options(spark, sf_dir, *CODE_COLS)
     train, _ = group_split(o, label=None)
     model = LabelEncoder(CODE_COLS, suffix="_code", with_missing=False).fit(train)
     return model.transform(o).select("Id", *[f"{c}_code" for c in CODE_COLS])
@@ -143,7 +151,7 @@ SELECT x.Id, {sel} FROM {rows_src} x {joins}, g""")
 
 
 def _te_fit(spark, sf_dir):
-    o = options_view(spark, sf_dir, materialize=True).withColumn("main_carrier", F.col("legs0_segments0_marketingCarrier_code"))
+    o = _options(spark, sf_dir, CARRIER, "selected", *[c for c in TE_COLS if c != "main_carrier"]).withColumn("main_carrier", F.col(CARRIER))
     train, test = group_split(o)
     return TargetEncoder(TE_COLS, smoothing=10.0).fit(train), train, test
 

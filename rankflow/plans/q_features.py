@@ -65,7 +65,7 @@ SELECT Id, totalPrice,
 FROM options, th"""))
 def q_price_tiers(spark, sf_dir):
     """Quantile tiers fitted on the train sessions, applied to all rows."""
-    o = options_view(spark, sf_dir, materialize=True)
+    o = options_view(spark, sf_dir, materialize=True, columns=["Id", "ranker_id", "totalPrice"])
     train, _ = group_split(o)
     tiers = E.PriceTiers().fit(train)
     return tiers.transform(o.select("Id", "totalPrice"))

@@ -22,6 +22,10 @@ KEYS = ["ranker_id", "profileId", "searchRoute", "nationality", "corporateTariff
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.9)
 
 
+def _options(spark, sf_dir):
+    return options_view(spark, sf_dir, materialize=True, columns=["requestDate", *NUMBERS, *KEYS])
+
+
 def _store(spark, options) -> K.SketchStore:
     """The store as it grows: all years but the last, then the last alone."""
     path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
@@ -47,7 +51,7 @@ def _partitions_sql() -> str:
 @query("sketch_partitions", _partitions_sql())
 def q_sketch_partitions(spark, sf_dir):
     """The exact part of what the store holds, per year and column."""
-    store = _store(spark, options_view(spark, sf_dir, materialize=True))
+    store = _store(spark, _options(spark, sf_dir))
     return rounded(store.rows().select("part", "column", "n", "missing", "lo", "hi"))
 
 
@@ -56,7 +60,7 @@ def q_sketch_partitions(spark, sf_dir):
     for c in NUMBERS for p in QUANTILES)))
 def q_sketch_quantiles(spark, sf_dir):
     """Quantiles from merged sketches, checked against exact ranks."""
-    options = options_view(spark, sf_dir, materialize=True)
+    options = _options(spark, sf_dir)
     found = _store(spark, options).quantiles(QUANTILES).filter(F.col("column").isin(NUMBERS))
     return K.rank_errors(options, found, NUMBERS).select(
         "column", sql_round("p", 2).alias("p"), "n", (F.col("rank_error") <= K.RANK_BOUND).alias("within"))
@@ -68,7 +72,7 @@ def q_sketch_quantiles(spark, sf_dir):
     f"true AS within FROM options" for c in NUMBERS + KEYS)))
 def q_sketch_profile(spark, sf_dir):
     """N2 from merged sketches; the exact distinct count is worked out beside it."""
-    options = options_view(spark, sf_dir, materialize=True)
+    options = _options(spark, sf_dir)
     exact = N.profile_missing(options, NUMBERS + KEYS, exact=True).select("column", "unique_count")
     told = _store(spark, options).profile().withColumnRenamed("unique_count", "told")
     off = F.abs(F.col("told") - F.col("unique_count"))

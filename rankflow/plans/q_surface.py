@@ -99,7 +99,7 @@ m AS (SELECT {", ".join(f"coalesce(quantile_cont(CAST({c} AS DOUBLE), 0.5), 0.0)
 SELECT Id, ranker_id, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), m_{c}), 6) AS {c}" for c in MATRIX)} FROM options, m WHERE {HASH_TEST}"""))
 def q_matrix_columns(spark, sf_dir):
     """O1: the test rows' matrix, missing values filled by medians of the training rows."""
-    o = options_view(spark, sf_dir, materialize=True).select("Id", "ranker_id", "selected", *MATRIX)
+    o = options_view(spark, sf_dir, materialize=True, columns=["Id", "ranker_id", "selected", *MATRIX])
     train, test = group_split(o)
     x = O.MatrixPrep().fit(train).transform(test)
     v = vector_to_array("features")
