@@ -99,10 +99,13 @@ def _all_sql() -> str:
 
 @query("feat_all", _all_sql())
 def q_feat_all(spark, sf_dir):
-    """Every full-form family plus the session family, one projection
-    chain and one Exchange on the session key."""
-    o = options_view(spark, sf_dir)
-    return rounded(S.add_session_features(E.engineer_features(o, "full")))
+    """Every full-form family plus the session family, one Exchange on the
+    session key, of options whose lines are not yet columns. The row-wise families
+    follow the windows, so these do not sort what they do not read."""
+    o = options_view(spark, sf_dir, by_session=True)
+    session = [n for n, _, _ in Q.session_items()]
+    x = E.engineer_features(S.add_session_features(o), "full")
+    return rounded(x.select(*[c for c in x.columns if c not in session], *session))
 
 
 @query("feat_session_skew_safe", with_options(f"SELECT Id,\n  {Q.render(Q.session_items())}\nFROM options"))
